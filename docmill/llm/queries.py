@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm.bpe import decode_documents, encode_documents
 from docmill.llm.exact_dedup import exact_dedup
+from docmill.llm.quality_rules import judge
 from docmill.llm.sharding import shard_documents
 
 QUERIES: dict = {}
@@ -51,3 +52,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     digests = encoded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
     decoded = decode_documents(digests, vocabulary)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
