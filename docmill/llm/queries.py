@@ -10,6 +10,7 @@ from docmill.llm.bpe import decode_documents, encode_documents
 from docmill.llm.exact_dedup import exact_dedup
 from docmill.llm.quality_rules import judge
 from docmill.llm.sharding import shard_documents
+from docmill.llm.simhash import near_duplicates
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -57,3 +58,9 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
