@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm.bpe import decode_documents, encode_documents
 from docmill.llm.exact_dedup import exact_dedup
+from docmill.llm.packing import pack
 from docmill.llm.quality_rules import judge
 from docmill.llm.sharding import shard_documents
 from docmill.llm.simhash import near_duplicates
@@ -64,3 +65,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    packed = pack(table(spark, sf_dir, "documents"), vocabulary, length=2048, end_id=1, carry={"ids_crc32": F.crc32("ids")})
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
