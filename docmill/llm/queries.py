@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm.bpe import decode_documents, encode_documents
 from docmill.llm.exact_dedup import exact_dedup
+from docmill.llm.language_id import identify, train
 from docmill.llm.packing import pack
 from docmill.llm.quality_rules import judge
 from docmill.llm.sharding import shard_documents
@@ -26,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(id_col: str, parts: int, part: int) -> Column:
+    """Whether crc32 of the id as text leaves ``part``; false for null ids."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
 @query
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
@@ -72,3 +78,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     packed = pack(table(spark, sf_dir, "documents"), vocabulary, length=2048, end_id=1, carry={"ids_crc32": F.crc32("ids")})
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text", "lang", remainder("doc_id", 4, 2).alias("held_out"))
+    profiles = train(docs.filter(~F.col("held_out")))
+    return identify(docs, profiles, carry=("held_out",))
