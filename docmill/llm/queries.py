@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.llm import toxicity
 from docmill.llm.bpe import decode_documents, encode_documents
 from docmill.llm.exact_dedup import exact_dedup
 from docmill.llm.language_id import identify, train
@@ -86,3 +87,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.select("doc_id", "text", "lang", remainder("doc_id", 4, 2).alias("held_out"))
     profiles = train(docs.filter(~F.col("held_out")))
     return identify(docs, profiles, carry=("held_out",))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(~remainder("doc_id", 5, 0)))
+    docs = docs.select("doc_id", "text", remainder("doc_id", 5, 0).alias("held_out"))
+    return toxicity.score(docs, model, carry=("held_out",))
