@@ -11,6 +11,7 @@ from docmill.llm.bpe import decode_documents, encode_documents
 from docmill.llm.chat import format_turns, read_back
 from docmill.llm.exact_dedup import exact_dedup
 from docmill.llm.language_id import identify, train
+from docmill.llm.line_dedup import dropped_lines
 from docmill.llm.packing import pack
 from docmill.llm.quality_rules import judge
 from docmill.llm.sharding import shard_documents
@@ -104,3 +105,15 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
     return read_back(format_turns(rows.unionByName(planted)))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = dropped_lines(docs).withColumnRenamed("doc_id", "id")
+    return docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
+        "doc_id",
+        F.coalesce("n_lines", F.lit(0).cast("bigint")).alias("n_lines"),
+        F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped"),
+    )
