@@ -9,6 +9,8 @@ remaining room finds the first bin that fits in logarithmic time.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from array import array
 
 import numpy as np
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.bpe import OUT_BYTES, once, read_vocabulary
+from docmill.llm.bpe import OUT_BYTES, byte_alphabet, once, read_vocabulary
 
 #: Documents to a group, about.
 GROUP_DOCS = 4096
@@ -25,10 +27,18 @@ GROUP_DOCS = 4096
 REMEMBERED = 500_000
 
 
+#: Signs at a word's end, after an ASCII or Latin-1 letter or a digit.
+_TAIL = re.compile(rb"([a-z0-9]|\xc3[\x9f-\xb6\xb8-\xbf])([!-/:-@\[-`{-~]+)(?=[\t-\r ]|\Z)")
+
+
 class WordIds(dict):
     """Ids of blank-separated words by the tokenizers library, remembered as little-endian unsigned 32-bit integers.
 
-    The vocabulary's splitter never joins across blanks, so a text's ids are its words' ids in a row.
+    The vocabulary's splitter never joins across blanks, so a text's ids are its
+    words' ids in a row. It lower-cases, and parts letters from the signs after
+    them; doing both here first lets many words share an entry. Texts where
+    that could differ (special tokens, letters whose lower case depends on
+    their place, decomposed letters) are left as they are.
     """
 
     def __init__(self, content: str):
@@ -39,15 +49,28 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.visible = {b: c for c, b in byte_alphabet().items()}
 
     def encode(self, text: str) -> bytes:
-        words = text.encode("utf-8", "replace").split()
+        plain = text.isascii() or ("Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text))
+        if plain and "<|" not in text:
+            words = _TAIL.sub(rb"\1 \2", text.lower().encode("utf-8", "replace")).split()
+        else:
+            words = text.encode("utf-8", "replace").split()
         new = [w for w in set(words) if w not in self]
         if new:
             if len(self) + len(new) > REMEMBERED:
                 self.clear()
                 new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            spelled = {w: w.decode() for w in new}
+            # A word of lower-case letters is one piece of the splitter: the merges alone decide.
+            letters = {w for w, s in spelled.items() if plain and s.isalpha() and s == s.lower()}
+            for w in letters:
+                piece = spelled[w] if w.isascii() else "".join([self.visible[b] for b in w])
+                self[w] = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+            rest = [w for w in new if w not in letters]
+            for w, e in zip(rest, self.tokenizer.encode_batch_fast([spelled[w] for w in rest], add_special_tokens=False), strict=True):
                 self[w] = array("I", e.ids).tobytes()
         return b"".join(map(self.__getitem__, words))
 
