@@ -1 +1,28 @@
+"""Map-only operators on streams.
 
+The operators that need no shuffle take a streaming DataFrame as they are; this
+module only says which, and starts one for tests and small jobs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from docmill.operators import headings, proof
+from docmill.operators import links as _links
+
+#: Operators (DataFrame -> DataFrame) without state.
+STATELESS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "split_paragraphs": proof.split_paragraphs,
+    "heading_lines": headings.heading_lines,
+    "normalize_numbering": headings.normalize_numbering,
+    "extract_links": _links.extract_links,
+}
+
+
+def start(stream: DataFrame, operator: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Append an operator's rows to Parquet files; each input row is worked on once."""
+    return STATELESS[operator](stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
