@@ -5,6 +5,9 @@ A null input gives a null result unless said otherwise.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -250,9 +253,11 @@ def split_on_terminator(x: Column) -> Column:
     )
 
 
+# Emphasis marks and the formats that they mean; the first of equally long marks at a place counts.
 MARKS = (
-    (r"\*\*\*(.+?)\*\*\*", "$1"), (r"\*\*(.+?)\*\*", "$1"), (r"__(.+?)__", "$1"), (r"(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)", "$1"), (r"(?<![A-Za-z0-9_])_(?!_)(.+?)(?<!_)_(?![A-Za-z0-9_])", "$1"),
-    (r"~~(.+?)~~", "$1"), (r"==(.+?)==", "$1"), (r"<u>(.+?)</u>", "$1"), (r"<sup>(.+?)</sup>", "$1"), (r"<sub>(.+?)</sub>", "$1"), (r"\^([^\^\s]+?)\^", "$1"), (r"(?<!~)~([^~\s]+?)~(?!~)", "$1"),
+    (r"\*\*\*(.+?)\*\*\*", "bold_italic"), (r"___(.+?)___", "bold_italic"), (r"\*\*(.+?)\*\*", "bold"), (r"__(.+?)__", "bold"), (r"~~(.+?)~~", "strikethrough"), (r"(?i)<del>(.+?)</del>", "strikethrough"),
+    (r"==(.+?)==", "highlight"), (r"(?i)<mark>(.+?)</mark>", "highlight"), (r"\^([^\^]+?)\^", "superscript"), (r"(?i)<sup>(.+?)</sup>", "superscript"), (r"(?<!~)~([^~]+?)~(?!~)", "subscript"), (r"(?i)<sub>(.+?)</sub>", "subscript"),
+    (r"(?i)<u>(.+?)</u>", "underline"), (r"\*(.+?)\*", "italic"), (r"(?<!\w)_([^_]+?)_(?!\w)", "italic"),
 )
 
 
@@ -261,8 +266,8 @@ def strip_inline_marks(x: Column) -> Column:
     pieces = F.split(x, r"(?=`[^`]+`)|(?<=`)(?![^`]*`(?:[^`]*`[^`]*`)*[^`]*\z)", -1)
 
     def plain(p: Column) -> Column:
-        for mark, keep in MARKS:
-            p = F.regexp_replace(p, mark, keep)
+        for mark, _ in MARKS:
+            p = F.regexp_replace(p, "(?U)" + mark, "$1")
         return p
 
     code = r"(?s)\A`([^`]+)`(.*)\z"
@@ -291,3 +296,37 @@ def parse_image_payload(x: Column) -> Column:
         return F.when(s.rlike(r"\A\d{1,9}\z"), s.cast("int"))
 
     return F.struct(strip(F.get(parts, F.lit(0))).alias("path"), size(1).alias("width"), size(2).alias("height"))
+
+
+def _inline(text: str, formats: tuple[str, ...], marks: list) -> list[tuple[str, list[str]]]:
+    """Segments of a text without code: the mark that begins first, of those the longest, then what is inside and behind it."""
+    out = []
+    while text:
+        found = [(m.start(), m.start() - m.end(), k, m) for k, (p, _) in enumerate(marks) if (m := p.search(text))]
+        if not found:
+            out.append((text, list(formats)))
+            break
+        *_, k, m = min(found, key=lambda f: f[:3])
+        if m.start():
+            out.append((text[: m.start()], list(formats)))
+        out += _inline(m[1], (*formats, marks[k][1]), marks)
+        text = text[m.end() :]
+    return out
+
+
+def inline_spans(x: Column) -> Column:
+    """Array of ``text`` and ``formats`` in order: code spans first, then marks, nested ones with all their formats. A pandas UDF; null gives an empty array."""
+
+    def spans(texts: pd.Series) -> pd.Series:
+        marks = [(re.compile(p), f) for p, f in MARKS]
+
+        def one(t: str | None) -> list[dict]:
+            out = []
+            for k, part in enumerate(re.split(r"`([^`]+)`", t or "")):
+                if part:
+                    out += [(part, ["code"])] if k % 2 else _inline(part, (), marks)
+            return [{"text": a, "formats": b} for a, b in out]
+
+        return texts.map(one)
+
+    return F.pandas_udf(spans, "array<struct<text:string,formats:array<string>>>")(x)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame, Window
@@ -266,3 +268,91 @@ def list_counters(items: DataFrame, keys: list[str], order: str = "seq") -> Data
     rows = rows.withColumn("_reset", reset)
     count = F.row_number().over(Window.partitionBy(*keys, "_island", "list_id", "level", "_reset").orderBy(order))
     return rows.select(*items.columns, F.when(F.col("level").isNotNull(), count).alias("counter"))
+
+
+BLOCKS = "seq int, type string, level int, text string, language string"
+
+
+def _blocks(body: str | None) -> list[tuple]:
+    """``seq, type, level, text, language`` of one body, by a scan over its lines."""
+    lines = re.sub(r"\r\n?", "\n", body or "").split("\n")
+    out: list[tuple] = []
+    indents: list[int] = []  # of the open list's levels
+    i = 0
+
+    def put(kind: str, level: int | None, text: str, language: str = "") -> None:
+        out.append((len(out), kind, level, text, language))
+
+    while i < len(lines):
+        line = lines[i]
+        i += 1
+        if not line.strip():
+            continue
+        fence = re.match(r"^([ \t]*)(`{3,}|~{3,})\s*([^`\s]*)", line)
+        item = re.match(r"^([ \t]*)([-*+]|\d+[.)])\s+(.*)$", line)
+        rule = re.match(r"^\s{0,3}(?:(?:-\s*){3,}|(?:\*\s*){3,}|(?:_\s*){3,})$", line)
+        if not item or rule:
+            indented = line[:1] in " \t" and indents and not fence
+            if not indented:
+                indents = []
+        if fence:
+            inside, cut = [], len(fence[1].expandtabs(4))
+            while i < len(lines) and not re.match(rf"^[ \t]*{re.escape(fence[2][0])}{{{len(fence[2])},}}\s*$", lines[i]):
+                text = lines[i].expandtabs(4)
+                inside.append(text[min(cut, len(text) - len(text.lstrip())) :])
+                i += 1
+            i += 1
+            put("code", None, "\n".join(inside), fence[3])
+        elif m := re.match(r"^(#{1,9})\s+(.*)$", line):
+            put("heading", len(m[1]), m[2].strip())
+        elif rule:
+            put("hr", None, line.strip()[0])
+        elif line.strip().startswith("$$"):
+            inside = [line.strip()[2:]]
+            while not inside[-1].rstrip().endswith("$$") and i < len(lines):
+                inside.append(lines[i])
+                i += 1
+            put("formula", None, "\n".join(inside).rstrip().removesuffix("$$").strip())
+        elif line.lstrip("> \t").startswith("|") and i < len(lines) and re.match(r"^[> \t]*\|(?:[\s:]*-[\s\-:]*\|)+\s*$", lines[i]):
+            inside = [line, lines[i]]
+            i += 1
+            while i < len(lines) and re.match(r"^[> \t]*\|.*\|", lines[i]):
+                inside.append(lines[i])
+                i += 1
+            put("table", None, "\n".join(inside))
+        elif m := re.match(r"^((?:>\s?){1,9})(.*)$", line):
+            put("quote", m[1].count(">"), m[2].strip())
+        elif item:
+            width = len(item[1].expandtabs(4))
+            while indents and indents[-1] > width:
+                indents.pop()
+            if not indents or indents[-1] < width:
+                indents.append(width)
+            put("ordered" if item[2][0].isdigit() else "bullet", len(indents), item[3].strip())
+        elif indents and out and out[-1][1] in ("ordered", "bullet"):
+            n, kind, level, text, _ = out.pop()
+            out.append((n, kind, level, f"{text}\n{line.strip()}", ""))
+        elif i < len(lines) and re.match(r"^(=+|-+)\s*$", lines[i]):
+            put("heading", 1 if lines[i][0] == "=" else 2, line.strip())
+            i += 1
+        else:
+            put("paragraph", None, line.strip())
+    return out
+
+
+def segment_blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The other columns and ``seq, type, level, text, language`` of every block: headings (both forms), fenced code, rules, formulas, tables, quotes, list items with relative levels and their continuations, paragraphs.
+
+    What a line is depends on the lines before it, so a document is scanned in one go; no shuffle.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(*others, F.col(text_col).alias("_text"))
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others), BLOCKS])
+
+    def scan(batches):
+        for pdf in batches:
+            parts = [(*key, *b) for *key, text in pdf[[*others, "_text"]].itertuples(index=False, name=None) for b in _blocks(text)]
+            out = pd.DataFrame(parts, columns=[*others, "seq", "type", "level", "text", "language"])
+            yield out.astype({"level": "Int32"})
+
+    return rows.mapInPandas(scan, schema)

@@ -56,6 +56,26 @@ def M1c_resolve_title(spark, sf_dir):
     return rows.select("n_nationkey", M.resolve_title(kept, cat("file ", F.col("n_nationkey").cast("string"))).alias("title"))
 
 
+KINDS = ("heading", "heading", "heading", "code", "hr", "formula", "table", "quote", "bullet", "ordered", "paragraph", "bullet")
+
+
+@query(
+    f"""WITH p AS (SELECT p_brand, p_partkey, p_name AS n, p_partkey % 12 AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part)
+SELECT p_brand, (2 * i + j)::INTEGER AS seq, CASE WHEN j = 1 THEN 'paragraph' ELSE {list(KINDS)}[k + 1] END AS type,
+  CASE WHEN j = 1 THEN -1 WHEN k = 0 THEN 3 WHEN k = 1 THEN 1 WHEN k = 2 THEN 2 WHEN k = 7 THEN 2 WHEN k IN (8, 9, 11) THEN 1 ELSE -1 END AS level,
+  CASE WHEN j = 1 THEN 'end' WHEN k = 3 THEN '# ' || n || chr(10) || '  x' WHEN k = 4 THEN '*' WHEN k = 5 THEN n || chr(10) || '= 1' WHEN k = 6 THEN '| ' || n || ' |' || chr(10) || '|---|' || chr(10) || '| 1 |' WHEN k = 11 THEN n || chr(10) || 'more' ELSE n END AS text,
+  CASE WHEN j = 0 AND k = 3 THEN 'sql' ELSE '' END AS language FROM p, (VALUES (0), (1)) AS t(j)"""
+)
+def M2_segment_blocks(spark, sf_dir):
+    """A document for each brand, a block for each part by its number, and a paragraph after each."""
+    n, k = F.col("p_name"), F.col("p_partkey") % 12
+    lines = [cat("### ", n), cat(n, "\n==="), cat(n, "\n---"), cat("  ```sql\n  # ", n, "\n    x\n  ```"), F.lit("* * *"), cat("$$", n, "\n= 1 $$"), cat("| ", n, " |\n|---|\n| 1 |"), cat("> > ", n), cat("- ", n), cat("12. ", n), n, cat("+ ", n, "\n  more")]
+    line = F.element_at(F.array(*lines), (k + 1).cast("int"))
+    docs = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", cat(line, "\n\nend\n").alias("l")))).alias("ls"))
+    found = M.segment_blocks(docs.select("p_brand", F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias("text")))
+    return found.withColumn("level", F.coalesce("level", F.lit(-1)))
+
+
 @query(
     f"""SELECT n_nationkey, 0 AS table_no, ['Name', 'Key', 'Segment'] AS headers, ['left', 'right', 'center'] AS alignments, n AS n_rows, f AS first_row, 14 AS start_line, (16 + n)::INTEGER AS end_line
 FROM (SELECT c_nationkey AS n_nationkey, count(*)::INTEGER AS n, first([{SHOWN}, c_custkey::VARCHAR, c_mktsegment] ORDER BY c_custkey) AS f FROM customer GROUP BY ALL)"""

@@ -236,6 +236,15 @@ def S7_sheet_csv_lines(spark, sf_dir):
     return S.sheet_csv_lines(cells, ["sheet"])
 
 
+@query(
+    """SELECT c_custkey, concat_ws(chr(10), '---', 'title: ' || c_name, 'key: ' || chr(39) || c_custkey || chr(39), 'aliases:', '  - ' || chr(39) || 'a: ' || c_mktsegment || chr(39), '  - ' || chr(39) || '[x]' || chr(39), 'note:', '---', '') AS yaml FROM customer"""
+)
+def S8_render_front_matter(spark, sf_dir):
+    entry = lambda k, *vs: F.struct(F.lit(k).alias("key"), F.array(*vs).alias("values"))
+    record = F.array(entry("title", F.col("c_name")), entry("key", F.col("c_custkey").cast("string")), entry("aliases", cat("a: ", F.col("c_mktsegment")), F.lit("[x]")), entry("note", F.lit("")))
+    return table(spark, sf_dir, "customer").select("c_custkey", S.render_front_matter(record).alias("yaml"))
+
+
 @query("SELECT p_partkey, '| a | b\\|c |' || chr(10) || '| --- | --- |' || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN '| ' || p_name || ' | ' || p_brand || ' x |' ELSE '| not recognised |  |' END AS md FROM part")
 def S9_render_markdown_table(spark, sf_dir):
     rows = F.when(F.col("p_partkey") % 2 == 0, F.array(F.array(F.col("p_name"), cat(F.col("p_brand"), "\nx")))).otherwise(F.array().cast("array<array<string>>"))

@@ -173,6 +173,14 @@ def T14_strip_inline_marks(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.strip_inline_marks(raw).alias("plain"))
 
 
+@query("SELECT p_partkey, 'a |' || p_name || ' |' || p_type || '|*' || p_brand || '*| z' AS texts, '|bold|bold,underline|code|' AS formats FROM part")
+def T15_inline_spans(spark, sf_dir):
+    raw = F.concat(F.lit("a **"), "p_name", F.lit(" <u>"), "p_type", F.lit("</u>**`*"), "p_brand", F.lit("*` z"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", X.inline_spans(raw).alias("s"))
+    shown = F.array_join(F.transform("s", lambda s: F.array_join(s["formats"], ",")), "|")
+    return rows.select("p_partkey", F.array_join(F.transform("s", lambda s: s["text"]), "|").alias("texts"), shown.alias("formats"))
+
+
 @query(
     "SELECT page_id, '[[' || url || ']]' AS wiki, '![[' || url || ']]' AS wiki_embed, '[' || url || '](' || replace(url, ' ', '%20') || ')' AS markdown, '![](' || replace(url, ' ', '%20') || ')' AS markdown_embed FROM pages"
 )

@@ -6,10 +6,12 @@ import csv
 import io
 
 import pandas as pd
+import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docmill.functions.text import strip
+from docmill.functions.text import bound, strip
 from docmill.operators.batches import category_of
 
 IGNORED = (".git", ".svn", "node_modules", "__pycache__", ".venv", "venv", ".idea", ".vscode")
@@ -111,6 +113,34 @@ def sheet_csv_lines(cells: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "row", F.array_join(F.transform(F.sequence(F.lit(1), F.col("_w").cast("int")), lambda c: quoted(v(c))), ",").alias("line"))
 
 
+def _yaml_scalar(x: str | None) -> str:
+    if x is None or x == "":
+        return ""
+    return yaml.safe_dump(str(x), default_flow_style=True, allow_unicode=True, width=1 << 30).strip().removesuffix("...").strip()
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def yaml_scalars(values: pd.Series) -> pd.Series:
+    """Texts as YAML scalars, quoted only where YAML needs it."""
+    return values.map(lambda vs: [_yaml_scalar(v) for v in vs])
+
+
+def render_front_matter(record: Column) -> Column:
+    """YAML header of an array of ``key`` and ``values`` (array): one value in its line, several as list items."""
+    flat = yaml_scalars(F.flatten(F.transform(record, lambda r: r["values"])))
+
+    def lines(scalars: Column) -> Column:
+        def entry(r: Column, i: Column) -> Column:
+            before = F.aggregate(F.slice(record, F.lit(1), i), F.lit(0), lambda a, x: a + F.size(x["values"]))
+            own = F.slice(scalars, before + 1, F.size(r["values"]))
+            items = F.array_join(F.transform(own, lambda v: F.concat(F.lit("\n  - "), v)), "")
+            return F.concat(r["key"], F.lit(":"), F.when(F.size(own) == 1, F.rtrim(F.concat(F.lit(" "), F.get(own, F.lit(0))))).otherwise(items))
+
+        return F.array_join(F.transform(record, entry), "\n")
+
+    return F.concat(F.lit("---\n"), bound(flat, lines), F.lit("\n---\n"))
+
+
 def render_markdown_table(headers: Column, rows: Column) -> Column:
     """Arrays as pipe table; pipes escaped, line feeds become blanks."""
     cell = lambda x: F.replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\r?\n", " "), F.lit("|"), F.lit("\\|"))
