@@ -99,6 +99,22 @@ def I1_invoice_header(spark, sf_dir):
     return found.select("o_orderkey", *(F.col(a).alias(b) for a, b in names.items()))
 
 
+@query(
+    """WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_quantity)::INTEGER AS q FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1)::INTEGER AS line_no, '*a*part' || p AS name, q::VARCHAR AS quantity, '6.00' AS amount, '0.' || q || ' x' AS tax FROM l"""
+)
+def I3_invoice_lines_from_spans(spark, sf_dir):
+    """Each line's name goes on in a second line; the tax has two spans; heights differ a little; the totals follow."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_quantity").cast("int").alias("q"))
+    s = lambda x, y, t: F.struct(F.lit(float(x)).alias("x0"), (y if not isinstance(y, (int, float)) else F.lit(float(y))).cast("double").alias("y0"), (F.lit(t) if isinstance(t, str) else t).alias("text"))
+    y = F.col("l_linenumber") * 20 + 100
+    own = lines.select("l_orderkey", F.explode(F.array(s(10, y, "*a*part"), s(12, y + 8, F.col("p").cast("string")), s(200, y + 0.5, F.col("q").cast("string")), s(300, y, "6.00"), s(400, y + 1, cat("0.", F.col("q").cast("string"))), s(420, y, "x"), s(290, y, "¥"))).alias("s"))
+    fixed = F.array(s(20, 100, "项目名称"), s(190, 100, "数 量"), s(295, 100, "金 额"), s(405, 100, "税额"), s(30, 2000, "合"), s(60, 2000, "计"), s(300, 2000, "12.00"))
+    rows = own.unionByName(lines.select("l_orderkey").distinct().select("l_orderkey", F.explode(fixed).alias("s")))
+    found = I.invoice_lines_from_spans(rows.select("l_orderkey", "s.*"), ["l_orderkey"])
+    return found.select("l_orderkey", "line_no", F.col("商品名称").alias("name"), F.col("数量").alias("quantity"), F.col("金额").alias("amount"), F.col("税额").alias("tax"))
+
+
 @query("SELECT o_orderkey, f AS field, CASE f WHEN 'number' THEN 'N' || o_orderkey ELSE o_orderpriority END AS text FROM orders, (VALUES ('number'), ('date')) AS t(f)")
 def I4_header_from_spans(spark, sf_dir):
     """Labels and values in lines that are 10 apart; a farther value to the right and a value of the next line don't count."""
