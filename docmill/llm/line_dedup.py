@@ -129,7 +129,13 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
         js = F.when(F.size(x) >= 1, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
         diagonal = F.size(y) - F.size(x) + edits
         last = F.aggregate(js, start, step)
-        any_word = _bound(last, lambda s: s["w0"].bitwiseOR(s["w1"]).bitwiseOR(s[f"w{edits}"]) if edits > 1 else s["w0"].bitwiseOR(s[f"w{edits}"]))
+        def any_of(s: Column) -> Column:
+            out = s["w0"]
+            for e in range(1, edits + 1):
+                out = out.bitwiseOR(s[f"w{e}"])
+            return out
+
+        any_word = _bound(last, any_of)
         return F.when((diagonal < 0) | (diagonal >= width), False).otherwise(
             F.call_function("shiftright", any_word, F.greatest(diagonal, F.lit(0)).cast("int")).bitwiseAND(F.lit(1)) == 1
         )

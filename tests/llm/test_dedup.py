@@ -134,7 +134,7 @@ def test_line_links_against_all_pairs(spark):
                 c[i : i + rnd.randrange(2)] = rnd.choice(["", "x", "yz"])
             lines.add("".join(c))
     lines = sorted(x for x in lines if len(x) >= line_dedup.MIN_CHARS)
-    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("short", F.xxhash64("line"))
+    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("lid", F.unhex(F.md5("line")))
     md5 = {x: hashlib.md5(x.encode()).digest() for x in lines}
     want = {tuple(sorted((md5[a], md5[b]), reverse=True)) for i, a in enumerate(lines) for b in lines[:i] if edit_distance(a, b) <= 2}
     assert {(bytes(r.a), bytes(r.b)) for r in line_dedup.line_links(df).collect()} == want and want
