@@ -24,7 +24,7 @@ from docmill.llm.bpe import OUT_BYTES, byte_alphabet, once, read_vocabulary
 #: Documents to a group, about.
 GROUP_DOCS = 4096
 #: Words remembered per worker; the memory is emptied when full.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 #: Signs at a word's end, after an ASCII or Latin-1 letter or a digit.

@@ -12,9 +12,11 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ STEMS = range(4, 10)
 #: An entry needs so many toxic documents, and this much evidence (standard errors of its log-odds).
 MIN_DOCS, MIN_Z = 3, 3.5
 #: Patterns a training task counts before it passes them on.
-HELD = 400_000
+HELD = 120_000
 
 # Look-alike letters of other scripts, digits and signs that stand for letters, harmless phrases.
 LOOKALIKES = dict(zip("асеорхуіјѕԁһмтквнгαβεικνορτυχω", "aceopxyijsdhmtkbhrabeiknoptuxw", strict=True)) | {"ı": "i", "ł": "l", "ø": "o", "đ": "d", "ɡ": "g"}
@@ -122,6 +124,10 @@ def features(total: float, words: int) -> tuple[float, float, float]:
     return 1.0, math.log1p(total), math.log1p(words) if total > 0 else 0.0
 
 
+def probability(curve: tuple[float, float, float], total: float, words: int) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(b * x for b, x in zip(curve, features(total, words), strict=True))))))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
     """``toxic, text`` of the labelled documents whose ids hash lowest, at most ``rows``; a document with several labels takes the highest."""
     ones = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -224,12 +230,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         matcher = once(Matcher, key, model.lexicon, model.exceptions)
-        a, b, c = model.curve
         for batch in batches:
-            scores = []
-            for t in batch.column(batch.num_columns - 1):
-                one, weight, length = features(*matcher.weigh(t.as_py()))
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, a * one + b * weight + c * length)))))
+            scores = [probability(model.curve, *matcher.weigh(t.as_py())) for t in batch.column(batch.num_columns - 1)]
             columns = [*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "score", "predicted"])
 
@@ -237,7 +239,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, ", ".join([*fields, "score double", "predicted int"]))
 
 
-def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predictor(model: Model):
+    """A pandas UDF from text to ``predicted``: rows stay where they are, only the text travels to Python."""
+    key = repr(model)
+
+    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = once(Matcher, key, model.lexicon, model.exceptions)
+        for texts in parts:
+            yield pd.Series([int(probability(model.curve, *matcher.weigh(t or "")) >= 0.5) for t in texts], dtype="int32")
+
+    return F.pandas_udf(predict, "int")
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that :func:`score` predicts to be toxic; same columns."""
-    whole = docs.select(docs[id_col], docs[text_col], F.struct("*").alias("row"))
-    return score(whole, model, id_col, text_col, carry=("row",)).filter("predicted = 0").select("row.*")
+    return docs.filter(predictor(model)(docs[text_col]) == 0)
