@@ -2,13 +2,20 @@
 
 Every rule compares one share of a document (symbols per word, repeated lines
 per line, ...) with a cutoff. Cutoffs are not guessed: on labelled documents,
-for each stratum and each cutoff of a fixed grid, an exact binomial test asks
-whether the rule would reject more than ``risk`` / rules of the good documents.
-Only cutoffs whose test is rejected at ``error`` / (strata x rules x grid)
-(Bonferroni) are certified, and the lowest certified one of each rule applies.
-So with probability 1 - ``error``, in no stratum do the rules together reject
-more than ``risk`` of its good documents. A stratum with too few labels gets no
-cutoff, and then the rules reject nothing there.
+for each stratum, all rules together go down one fixed path (the same cutoff of
+a grid for all of them, from the highest), and at each step an exact binomial
+test asks whether they would jointly reject more than ``risk`` of the good
+documents. The path ends before the first step whose test is not rejected at
+``error`` / strata, which is fixed-sequence testing: steps of one path need no
+correction among each other. So with probability 1 - ``error``, in no stratum
+do the cutoffs where the path ends, nor any higher ones, reject more than
+``risk`` of its good documents. Each rule then takes the lowest cutoff not below
+that end where it rejects at least as many labelled bad documents as good ones.
+
+A stratum with too few labels for any step uses the cutoffs of the pool of all
+labelled documents, which counts as one stratum more; the risk then holds for
+the pool, not for that stratum alone. Only where even the pool has too few
+labels do the rules reject nothing.
 
 Everything runs on built-in expressions.
 """
@@ -135,28 +142,43 @@ def binomial_tail(n: Column, x: Column, p: Column) -> Column:
 
 
 def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """``stratum, rule, cutoff``: the lowest certified cutoff of each rule; at most strata x rules rows.
+    """``stratum, bounds``: the cutoff of each rule that has one, as a map.
 
-    ``labels`` has ``doc_id`` and ``quality``; rows with null in either, and
-    documents that fail the base rules, say nothing. A document with several
-    labels is good if its lowest label is 1.
+    One row for every stratum with enough labels for a test, the map empty if
+    none succeeds, and one of null ``stratum`` for the pool. ``labels`` has
+    ``doc_id`` and ``quality``; rows with null in either, and documents that fail
+    the base rules, say nothing. A document with several labels is good if its
+    lowest label is 1.
     """
     rules = shares()
     verdicts = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    good = measured.filter(~base_failed()).join(verdicts.filter("quality = 1").select("doc_id"), "doc_id").select("stratum", *(v.alias(k) for k, v in rules.items()))
-    # One row per stratum holds all counts.
-    over = [F.count_if(F.col(k) > t).alias(f"{k}@{j}") for k in rules for j, t in enumerate(GRID)]
-    counts = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *over)
-    cells = F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(t).alias("cutoff"), F.col(f"{k}@{j}").alias("x")) for k in rules for j, t in enumerate(GRID)))
-    strata = counts.agg(F.count(F.lit(1)).alias("strata"))
-    tests = counts.crossJoin(F.broadcast(strata)).select("stratum", "n", "strata", F.explode(cells).alias("c")).select("stratum", "n", "strata", "c.*")
-    p = binomial_tail(F.col("n"), F.col("x"), F.lit(risk / len(rules)))
-    tests = tests.withColumn("p", p)
-    # A rule's cutoffs count from the highest down to the first that is not certified.
-    down = Window.partitionBy("stratum", "rule").orderBy(F.desc("cutoff"))
-    sure = F.col("p") <= F.lit(error / (len(rules) * len(GRID))) / F.col("strata")
-    tests = tests.withColumn("sure", F.min(sure).over(down))
-    return tests.filter("sure").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    known = measured.filter(~base_failed()).join(verdicts.select("doc_id", (F.col("quality") == 1).alias("good")), "doc_id")
+    # A level is how many cutoffs of the grid a share exceeds; the joint one is that of the worst rule.
+    levels = {k: sum(((v > t).cast("int") for t in GRID), F.lit(0)) for k, v in rules.items()}
+    known = known.select("stratum", "good", *(v.alias(k) for k, v in levels.items())).withColumn("joint", F.greatest(*rules))
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("level")) for k in [*rules, "joint"])))
+    counts = known.select("stratum", "good", cells.alias("c")).groupBy("stratum", "good", "c.rule", "c.level").agg(F.count(F.lit(1)).alias("n"))
+    pool = counts.withColumn("stratum", F.lit(None).cast("string")).groupBy("stratum", "good", "rule", "level").agg(F.sum("n").alias("n"))
+    steps = F.explode(F.array(*(F.struct(F.lit(j).alias("step"), F.lit(t).alias("cutoff")) for j, t in enumerate(GRID))))
+    over = F.col("level") > F.col("s.step")
+    exceed = counts.unionByName(pool).withColumn("s", steps).groupBy("stratum", "rule", "s.step", "s.cutoff").agg(
+        F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("n_good"),
+        F.sum(F.when(F.col("good") & over, F.col("n")).otherwise(0)).alias("good_over"),
+        F.sum(F.when(~F.col("good") & over, F.col("n")).otherwise(0)).alias("bad_over"),
+    )
+    exceed = materialise(exceed)
+    tests = exceed.filter("rule = 'joint' AND n_good > 0")
+    tests = tests.crossJoin(F.broadcast(tests.agg((F.count(F.lit(1)) / len(GRID)).alias("strata"))))
+    level = F.lit(error) / F.col("strata")
+    # Enough labels: a step without any exceedance would be certified.
+    tests = tests.filter(F.pow(F.lit(1 - risk), F.col("n_good")) <= level)
+    down = Window.partitionBy("stratum").orderBy(F.desc("step"))
+    tests = tests.withColumn("sure", F.min(binomial_tail(F.col("n_good"), F.col("good_over"), F.lit(risk)) <= level).over(down))
+    ends = tests.groupBy("stratum").agg(F.min(F.when(F.col("sure"), F.col("step"))).alias("end"))
+    own = exceed.filter("rule <> 'joint' AND good_over <= bad_over").select(F.col("stratum").alias("of"), "rule", "step", "cutoff")
+    chosen = ends.join(own, ends["stratum"].eqNullSafe(own["of"]) & (F.col("step") >= F.col("end")), "left").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    entries = F.collect_list(F.when(F.col("rule").isNotNull(), F.struct("rule", "cutoff")))
+    return chosen.groupBy("stratum").agg(F.map_from_entries(entries).alias("bounds"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", keep_row: bool = False) -> DataFrame:
@@ -170,13 +192,13 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     basis = materialise(measures(docs, id_col, text_col, stratum_col))
     # Whole rows are measured again rather than stored or shuffled.
     measured = measures(docs, id_col, text_col, stratum_col, keep_row) if keep_row else basis
-    cutoffs = certified_cutoffs(basis, labels)
-    # One row per stratum with at least one cutoff; a map of at most five entries.
-    bounds = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("bounds"))
+    # One row per stratum with enough labels, of a map of at most five entries, and the pool's.
+    bounds = materialise(certified_cutoffs(basis, labels))
+    pool = bounds.filter("stratum IS NULL").agg(F.first("bounds").alias("pooled"))
     rejects = F.lit(False)
     for k, v in shares().items():
-        rejects = rejects | F.coalesce(v > F.col("bounds")[k], F.lit(False))
-    judged = measured.join(bounds, "stratum", "left")
+        rejects = rejects | F.coalesce(v > F.coalesce("bounds", "pooled")[k], F.lit(False))
+    judged = measured.join(bounds.filter("stratum IS NOT NULL"), "stratum", "left").crossJoin(F.broadcast(pool))
     return judged.select(
         "doc_id",
         "n_words",

@@ -55,6 +55,26 @@ def test_quality_without_labels_or_rows(spark, make_docs, odd):
     assert quality_rules.judge(make_docs([]), none).collect() == []
 
 
+def test_quality_certifies_small_strata_and_backs_off(spark, make_docs):
+    """150 labelled good documents are enough at four strata; 20 are not and use the pool's cutoffs."""
+    sizes = {"a": 300, "b": 150, "c": 150, "d": 20}
+    good = [(k * 1000 + i, " ".join(f"word{(i * 7 + j * 13) % 997}x{j}" for j in range(60)), lang) for k, (lang, n) in enumerate(sizes.items()) for i in range(n)]
+    junk = [(k * 1000 + 500 + i, " ".join(f"w{j}x{i}" + "#" * (j % 2) for j in range(60)), lang) for k, lang in enumerate(sizes) for i in range(10)]
+    unseen = [(9000, junk[0][1], "e"), (9001, good[0][1], "e")]
+    labels = spark.createDataFrame([(r[0], 1) for r in good] + [(r[0], 0) for r in junk], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in quality_rules.judge(make_docs([*good, *junk, *unseen]), labels).collect()}
+    assert not any(got[r[0]] for r in junk) and all(got[r[0]] for r in good)
+    assert not got[9000] and got[9001]
+
+
+def test_quality_of_a_noisy_stratum(spark, make_docs):
+    """Rules that would reject a tenth of the good documents stay off, though there are labels enough."""
+    clean = " ".join(f"w{j}" for j in range(60))
+    rows = [(i, clean + " # #" * (30 * (i % 10 == 0)) + f" {i}") for i in range(400)]
+    got = quality_rules.judge(make_docs(rows), spark.createDataFrame([(i, 1) for i, _ in rows], "doc_id long, quality int")).collect()
+    assert all(r.kept != r.base_failed for r in got)
+
+
 def test_shards_are_near_equal_and_gapless(make_docs):
     rows = [(i, "x" * (i * 37 % 900)) for i in range(700)] + [(1000 + i, "same hot text " * 30) for i in range(350)] + [(None, None), (None, ""), (3, "again")]
     got = sharding.shard_documents(make_docs(rows, extra=True), 8, ranges=16).collect()
