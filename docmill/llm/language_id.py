@@ -24,9 +24,9 @@ FLUSH_CHARS = 4 << 20
 
 
 def _letter_table() -> np.ndarray:
-    """Lower-case form of each code point up to U+FFFF, 32 where it is no letter."""
-    table = np.full(0x10000, 32, np.int64)
-    for c in range(0x10000):
+    """Lower-case form of each code point, 32 where it is no letter."""
+    table = np.full(0x110000, 32, np.int32)
+    for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
@@ -45,9 +45,7 @@ def grams(text: str) -> np.ndarray:
     for at in range(0, len(text), BLOCK):
         # The edge of a block counts as the edge of a word.
         codes = np.frombuffer(text[at : at + BLOCK].encode("utf-32-le", "replace"), np.uint32)
-        # Letters beyond the table are kept as they are.
-        low = np.where(codes < 0x10000, table[np.minimum(codes, 0xFFFF)], codes.astype(np.int64))
-        low = np.concatenate(([32], low, [32]))
+        low = np.concatenate(([32], table[codes], [32])).astype(np.int64)
         letter = low != 32
         keep = letter | np.concatenate(([True], letter[:-1]))
         low = low[keep]

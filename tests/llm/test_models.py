@@ -105,6 +105,14 @@ def test_language_id(make_docs, odd):
     assert language_id.identify(make_docs([]), profiles).collect() == []
 
 
+def test_language_id_counts_letters_of_all_planes_only(make_docs):
+    profiles = language_id.train(make_docs([(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de")]))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(make_docs([(1, "\U0001f600\U0001f680 \U0001f600"), (2, "the \U0001f600cat\U0001f600"), (3, "the cat")]), profiles).collect()}
+    assert got[1] == ("und", 0.0) and got[2] == got[3]
+    # Letters beyond U+FFFF count, and fold.
+    assert sorted(language_id.grams("\U00010400")) == sorted(language_id.grams("\U00010428")) and len(language_id.grams("\U00020000")) == 4
+
+
 def test_ngrams_and_blocks():
     text = "Ab, c" * 3
     assert sorted(language_id.grams("ab")) == sorted([97, 98, (32 << 21) | 97, (97 << 21) | 98, (98 << 21) | 32, (32 << 42) | (97 << 21) | 98, (97 << 42) | (98 << 21) | 32])
