@@ -131,10 +131,12 @@ def line_similarity(a: Column, b: Column) -> Column:
 def most_similar_line(base: DataFrame, collect: DataFrame, keys: list[str]) -> DataFrame:
     """For each collected ``line`` (array ``cells``) the best ``base_line`` and its ``similarity``.
 
-    Only base lines that share a non-empty value in the same place are compared;
-    a line that shares none gets base line 1 and similarity 0. The first of equally
-    similar lines wins.
+    All base lines count, and the first of equally similar ones wins; with
+    similarity 0 that is base line 1. Lines that share a value are compared in
+    full. The others can only agree in empty places, so of them the first line
+    of each pattern of empty places stands for all.
     """
+    empties = F.transform(F.col("cells"), lambda x: F.coalesce(strip(x), F.lit("")) == "")
 
     def places(df: DataFrame, name: str) -> DataFrame:
         spread = df.select(*keys, F.col("line").alias(name), F.posexplode("cells").alias("place", "v")).withColumn("v", strip(F.col("v")))
@@ -144,6 +146,12 @@ def most_similar_line(base: DataFrame, collect: DataFrame, keys: list[str]) -> D
     c = collect.select(*keys, "line", F.col("cells").alias("_c"))
     b = base.select(*keys, F.col("line").alias("base_line"), F.col("cells").alias("_b"))
     scored = pairs.join(c, [*keys, "line"]).join(b, [*keys, "base_line"]).select(*keys, "line", "base_line", line_similarity(F.col("_c"), F.col("_b")).alias("similarity"))
+    of_base = base.groupBy(*keys, empties.alias("_pb")).agg(F.min("line").alias("base_line"))
+    of_collect = collect.select(*keys, empties.alias("_pc")).distinct()
+    both = F.filter(F.zip_with("_pc", "_pb", lambda x, y: F.coalesce(x, F.lit(True)) & F.coalesce(y, F.lit(True))), lambda x: x)
+    empty = of_collect.join(of_base, keys).withColumn("similarity", F.when(F.size(both) > 0, F.size(both) / F.greatest(F.size("_pc"), F.size("_pb"))))
+    empty = empty.filter("similarity > 0").groupBy(*keys, "_pc").agg(F.max_by(F.struct("base_line", "similarity"), F.struct("similarity", -F.col("base_line"))).alias("_e"))
+    scored = scored.unionByName(collect.select(*keys, "line", empties.alias("_pc")).join(empty, [*keys, "_pc"]).select(*keys, "line", "_e.base_line", "_e.similarity"))
     best = scored.groupBy(*keys, "line").agg(F.max_by(F.struct("base_line", "similarity"), F.struct("similarity", -F.col("base_line"))).alias("_b"))
     out = collect.select(*keys, "line").join(best, [*keys, "line"], "left")
     return out.select(*keys, "line", F.coalesce("_b.base_line", F.lit(1).cast("bigint")).alias("base_line"), F.coalesce("_b.similarity", F.lit(0.0)).alias("similarity"))
