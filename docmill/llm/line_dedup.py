@@ -1,13 +1,19 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-A line within ``edits`` edits of another holds one of the other's ``edits`` + 1
-segments unchanged, near the segment's own place. Distinct lines are therefore
-indexed by the segments of their length, and each line probes the substrings
-where a segment of a line not longer than itself could lie (the multi-match-aware
+A line within t edits of another holds one of the other's t + 1 segments
+unchanged, near the segment's own place. Distinct lines are therefore indexed by
+the segments of their length, and each line probes the substrings where a
+segment of a line not longer than itself could lie (the multi-match-aware
 windows of segment joins). Lines that meet are verified by a banded bit-parallel
 automaton: one bit for each diagonal of the band, one word for each number of
 edits. Classes are connected components of verified links.
 
+Lines travel as two 64-bit digests and their segment keys; texts are fetched
+only for lines that met another one. Keys that many lines share are joined
+apart: there a signature (the parity of each line's hashed letter pairs, of which an
+edit changes at most four) is part of the join's condition, so that lines of
+one template don't leave the join pair by pair.
+
 Only built-in expressions are used.
 """
 
@@ -17,19 +23,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.simhash import components
-from docmill.storage import materialise
+from docmill.llm.text import free_name
+from docmill.storage import materialise, release
 
-#: Edits that a near-duplicate line may differ by, and the least length in characters that is compared so.
-EDITS, MIN_CHARS = 2, 24
+#: Edits that near-duplicate lines may differ by at most, and the characters of the shorter one that each edit needs.
+EDITS, CHARS_PER_EDIT = 2, 12
 #: Characters compared at once when equal ends of two lines are cut off.
 BLOCK = 16
+#: Slots in which index entries are counted. A slot with more than CROWDED times the mean and FEW is joined with signatures,
+#: so at most SLOTS / CROWDED slots are broadcast.
+SLOTS, CROWDED, FEW = 1 << 20, 4, 64
+#: Bits of the filter that finds the lines whose texts are wanted; it is broadcast as at most so many bits / 64 numbers.
+FILTER_BITS = 1 << 22
+#: Letter pairs that one edit changes at most.
+PAIRS_PER_EDIT = 4
+
+
+def allowed_edits(length: Column, edits: int = EDITS) -> Column:
+    """How many edits a line of this length may be away from a longer one."""
+    return F.least(F.floor(length / CHARS_PER_EDIT).cast("int"), F.lit(edits))
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, line_no, line, lid`` of all lines with a word; ``lid`` is the line's 128-bit digest."""
-    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("lid", F.unhex(F.md5("line")))
+    """``doc_id, row_no, line_no, line``: every line with a word, and for every row without one a row with null ``line``."""
+    rows = docs.select(docs[id_col].alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    lines = rows.select("doc_id", "row_no", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    worded = F.col("line").rlike(r"[^\x20\x09-\x0D]")
+    return lines.filter(worded | (F.col("line_no") == 0)).withColumn("line", F.when(worded, F.col("line")))
+
+
+def digests(line: Column) -> list[Column]:
+    """Two independent hashes of 64 bits name a line."""
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")]
 
 
 def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -43,20 +68,40 @@ def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
-    return F.array(*(F.xxhash64(length, F.lit(i), F.substring(line, p, n)) for i, (p, n) in enumerate(_segments(length, edits))))
+def segment_keys(line: Column, length: Column, edits: int = EDITS) -> tuple[list[Column], list[Column]]:
+    """The keys of a line's own segments, and those of further substrings that may equal a segment of another line not longer.
 
+    A column is null where the line is too short for it. The own segments probe lines of the same length, too.
+    """
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys of all substrings that may equal a segment of a line shorter by up to ``edits``."""
-    keys = []
-    for shorter in range(edits + 1):
+    def by_edits(shorter: int, places) -> list[Column]:
+        """``places`` gives (segment, shift) for a number of edits; which number holds depends on the shorter line's length."""
         other = length - shorter
-        for i, (p, n) in enumerate(_segments(other, edits)):
-            # Segment i + 1: at most i edits lie before it and edits - i after it.
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                keys.append(F.when((p + shift >= 1) & (p + shift + n - 1 <= length), F.xxhash64(other, F.lit(i), F.substring(line, p + shift, n))))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+        found = {t: places(t) for t in range(1, edits + 1)}
+        out = []
+        for k in range(max(map(len, found.values()))):
+            value = F.lit(None).cast("bigint")
+            for t, own in found.items():
+                if k < len(own):
+                    i, shift = own[k]
+                    p, n = _segments(other, t)[i]
+                    fits = (allowed_edits(other, edits) == t) & (p + shift >= 1) & (p + shift + n - 1 <= length)
+                    value = F.when(fits, F.xxhash64(other, F.lit(i), F.substring(line, p + shift, n))).otherwise(value)
+            out.append(value)
+        return out
+
+    def near_by(shorter: int):
+        # Of t edits at most i lie before segment i + 1 and t - i after it.
+        return lambda t: [
+            (i, shift)
+            for i in range(t + 1)
+            if shorter <= t
+            for shift in range(max(-i, shorter - (t - i)), min(i, shorter + (t - i)) + 1)
+            if shorter or shift
+        ]
+
+    index = by_edits(0, lambda t: [(i, 0) for i in range(t + 1)])
+    return index, [key for shorter in range(edits + 1) for key in by_edits(shorter, near_by(shorter))]
 
 
 def _bound(value: Column, f) -> Column:
@@ -78,6 +123,10 @@ def _cut(a: Column, b: Column) -> Column:
     return _bound(skip, lambda k: F.struct(F.substring(a, k + 1, rest).alias("a"), F.substring(b, k + 1, rest).alias("b")))
 
 
+def _chars(s: Column) -> Column:
+    return F.when(F.char_length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, "", -1))
+
+
 def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
     """Whether the edit distance of two strings is at most ``edits``.
 
@@ -129,6 +178,7 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
         js = F.when(F.size(x) >= 1, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
         diagonal = F.size(y) - F.size(x) + edits
         last = F.aggregate(js, start, step)
+
         def any_of(s: Column) -> Column:
             out = s["w0"]
             for e in range(1, edits + 1):
@@ -140,59 +190,169 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
             F.call_function("shiftright", any_word, F.greatest(diagonal, F.lit(0)).cast("int")).bitwiseAND(F.lit(1)) == 1
         )
 
-    def chars(s: Column) -> Column:
-        return F.when(F.char_length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, "", -1))
+    return _bound(both, lambda p: _bound(F.struct(_chars(p["a"]).alias("a"), _chars(p["b"]).alias("b")), lambda q: run(q["a"], q["b"])))
+
 
-    return _bound(both, lambda p: _bound(F.struct(chars(p["a"]).alias("a"), chars(p["b"]).alias("b")), lambda q: run(q["a"], q["b"])))
+def signature(line: Column) -> Column:
+    """Bit by bit whether an odd number of the line's letter pairs hash to it; an edit changes at most :data:`PAIRS_PER_EDIT` bits."""
 
+    def parity(c: Column) -> Column:
+        pairs = F.transform(c, lambda x, i: F.pmod(F.xxhash64(x, F.get(c, i + 1)), F.lit(64)).cast("int"))
+        return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k)))
 
-def line_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``a, b`` (a > b): digests of distinct lines of at least ``min_chars`` characters within ``edits`` edits."""
-    sized = lines.withColumn("n", F.char_length("line")).filter(F.col("n") >= min_chars)
-    index = sized.select(F.col("lid").alias("b"), F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    probe = sized.select(F.col("lid").alias("a"), F.explode(F.array_distinct(probe_keys(F.col("line"), F.col("n"), edits))).alias("key"))
-    met = probe.join(index, (probe["key"] == index["key"]) & (F.col("a") != F.col("b")))
-    pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    left = lines.select(F.col("lid").alias("a"), F.col("line").alias("line_a"))
-    right = lines.select(F.col("lid").alias("b"), F.col("line").alias("line_b"))
-    return pairs.join(left, "a").join(right, "b").filter(within_edits(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
+    # The last letter pairs with nothing, which is one more pair that an edit at the end changes along with the one before it.
+    return _bound(_chars(line), parity)
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, line_no, class, kept`` of every line with a word, over all documents.
+def distinct_lines(found: DataFrame, edits: int) -> DataFrame:
+    """``no, h1, h2, n, index, probe`` of the distinct lines that may have an edit, written to the shared folder."""
+    n = F.char_length("line")
+    named = found.filter(n >= CHARS_PER_EDIT).select("line", n.alias("n"), *digests(F.col("line")))
+    index, probe = segment_keys(F.col("line"), F.col("n"), edits)
+    keys = {f"i{k}": v for k, v in enumerate(index)} | {f"p{k}": v for k, v in enumerate(probe)}
+    # Equal lines have equal keys and fold in the tasks first: a line of any number of copies sends one row per task, of numbers only.
+    folded = named.select("h1", "h2", "n", *(v.alias(k) for k, v in keys.items())).groupBy("h1", "h2").agg(F.max("n").alias("n"), *(F.max(k).alias(k) for k in keys))
+    return materialise(folded.withColumn("no", F.monotonically_increasing_id()))
 
-    ``class`` is the smallest digest of the line's class: equal lines and, from
-    ``min_chars`` characters, lines connected by ``edits`` edits. The first line
-    of a class, by document id and place, is kept. Null ids come last.
+
+def _entries(lines: DataFrame, kind: str) -> DataFrame:
+    columns = [F.col(c) for c in lines.columns if c[0] == kind and c[1:].isdigit()]
+    return lines.select("no", F.explode(F.array_distinct(F.filter(F.array(*columns), lambda x: x.isNotNull()))).alias("key"))
+
+
+def _slot(key: Column) -> Column:
+    return F.pmod(key, F.lit(SLOTS))
+
+
+def texts_of(found: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``no, line`` for the ``no`` of ``wanted``, written to the shared folder."""
+    wanted = materialise(wanted.distinct().join(lines.select(F.col("no").alias("of"), "h1", "h2"), F.col("no") == F.col("of")).select("no", "h1", "h2"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("h1", F.lit(64)).cast("int"))
+
+    def word(h: Column) -> Column:
+        return F.pmod(F.shiftright(h, 6), F.lit(FILTER_BITS // 64))
+
+    # At most FILTER_BITS / 64 rows, whatever is wanted.
+    bits = wanted.groupBy(word(F.col("h1")).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    named = found.filter(F.char_length("line") >= CHARS_PER_EDIT).select("line", *digests(F.col("line")))
+    some = named.join(F.broadcast(bits), word(F.col("h1")) == F.col("word")).filter(F.col("bits").bitwiseAND(bit) != 0)
+    texts = some.groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    out = materialise(texts.join(wanted.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select("no", "line"))
+    release(wanted)
+    return out
+
+
+def candidate_pairs(found: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """``a, b`` (a > b) of lines that share a key and, where many do, have near signatures; written to the shared folder."""
+    index, probe = _entries(lines, "i"), _entries(lines, "p")
+    counts = index.groupBy(_slot(F.col("key")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    mean = F.broadcast(counts.agg((F.sum("n") / SLOTS).alias("mean")))
+    crowded = materialise(counts.crossJoin(mean).filter((F.col("n") > CROWDED * F.col("mean")) & (F.col("n") > FEW)).select("slot"))
+
+    def split(entries: DataFrame, how: str) -> DataFrame:
+        return entries.join(F.broadcast(crowded), _slot(F.col("key")) == F.col("slot"), how)
+
+    def meet(left: DataFrame, right: DataFrame, near) -> DataFrame:
+        right = right.withColumnsRenamed({c: f"{c}_b" for c in right.columns})
+        met = left.join(right, (F.col("key") == F.col("key_b")) & near)
+        return met.select(F.greatest("no", "no_b").alias("a"), F.least("no", "no_b").alias("b"))
+
+    def both(i: DataFrame, p: DataFrame, near) -> DataFrame:
+        same = meet(i, i, (F.col("no") > F.col("no_b")) & near)
+        return same.unionByName(meet(p, i, (F.col("no") != F.col("no_b")) & near))
+
+    plain = both(split(index, "left_anti"), split(probe, "left_anti"), F.lit(True))
+    hot_index, hot_probe = split(index, "left_semi"), split(probe, "left_semi")
+    # A probe matters only where an index entry shares its key, but whoever shares a slot may be signed as well.
+    texts = texts_of(found, lines, hot_index.select("no").unionByName(hot_probe.select("no")))
+    signed = materialise(texts.select(F.col("no").alias("of"), signature(F.col("line")).alias("sign")))
+    release(texts)
+
+    def with_sign(entries: DataFrame) -> DataFrame:
+        return entries.join(signed, F.col("no") == F.col("of")).select("no", "key", "sign")
+
+    near = F.bit_count(F.col("sign").bitwiseXOR(F.col("sign_b"))) <= PAIRS_PER_EDIT * edits
+    crowd = both(with_sign(hot_index), with_sign(hot_probe), near)
+    pairs = materialise(plain.unionByName(crowd).distinct())
+    release(crowded)
+    release(signed)
+    return pairs
+
+
+def line_links(found: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """``a, b`` (a > b): numbers of distinct lines within the edits that the shorter one allows."""
+    pairs = candidate_pairs(found, lines, edits)
+    texts = texts_of(found, lines, pairs.select(F.col("a").alias("no")).unionByName(pairs.select(F.col("b").alias("no"))))
+    left, right = texts.select(F.col("no").alias("of_a"), F.col("line").alias("line_a")), texts.select(F.col("no").alias("of_b"), F.col("line").alias("line_b"))
+    both = pairs.join(left, F.col("a") == F.col("of_a")).join(right, F.col("b") == F.col("of_b"))
+    most = allowed_edits(F.least(F.char_length("line_a"), F.char_length("line_b")), edits)
+    verdict = F.lit(False)
+    for t in range(1, edits + 1):
+        verdict = F.when(most == t, within_edits(F.col("line_a"), F.col("line_b"), t)).otherwise(verdict)
+    links = materialise(both.filter(verdict).select("a", "b"))
+    release(pairs)
+    release(texts)
+    return links
+
+
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+    """``doc_id, row_no, line_no, class, kept`` of every line with a word, and one row of nulls for every row without one.
+
+    ``class`` names the line's class: equal lines, and lines connected by links
+    of at most one edit for each :data:`CHARS_PER_EDIT` characters of the
+    shorter line, up to ``edits``. The first line of a class, by document id,
+    row and place, is kept; null ids come last. ``row_no`` tells rows of equal
+    ids, and repeated rows, apart. Two lines with the same 128 bits of digest
+    but different checksums stop the run.
     """
     found = occurrences(docs, id_col, text_col)
-    # Equal lines meet in the tasks first, so a line of any number of copies sends one row per task.
-    lines = found.groupBy("lid").agg(F.first("line").alias("line"))
-    roots = components(line_links(lines, edits, min_chars))
-    marks = materialise(found.select("doc_id", "line_no", "lid"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("line_no"))
-    firsts = marks.groupBy("lid").agg(F.min(place).alias("place"))
-    named = firsts.join(roots, F.col("lid") == F.col("node"), "left").select("lid", "place", F.coalesce("root", "lid").alias("class"))
-    best = named.groupBy("class").agg(F.min("place").alias("best"))
-    named = materialise(named.join(best, "class").select(F.col("lid").alias("key"), "class", "best"))
-    kept = (F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("line_no") == F.col("best.line_no"))
-    return marks.join(named, marks["lid"] == named["key"]).select("doc_id", "line_no", F.lower(F.hex("class")).alias("class"), kept.alias("kept"))
-
-
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, n_lines, dropped``: for every id with a line, how many lines with a word it has and which go, by number from 0.
-
-    Null and empty texts have no line and no row here; repeated ids share one row.
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row_no"), F.col("line_no"))
+    worded = F.col("line").isNotNull()
+    names = [F.when(worded, d).alias(k) for k, d in zip(("h1", "h2"), digests(F.col("line")), strict=True)]
+    marks = materialise(found.select("doc_id", "row_no", "line_no", *names, F.crc32(F.col("line").cast("binary")).alias("sum")))
+    lines = distinct_lines(found, edits)
+    roots = components(line_links(found, lines, edits))
+    ids = lines.select("no", "h1", "h2")
+    linked = roots.join(ids, F.col("node") == F.col("no")).select("root", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    linked = materialise(linked.join(ids.select("no", F.col("h1").alias("c1"), F.col("h2").alias("c2")), F.col("root") == F.col("no")).select("g1", "g2", "c1", "c2"))
+    release(lines)
+    clash = F.raise_error(F.lit("two lines share a digest")).cast("bigint")
+    groups = marks.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(place).alias("best"), F.min("sum").alias("s0"), F.max("sum").alias("s1"))
+    groups = groups.select(F.when(F.col("s0") == F.col("s1"), F.col("h1")).otherwise(clash).alias("h1"), "h2", "best")
+    named = groups.join(linked, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").select("h1", "h2", "best", "c1", "c2")
+    named = materialise(named)
+    release(linked)
+    # Only linked lines have a class of several; their table is no larger than that of the links.
+    least = named.filter("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("best").alias("first")).withColumnsRenamed({"c1": "d1", "c2": "d2"})
+    named = named.join(least, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")), "left")
+    named = materialise(
+        named.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2"), F.coalesce("first", "best").alias("first"))
+    )
+    kept = (F.col("row_no") == F.col("first.row_no")) & (F.col("line_no") == F.col("first.line_no"))
+    placed = marks.join(named, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
+    name = F.lower(F.concat(F.lpad(F.hex("c1"), 16, "0"), F.lpad(F.hex("c2"), 16, "0")))
+    return placed.select("doc_id", "row_no", F.when(F.col("h1").isNotNull(), F.col("line_no")).alias("line_no"), name.alias("class"), kept.alias("kept"))
+
+
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+    """``doc_id, row_no, n_lines, dropped`` for every row: how many lines with a word it has and which go, by number from 0.
+
+    Null and empty texts have no line. Rows of one id, and repeated rows, have a
+    row each. An empty table gives no rows. Other columns don't matter.
     """
-    classes = line_classes(docs, id_col, text_col, edits, min_chars)
+    classes = line_classes(docs, id_col, text_col, edits)
     gone = F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("line_no"))))
-    return classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), gone.alias("dropped"))
-
-
-def drop_near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the dropped lines cut out of ``text``; same columns. Ids are taken to be unique here."""
-    gone = dropped_lines(docs, id_col, text_col, edits, min_chars).filter(F.size("dropped") > 0).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains(F.col("_dropped"), i))
-    text = F.when(F.col("_dropped").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
+    return classes.groupBy("row_no").agg(F.first("doc_id").alias("doc_id"), F.count("line_no").alias("n_lines"), gone.alias("dropped")).select("doc_id", "row_no", "n_lines", "dropped")
+
+
+def drop_near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+    """``docs`` with the dropped lines cut out of ``text``; same columns, whatever their names. Rows of equal ids are told apart."""
+    own, of, cut = (free_name(docs, x) for x in ("row", "of", "cut"))
+    # Written once, so that a row's number is the same wherever it is read.
+    numbered = materialise(docs.withColumn(own, F.monotonically_increasing_id()))
+    as_ids = numbered.select(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(own).alias("own")).alias("id"), F.col(text_col).alias("text"))
+    gone = dropped_lines(as_ids, "id", "text", edits).filter(F.size("dropped") > 0).select(F.col("doc_id.own").alias(of), F.col("dropped").alias(cut))
+    joined = numbered.join(gone, F.col(own) == F.col(of), "left")
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col(cut), i))
+    text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))

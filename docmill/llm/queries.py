@@ -109,11 +109,9 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = dropped_lines(docs).withColumnRenamed("doc_id", "id")
-    return docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
+    return dropped_lines(table(spark, sf_dir, "documents")).select(
         "doc_id",
-        F.coalesce("n_lines", F.lit(0).cast("bigint")).alias("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
-        F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped"),
+        "n_lines",
+        F.size("dropped").cast("bigint").alias("n_dropped"),
+        F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"),
     )

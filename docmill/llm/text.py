@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -26,3 +26,11 @@ def words(text: Column) -> Column:
 def unit_hash(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the columns' values only."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) * F.lit(2.0**-53)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

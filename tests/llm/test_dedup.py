@@ -121,34 +121,107 @@ def test_banded_automaton_against_brute_force(spark):
         assert [r for r in got if r.w != (edit_distance(r.a, r.b) <= edits)] == []
 
 
-def test_line_links_against_all_pairs(spark):
+def edited(rnd, text, times):
+    c = list(text)
+    for _ in range(times):
+        i = rnd.randrange(len(c))
+        c[i : i + rnd.randrange(2)] = rnd.choice(["", "x", "yz"])
+    return "".join(c)
+
+
+def near_lines(a, b):
+    return edit_distance(a, b) <= min(2, min(len(a), len(b)) // 12)
+
+
+def brute_classes(lines):
+    """The least line of each line's class."""
+    root = {x: x for x in lines}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    lines = sorted(root)
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            if abs(len(a) - len(b)) <= 2 and near_lines(a, b):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {x: find(x) for x in lines}
+
+
+def test_line_links_against_all_pairs(spark, monkeypatch):
     rnd = random.Random(9)
     lines = set()
-    for _ in range(30):
-        base = [rnd.choice("abcdefgh ") for _ in range(rnd.randrange(24, 70))]
-        lines.add("".join(base))
-        for _ in range(4):
-            c = list(base)
-            for _ in range(rnd.randrange(1, 4)):
-                i = rnd.randrange(len(c))
-                c[i : i + rnd.randrange(2)] = rnd.choice(["", "x", "yz"])
-            lines.add("".join(c))
-    lines = sorted(x for x in lines if len(x) >= line_dedup.MIN_CHARS)
-    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("lid", F.unhex(F.md5("line")))
-    md5 = {x: hashlib.md5(x.encode()).digest() for x in lines}
-    want = {tuple(sorted((md5[a], md5[b]), reverse=True)) for i, a in enumerate(lines) for b in lines[:i] if edit_distance(a, b) <= 2}
-    assert {(bytes(r.a), bytes(r.b)) for r in line_dedup.line_links(df).collect()} == want and want
+    for _ in range(40):
+        base = "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randrange(10, 70)))
+        lines.update([base, *(edited(rnd, base, rnd.randrange(1, 4)) for _ in range(4))])
+    # A family of one template: one word of each is changed, some by a letter or two.
+    words = [f"word{chr(97 + i)}" for i in range(18)]
+    for i in range(60):
+        own = list(words)
+        k = rnd.randrange(len(own))
+        own[k] = own[k][:-1] + rnd.choice("uvw") if i % 3 else "".join(rnd.choice("pqrst") for _ in range(7))
+        lines.add(" ".join(own))
+    lines = sorted(x for x in lines if x.strip())
+    want = {(a, b) for i, a in enumerate(lines) for b in lines[:i] if near_lines(a, b)}
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    for few in (line_dedup.FEW, 2):
+        # With few entries to a slot, the crowded way is taken for many of them.
+        monkeypatch.setattr(line_dedup, "FEW", few)
+        found = line_dedup.occurrences(docs, "doc_id", "text")
+        distinct = line_dedup.distinct_lines(found, 2)
+        text = {r.no: r.line for r in line_dedup.texts_of(found, distinct, distinct.select("no")).collect()}
+        got = {tuple(sorted((text[r.a], text[r.b]), reverse=True)) for r in line_dedup.line_links(found, distinct).collect()}
+        assert got == want and len(want) > 100
+
+
+def test_line_signatures_bound_edits(spark):
+    rnd = random.Random(2)
+    rows = []
+    for _ in range(300):
+        a = "".join(rnd.choice("abé d") for _ in range(rnd.randrange(24, 60)))
+        rows.append((a, edited(rnd, a, 1)[: len(a) + 1]))
+    df = spark.createDataFrame(rows, "a string, b string")
+    far = df.select("a", "b", F.bit_count(line_dedup.signature(F.col("a")).bitwiseXOR(line_dedup.signature(F.col("b")))).alias("bits")).collect()
+    assert all(r.bits <= line_dedup.PAIRS_PER_EDIT * edit_distance(r.a, r.b) for r in far)
 
 
 def test_line_dedup_of_documents(make_docs, odd):
     near = "this line is long enough to be compared"
     docs = make_docs([(1, f"{near}\nshort\n\nshort"), (2, f"own line\n{near}!\nshort"), (3, None), (None, near)], extra=True)
     got = {r.doc_id: (r.n_lines, r.dropped) for r in line_dedup.dropped_lines(docs).collect()}
-    assert got == {1: (3, [3]), 2: (3, [1, 2]), None: (1, [0])}
+    assert got == {1: (3, [3]), 2: (3, [1, 2]), 3: (0, []), None: (1, [0])}
     cut = {r.doc_id: r.text for r in line_dedup.drop_near_lines(docs).collect()}
     assert cut == {1: f"{near}\nshort\n", 2: "own line", 3: None, None: ""}
+    assert line_dedup.drop_near_lines(docs).columns == docs.columns
     assert line_dedup.dropped_lines(make_docs([])).collect() == []
-    assert line_dedup.dropped_lines(make_docs(odd, extra=True)).count() > 0
+    assert line_dedup.dropped_lines(make_docs(odd, extra=True)).count() == len(odd)
+
+
+def test_line_dedup_of_repeated_rows_and_ids(make_docs):
+    docs = make_docs([(1, "one line of its own here"), (1, "one line of its own here"), (1, "another text\none line of its own here")])
+    got = sorted((r.n_lines, r.dropped) for r in line_dedup.dropped_lines(docs).collect())
+    assert got == [(1, []), (1, [0]), (2, [1])]
+    assert sorted(r.text for r in line_dedup.drop_near_lines(docs).collect()) == ["", "another text", "one line of its own here"]
+
+
+def test_line_dedup_query_against_brute_force(spark, make_docs, tmp_path):
+    from docmill.llm.queries import op10_line_dedup
+
+    rnd = random.Random(5)
+    pool = ["".join(rnd.choice("abcde fgh") for _ in range(rnd.randrange(3, 50))) + "z" for _ in range(30)]
+    rows = [(i, "\n".join(edited(rnd, rnd.choice(pool), rnd.randrange(3)) for _ in range(rnd.randrange(6)))) for i in range(60)]
+    make_docs([*rows, (60, None), (61, "")]).write.parquet(f"{tmp_path}/documents.parquet")
+    lines = [(i, k, x) for i, t in rows for k, x in enumerate(t.split("\n")) if x.strip()]
+    classes, seen, want = brute_classes([x for *_, x in lines]), set(), {i: (0, []) for i in range(62)}
+    for i, k, x in lines:
+        n, gone = want[i]
+        want[i] = (n + 1, gone + [k] if classes[x] in seen else gone)
+        seen.add(classes[x])
+    got = {r.doc_id: (r.n_lines, [int(x) for x in r.dropped.split(",") if x]) for r in op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == want
 
 
 def test_native_operators_run_no_python(make_docs):
