@@ -32,7 +32,7 @@ EDITS, CHARS_PER_EDIT = 2, 12
 BLOCK = 16
 #: Slots in which index entries are counted. A slot with more than CROWDED times the mean and FEW is joined with signatures,
 #: so at most SLOTS / CROWDED slots are broadcast.
-SLOTS, CROWDED, FEW = 1 << 20, 4, 64
+SLOTS, CROWDED, FEW = 1 << 20, 4, 8
 #: Bits of the filter that finds the lines whose texts are wanted; it is broadcast as at most so many bits / 64 numbers.
 FILTER_BITS = 1 << 22
 #: Letter pairs that one edit changes at most.
@@ -68,26 +68,30 @@ def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def segment_keys(line: Column, length: Column, edits: int = EDITS) -> tuple[list[Column], list[Column]]:
+def segment_keys(wide: Column, length: Column, edits: int = EDITS) -> tuple[list[Column], list[Column]]:
     """The keys of a line's own segments, and those of further substrings that may equal a segment of another line not longer.
 
-    A column is null where the line is too short for it. The own segments probe lines of the same length, too.
+    ``wide`` is the line in UTF-32, where a substring is a slice. A key is null
+    where the line is too short for it. The own segments probe lines of the
+    same length, too.
     """
 
     def by_edits(shorter: int, places) -> list[Column]:
         """``places`` gives (segment, shift) for a number of edits; which number holds depends on the shorter line's length."""
         other = length - shorter
+        most = allowed_edits(other, edits)
         found = {t: places(t) for t in range(1, edits + 1)}
         out = []
         for k in range(max(map(len, found.values()))):
-            value = F.lit(None).cast("bigint")
+            first, chars, segment = (F.lit(None).cast("int") for _ in range(3))
             for t, own in found.items():
                 if k < len(own):
                     i, shift = own[k]
                     p, n = _segments(other, t)[i]
-                    fits = (allowed_edits(other, edits) == t) & (p + shift >= 1) & (p + shift + n - 1 <= length)
-                    value = F.when(fits, F.xxhash64(other, F.lit(i), F.substring(line, p + shift, n))).otherwise(value)
-            out.append(value)
+                    first = F.when(most == t, p + shift).otherwise(first)
+                    chars, segment = F.when(most == t, n).otherwise(chars), F.when(most == t, i).otherwise(segment)
+            piece = F.substring(wide, 4 * first - 3, 4 * chars)
+            out.append(F.when((first >= 1) & (first + chars - 1 <= length), F.xxhash64(other, segment, piece)))
         return out
 
     def near_by(shorter: int):
@@ -204,11 +208,17 @@ def signature(line: Column) -> Column:
     return _bound(_chars(line), parity)
 
 
+def _near(a: Column, b: Column, edits: int) -> Column:
+    """Whether two lines of these signatures can be within the edits at all."""
+    return F.bit_count(a.bitwiseXOR(b)) <= PAIRS_PER_EDIT * edits
+
+
 def distinct_lines(found: DataFrame, edits: int) -> DataFrame:
     """``no, h1, h2, n, index, probe`` of the distinct lines that may have an edit, written to the shared folder."""
     n = F.char_length("line")
-    named = found.filter(n >= CHARS_PER_EDIT).select("line", n.alias("n"), *digests(F.col("line")))
-    index, probe = segment_keys(F.col("line"), F.col("n"), edits)
+    named = found.filter(n >= CHARS_PER_EDIT).select(F.encode("line", "UTF-32").alias("wide"), *digests(F.col("line")))
+    named = named.withColumn("n", F.floor(F.octet_length("wide") / 4).cast("int"))
+    index, probe = segment_keys(F.col("wide"), F.col("n"), edits)
     keys = {f"i{k}": v for k, v in enumerate(index)} | {f"p{k}": v for k, v in enumerate(probe)}
     # Equal lines have equal keys and fold in the tasks first: a line of any number of copies sends one row per task, of numbers only.
     folded = named.select("h1", "h2", "n", *(v.alias(k) for k, v in keys.items())).groupBy("h1", "h2").agg(F.max("n").alias("n"), *(F.max(k).alias(k) for k in keys))
@@ -271,8 +281,7 @@ def candidate_pairs(found: DataFrame, lines: DataFrame, edits: int) -> DataFrame
     def with_sign(entries: DataFrame) -> DataFrame:
         return entries.join(signed, F.col("no") == F.col("of")).select("no", "key", "sign")
 
-    near = F.bit_count(F.col("sign").bitwiseXOR(F.col("sign_b"))) <= PAIRS_PER_EDIT * edits
-    crowd = both(with_sign(hot_index), with_sign(hot_probe), near)
+    crowd = both(with_sign(hot_index), with_sign(hot_probe), _near(F.col("sign"), F.col("sign_b"), edits))
     pairs = materialise(plain.unionByName(crowd).distinct())
     release(crowded)
     release(signed)
@@ -283,8 +292,13 @@ def line_links(found: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFr
     """``a, b`` (a > b): numbers of distinct lines within the edits that the shorter one allows."""
     pairs = candidate_pairs(found, lines, edits)
     texts = texts_of(found, lines, pairs.select(F.col("a").alias("no")).unionByName(pairs.select(F.col("b").alias("no"))))
-    left, right = texts.select(F.col("no").alias("of_a"), F.col("line").alias("line_a")), texts.select(F.col("no").alias("of_b"), F.col("line").alias("line_b"))
-    both = pairs.join(left, F.col("a") == F.col("of_a")).join(right, F.col("b") == F.col("of_b"))
+    signs = materialise(texts.select("no", signature(F.col("line")).alias("sign")))
+    met = pairs
+    for side in "ab":
+        met = met.join(signs.withColumnsRenamed({c: f"{c}_{side}" for c in signs.columns}), F.col(side) == F.col(f"no_{side}"))
+    both = met.filter(_near(F.col("sign_a"), F.col("sign_b"), edits)).select("a", "b")
+    for side in "ab":
+        both = both.join(texts.select(F.col("no").alias(f"of_{side}"), F.col("line").alias(f"line_{side}")), F.col(side) == F.col(f"of_{side}"))
     most = allowed_edits(F.least(F.char_length("line_a"), F.char_length("line_b")), edits)
     verdict = F.lit(False)
     for t in range(1, edits + 1):
@@ -292,6 +306,7 @@ def line_links(found: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFr
     links = materialise(both.filter(verdict).select("a", "b"))
     release(pairs)
     release(texts)
+    release(signs)
     return links
 
 
@@ -308,7 +323,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = occurrences(docs, id_col, text_col)
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row_no"), F.col("line_no"))
     worded = F.col("line").isNotNull()
-    names = [F.when(worded, d).alias(k) for k, d in zip(("h1", "h2"), digests(F.col("line")), strict=True)]
+    # A row without words gets numbers of its own, so that such rows don't meet under one key.
+    names = [F.when(worded, d).otherwise(F.col("row_no")).alias(k) for k, d in zip(("h1", "h2"), digests(F.col("line")), strict=True)]
     marks = materialise(found.select("doc_id", "row_no", "line_no", *names, F.crc32(F.col("line").cast("binary")).alias("sum")))
     lines = distinct_lines(found, edits)
     roots = components(line_links(found, lines, edits))
@@ -317,21 +333,20 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked = materialise(linked.join(ids.select("no", F.col("h1").alias("c1"), F.col("h2").alias("c2")), F.col("root") == F.col("no")).select("g1", "g2", "c1", "c2"))
     release(lines)
     clash = F.raise_error(F.lit("two lines share a digest")).cast("bigint")
-    groups = marks.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(place).alias("best"), F.min("sum").alias("s0"), F.max("sum").alias("s1"))
+    groups = marks.filter("sum IS NOT NULL").groupBy("h1", "h2").agg(F.min(place).alias("best"), F.min("sum").alias("s0"), F.max("sum").alias("s1"))
     groups = groups.select(F.when(F.col("s0") == F.col("s1"), F.col("h1")).otherwise(clash).alias("h1"), "h2", "best")
-    named = groups.join(linked, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").select("h1", "h2", "best", "c1", "c2")
-    named = materialise(named)
+    named = groups.join(linked, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
+    named = materialise(named.select("h1", "h2", "best", F.col("c1").isNotNull().alias("linked"), F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2")))
     release(linked)
     # Only linked lines have a class of several; their table is no larger than that of the links.
-    least = named.filter("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("best").alias("first")).withColumnsRenamed({"c1": "d1", "c2": "d2"})
-    named = named.join(least, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")), "left")
-    named = materialise(
-        named.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2"), F.coalesce("first", "best").alias("first"))
-    )
+    least = named.filter("linked").groupBy(F.col("c1").alias("d1"), F.col("c2").alias("d2")).agg(F.min("best").alias("first"))
+    classes = named.join(least, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")), "left")
+    classes = materialise(classes.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "c1", "c2", F.coalesce("first", "best").alias("first")))
+    release(named)
     kept = (F.col("row_no") == F.col("first.row_no")) & (F.col("line_no") == F.col("first.line_no"))
-    placed = marks.join(named, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
+    placed = marks.join(classes, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
     name = F.lower(F.concat(F.lpad(F.hex("c1"), 16, "0"), F.lpad(F.hex("c2"), 16, "0")))
-    return placed.select("doc_id", "row_no", F.when(F.col("h1").isNotNull(), F.col("line_no")).alias("line_no"), name.alias("class"), kept.alias("kept"))
+    return placed.select("doc_id", "row_no", F.when(F.col("sum").isNotNull(), F.col("line_no")).alias("line_no"), name.alias("class"), kept.alias("kept"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:

@@ -167,7 +167,7 @@ def test_line_links_against_all_pairs(spark, monkeypatch):
     lines = sorted(x for x in lines if x.strip())
     want = {(a, b) for i, a in enumerate(lines) for b in lines[:i] if near_lines(a, b)}
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
-    for few in (line_dedup.FEW, 2):
+    for few in (1000, 1):
         # With few entries to a slot, the crowded way is taken for many of them.
         monkeypatch.setattr(line_dedup, "FEW", few)
         found = line_dedup.occurrences(docs, "doc_id", "text")
