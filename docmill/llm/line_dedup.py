@@ -57,55 +57,50 @@ def digests(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")]
 
 
-def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """1-based start and length of each of ``edits`` + 1 even segments; the last ones are longer by one where it doesn't divide."""
-    parts = edits + 1
-    base, extra = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    out = []
-    for i in range(parts):
-        longer = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - extra))
-        out.append((base * i + longer + 1, base + F.when(F.lit(i) >= F.lit(parts) - extra, 1).otherwise(0)))
-    return out
-
-
-def segment_keys(wide: Column, length: Column, edits: int = EDITS) -> tuple[list[Column], list[Column]]:
-    """The keys of a line's own segments, and those of further substrings that may equal a segment of another line not longer.
-
-    ``wide`` is the line in UTF-32, where a substring is a slice. A key is null
-    where the line is too short for it. The own segments probe lines of the
-    same length, too.
+def segment_keys(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, list[str], list[str]]:
+    """``lines`` with one column for each key, null where the line has none, and the names of the keys of either kind.
+
+    The first kind are the keys of a line's own segments, which also probe
+    lines of its length. The others are those of further substrings that may
+    equal a segment of a line ``shorter`` by up to ``edits``. ``lines`` has the
+    line in UTF-32 as ``wide``, where a substring is a slice, and its length as
+    ``n``. A line of t edits is cut into t + 1 even segments, the last ones longer by
+    one where it doesn't divide.
     """
-
-    def by_edits(shorter: int, places) -> list[Column]:
-        """``places`` gives (segment, shift) for a number of edits; which number holds depends on the shorter line's length."""
-        other = length - shorter
-        most = allowed_edits(other, edits)
-        found = {t: places(t) for t in range(1, edits + 1)}
-        out = []
-        for k in range(max(map(len, found.values()))):
-            first, chars, segment = (F.lit(None).cast("int") for _ in range(3))
-            for t, own in found.items():
-                if k < len(own):
-                    i, shift = own[k]
-                    p, n = _segments(other, t)[i]
-                    first = F.when(most == t, p + shift).otherwise(first)
-                    chars, segment = F.when(most == t, n).otherwise(chars), F.when(most == t, i).otherwise(segment)
-            piece = F.substring(wide, 4 * first - 3, 4 * chars)
-            out.append(F.when((first >= 1) & (first + chars - 1 <= length), F.xxhash64(other, segment, piece)))
-        return out
-
-    def near_by(shorter: int):
-        # Of t edits at most i lie before segment i + 1 and t - i after it.
-        return lambda t: [
-            (i, shift)
-            for i in range(t + 1)
-            if shorter <= t
-            for shift in range(max(-i, shorter - (t - i)), min(i, shorter + (t - i)) + 1)
-            if shorter or shift
-        ]
-
-    index = by_edits(0, lambda t: [(i, 0) for i in range(t + 1)])
-    return index, [key for shorter in range(edits + 1) for key in by_edits(shorter, near_by(shorter))]
+    if 2 * edits > CHARS_PER_EDIT:
+        raise ValueError("segments would be too short for so many edits")
+
+    # Where the segments of every length end is worked out once for all keys of that length.
+    ends: dict[str, Column] = {}
+    for shorter in range(edits + 1):
+        m = F.col("n") - shorter
+        ends[f"t{shorter}"] = allowed_edits(m, edits)
+        for i in range(edits + 1):
+            end = m
+            for t in range(max(i, 1), edits + 1):
+                # Of t + 1 segments, the last m % (t + 1) ones are longer.
+                late = i + 1 - (t + 1 - m % (t + 1))
+                end = F.when(F.col(f"t{shorter}") == t, F.floor(m / (t + 1)).cast("int") * (i + 1) + F.greatest(late, F.lit(0))).otherwise(end)
+            ends[f"e{shorter}_{i}"] = end
+    limits = {k: v for k, v in ends.items() if k[0] == "t"}
+    sized = lines.select("*", *(v.alias(k) for k, v in limits.items()))
+    sized = sized.select("*", *(v.alias(k) for k, v in ends.items() if k[0] == "e"))
+
+    kinds: dict[str, list[Column]] = {"own": [], "near": []}
+    for shorter in range(edits + 1):
+        for i in range(edits + 1):
+            # Of t edits at most i lie before segment i + 1 and t - i after it.
+            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
+                least = next(t for t in range(max(shorter, i, 1), edits + 1) if shorter - (t - i) <= shift <= shorter + t - i)
+                start, end = F.col(f"e{shorter}_{i - 1}") if i else F.lit(0), F.col(f"e{shorter}_{i}")
+                piece = F.substring("wide", 4 * (start + shift) + 1, 4 * (end - start))
+                key = F.when(F.col(f"t{shorter}") >= least, F.xxhash64(F.col("n") - shorter, F.lit(i), piece))
+                kinds["near" if shorter or shift else "own"].append(key)
+    # Through arrays with a function of their elements, Spark computes the keys in many small methods instead of one too long for the JVM to compile.
+    others = [c for c in lines.columns if c not in ("wide", "n")]
+    piled = sized.select(*others, *(F.filter(F.array(*keys), lambda x: x.isNotNull()).alias(kind) for kind, keys in kinds.items()))
+    names = {kind: [f"{kind}{k}" for k in range(len(keys))] for kind, keys in kinds.items()}
+    return piled.select(*others, *(F.get(kind, F.lit(k)).alias(name) for kind, own in names.items() for k, name in enumerate(own))), names["own"], names["near"]
 
 
 def _bound(value: Column, f) -> Column:
@@ -214,19 +209,18 @@ def _near(a: Column, b: Column, edits: int) -> Column:
 
 
 def distinct_lines(found: DataFrame, edits: int) -> DataFrame:
-    """``no, h1, h2, n, index, probe`` of the distinct lines that may have an edit, written to the shared folder."""
+    """``no, h1, h2`` and the keys of the distinct lines that may have an edit, written to the shared folder."""
     n = F.char_length("line")
     named = found.filter(n >= CHARS_PER_EDIT).select(F.encode("line", "UTF-32").alias("wide"), *digests(F.col("line")))
     named = named.withColumn("n", F.floor(F.octet_length("wide") / 4).cast("int"))
-    index, probe = segment_keys(F.col("wide"), F.col("n"), edits)
-    keys = {f"i{k}": v for k, v in enumerate(index)} | {f"p{k}": v for k, v in enumerate(probe)}
+    keyed, own, near = segment_keys(named, edits)
     # Equal lines have equal keys and fold in the tasks first: a line of any number of copies sends one row per task, of numbers only.
-    folded = named.select("h1", "h2", "n", *(v.alias(k) for k, v in keys.items())).groupBy("h1", "h2").agg(F.max("n").alias("n"), *(F.max(k).alias(k) for k in keys))
+    folded = keyed.groupBy("h1", "h2").agg(*(F.max(k).alias(k) for k in own + near))
     return materialise(folded.withColumn("no", F.monotonically_increasing_id()))
 
 
 def _entries(lines: DataFrame, kind: str) -> DataFrame:
-    columns = [F.col(c) for c in lines.columns if c[0] == kind and c[1:].isdigit()]
+    columns = [F.col(c) for c in lines.columns if c.startswith(kind)]
     return lines.select("no", F.explode(F.array_distinct(F.filter(F.array(*columns), lambda x: x.isNotNull()))).alias("key"))
 
 
@@ -254,7 +248,7 @@ def texts_of(found: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame
 
 def candidate_pairs(found: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     """``a, b`` (a > b) of lines that share a key and, where many do, have near signatures; written to the shared folder."""
-    index, probe = _entries(lines, "i"), _entries(lines, "p")
+    index, probe = _entries(lines, "own"), _entries(lines, "near")
     counts = index.groupBy(_slot(F.col("key")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     mean = F.broadcast(counts.agg((F.sum("n") / SLOTS).alias("mean")))
     crowded = materialise(counts.crossJoin(mean).filter((F.col("n") > CROWDED * F.col("mean")) & (F.col("n") > FEW)).select("slot"))
