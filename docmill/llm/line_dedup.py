@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.simhash import components
-from docmill.llm.text import free_name
+from docmill.llm.text import free_name, possibly_in
 from docmill.storage import materialise, release
 
 #: Edits that near-duplicate lines may differ by at most, and the characters of the shorter one that each edit needs.
@@ -33,8 +33,6 @@ BLOCK = 16
 #: Slots in which index entries are counted. A slot with more than CROWDED times the mean and FEW is joined with signatures,
 #: so at most SLOTS / CROWDED slots are broadcast.
 SLOTS, CROWDED, FEW = 1 << 20, 4, 8
-#: Bits of the filter that finds the lines whose texts are wanted; it is broadcast as at most so many bits / 64 numbers.
-FILTER_BITS = 1 << 22
 #: Letter pairs that one edit changes at most.
 PAIRS_PER_EDIT = 4
 
@@ -231,15 +229,8 @@ def _slot(key: Column) -> Column:
 def texts_of(found: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """``no, line`` for the ``no`` of ``wanted``, written to the shared folder."""
     wanted = materialise(wanted.distinct().join(lines.select(F.col("no").alias("of"), "h1", "h2"), F.col("no") == F.col("of")).select("no", "h1", "h2"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("h1", F.lit(64)).cast("int"))
-
-    def word(h: Column) -> Column:
-        return F.pmod(F.shiftright(h, 6), F.lit(FILTER_BITS // 64))
-
-    # At most FILTER_BITS / 64 rows, whatever is wanted.
-    bits = wanted.groupBy(word(F.col("h1")).alias("word")).agg(F.bit_or(bit).alias("bits"))
     named = found.filter(F.char_length("line") >= CHARS_PER_EDIT).select("line", *digests(F.col("line")))
-    some = named.join(F.broadcast(bits), word(F.col("h1")) == F.col("word")).filter(F.col("bits").bitwiseAND(bit) != 0)
+    some = possibly_in(named, F.col("h1"), wanted, F.col("h1"))
     texts = some.groupBy("h1", "h2").agg(F.first("line").alias("line"))
     out = materialise(texts.join(wanted.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select("no", "line"))
     release(wanted)

@@ -34,6 +34,8 @@ RISK, ERROR = 0.05, 0.05
 GRID = [0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 #: Documents with fewer words, or more repeated words in a hundred, fail whatever the labels say.
 MIN_WORDS, MAX_REPEATED = 50, 50
+#: Strata up to which their cutoffs are broadcast.
+MAX_BROADCAST_STRATA = 10_000
 
 
 def repeated_words(w: Column) -> Column:
@@ -189,16 +191,18 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     and fail the base rules. A null stratum is a stratum of its own. Repeated
     ids are judged row by row. Without labels only the base rules reject.
     """
-    basis = materialise(measures(docs, id_col, text_col, stratum_col))
-    # Whole rows are measured again rather than stored or shuffled.
-    measured = measures(docs, id_col, text_col, stratum_col, keep_row) if keep_row else basis
+    # Measured once; where whole rows are kept, they are written along and only the last step reads them.
+    measured = materialise(measures(docs, id_col, text_col, stratum_col, keep_row))
     # One row per stratum with enough labels, of a map of at most five entries, and the pool's.
-    bounds = materialise(certified_cutoffs(basis, labels))
+    bounds = materialise(certified_cutoffs(measured.drop("row"), labels))
+    own = bounds.filter("stratum IS NOT NULL").withColumnRenamed("stratum", "of")
+    # So few strata are a small table; a stratum may hold most rows, so these stay where they are.
+    own = F.broadcast(own) if own.count() <= MAX_BROADCAST_STRATA else own
     pool = bounds.filter("stratum IS NULL").agg(F.first("bounds").alias("pooled"))
     rejects = F.lit(False)
     for k, v in shares().items():
         rejects = rejects | F.coalesce(v > F.coalesce("bounds", "pooled")[k], F.lit(False))
-    judged = measured.join(bounds.filter("stratum IS NOT NULL"), "stratum", "left").crossJoin(F.broadcast(pool))
+    judged = measured.join(own, F.col("stratum") == F.col("of"), "left").crossJoin(F.broadcast(pool))
     return judged.select(
         "doc_id",
         "n_words",

@@ -34,3 +34,24 @@ def free_name(df: DataFrame, name: str) -> str:
     while name in taken:
         name += "_"
     return name
+
+
+#: Bits of the filter of :func:`possibly_in`; it is broadcast as at most so many bits / 64 rows.
+FILTER_BITS = 1 << 22
+
+
+def possibly_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """Those of ``rows`` whose ``key`` may be among the ``wanted_key``: all that are, and few others while the filter isn't full.
+
+    Keys are hashes of 64 bits. The filter has a fixed size, whatever is wanted.
+    """
+    place, held = free_name(rows, "place"), free_name(rows, "held")
+
+    def word(h: Column) -> Column:
+        return F.pmod(F.shiftright(h, 6), F.lit(FILTER_BITS // 64))
+
+    def bit(h: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))
+
+    bits = wanted.groupBy(word(wanted_key).alias(place)).agg(F.bit_or(bit(wanted_key)).alias(held))
+    return rows.join(F.broadcast(bits), word(key) == F.col(place)).filter(F.col(held).bitwiseAND(bit(key)) != 0).select(*rows.columns)
