@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: N-grams in a language profile and in a document's list.
 PROFILE, LIST = 400, 300
-#: Characters that are folded and counted at once; counts of the parts add up.
+#: Characters that are folded at once.
 BLOCK = 1 << 18
 #: Most languages a model may have; with more the run stops rather than broadcast an unbounded table.
 MAX_LANGUAGES = 2000
@@ -42,19 +42,22 @@ def grams(text: str) -> np.ndarray:
     if not _letters:
         _letters.append(_letter_table())
     table, out = _letters[0], []
-    for at in range(0, len(text), BLOCK):
-        # The edge of a block counts as the edge of a word.
-        codes = np.frombuffer(text[at : at + BLOCK].encode("utf-32-le", "replace"), np.uint32)
-        low = np.concatenate(([32], table[codes], [32])).astype(np.int64)
+    # The last two characters before a block; n-grams that end in the block are its own.
+    before = np.array([32], np.int64)
+    for at in range(0, len(text) + BLOCK, BLOCK):
+        part = text[at : at + BLOCK]
+        # A blank after the last block ends the last word.
+        low = table[np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32)].astype(np.int64) if part else np.array([32], np.int64)
         letter = low != 32
-        keep = letter | np.concatenate(([True], letter[:-1]))
-        low = low[keep]
+        low = np.concatenate((before, low[letter | np.concatenate((before[-1:] != 32, letter[:-1]))]))
+        own = len(before)
+        out.append(low[own:][low[own:] != 32])
+        out.append(((low[:-1] << 21) | low[1:])[own - 1 :])
         a, b, c = low[:-2], low[1:-1], low[2:]
-        out.append(low[low != 32])
-        two = (low[:-1] << 21) | low[1:]
-        out.append(two)
-        out.append(((a << 42) | (b << 21) | c)[b != 32])
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+        three = ((a << 42) | (b << 21) | c)[max(own - 2, 0) :]
+        out.append(three[b[max(own - 2, 0) :] != 32])
+        before = low[-2:]
+    return np.concatenate(out)
 
 
 def ranked(values: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
