@@ -115,7 +115,13 @@ class Matcher:
         if len(self.automaton):
             for end, (size, weight) in self.automaton.iter(plain):
                 (spared if weight is None else hits).append((end - size + 1, end, weight))
-        total = sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in spared))
+        # Both lists come by end. From the last hit on, the earliest start of the phrases that end no sooner tells whether one holds the hit.
+        total, start = 0.0, len(plain)
+        for a, b, w in reversed(hits):
+            while spared and spared[-1][1] >= b:
+                start = min(start, spared.pop()[0])
+            if start > a:
+                total += w
         return total, words
 
 
