@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.bpe import OUT_BYTES, byte_alphabet, once, read_vocabulary
+from docmill.storage import materialise
 
 #: Documents to a group, about.
 GROUP_DOCS = 4096
@@ -103,37 +104,40 @@ def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.n
 
 
 def pieces(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, start, length, doc_tokens, ids``: every document's ids, cut at multiples of ``length``.
+    """``doc_id, row_no, start, length, doc_tokens, ids``: every document's ids, cut at multiples of ``length``.
 
-    ``vocabulary`` is a path on the driver; its content (a file of fixed size)
+    ``row_no`` tells rows of equal ids apart. ``vocabulary`` is a path on the driver; its content (a file of fixed size)
     is broadcast. Null and empty texts are the end id only.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     end = array("I", [end_id]).tobytes()
-    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = docs.select(docs[id_col].alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
     def run(batches):
         words = once(WordIds, shared.value)
         for batch in batches:
             kind = batch.schema.field(0).type
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             held = 0
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc, row, text in zip(*batch.columns, strict=True):
                 ids = words.encode(text.as_py()) + end
                 total = len(ids) // 4
                 for start in range(0, total, length):
                     part = ids[4 * start : 4 * (start + length)]
-                    for column, value in zip(out, (doc.as_py(), start, len(part) // 4, total, part), strict=True):
+                    for column, value in zip(out, (doc.as_py(), row.as_py(), start, len(part) // 4, total, part), strict=True):
                         column.append(value)
                     held += len(part)
                 if held >= OUT_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], kind), *(pa.array(c, pa.int64()) for c in out[1:4]), pa.array(out[4], pa.binary())], names=names)
-                    out, held = ([], [], [], [], []), 0
+                    yield batch_of(kind, out)
+                    out, held = ([], [], [], [], [], []), 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], kind), *(pa.array(c, pa.int64()) for c in out[1:4]), pa.array(out[4], pa.binary())], names=names)
+                yield batch_of(kind, out)
 
-    names = ["doc_id", "start", "length", "doc_tokens", "ids"]
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, doc_tokens bigint, ids binary")
+    def batch_of(kind, out):
+        return pa.RecordBatch.from_arrays([pa.array(out[0], kind), *(pa.array(c, pa.int64()) for c in out[1:5]), pa.array(out[5], pa.binary())], names=names)
+
+    names = ["doc_id", "row_no", "start", "length", "doc_tokens", "ids"]
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row_no bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
 
 
 def pack(
@@ -154,19 +158,21 @@ def pack(
     columns from a piece before anything is shuffled.
 
     Null and empty texts are packed as their end id. Null and repeated ids and
-    repeated rows are packed like others; rows of null id spread by their
-    length. An empty table gives no rows.
+    repeated rows are packed like others; rows are dealt to groups by their
+    place, so that no id gathers in one group. Pieces are written to the shared
+    folder first, so that a row's place stays the same. An empty table gives no
+    rows.
     """
     carry = {"ids": F.col("ids")} if carry is None else carry
-    groups = -(-docs.count() // GROUP_DOCS) or 1
     cut = pieces(docs, vocabulary, length, end_id, id_col, text_col)
-    group = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("doc_tokens")), F.lit(groups))
-    cut = cut.select("doc_id", "start", "length", "doc_tokens", group.alias("group_no"), *(v.alias(k) for k, v in carry.items()))
+    cut = materialise(cut.select("doc_id", "row_no", "start", "length", "doc_tokens", *(v.alias(k) for k, v in carry.items())))
+    groups = -(-cut.filter("start = 0").count() // GROUP_DOCS) or 1
+    cut = cut.withColumn("group_no", F.pmod(F.xxhash64(F.lit(seed), F.col("row_no")), F.lit(groups)))
 
     def placed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["row_no", "start"], kind="stable", ignore_index=True)
         bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), length)
-        return rows.drop(columns="group_no").assign(sequence_id=rows["group_no"].to_numpy() * (1 << 32) + bins, offset=offsets)
+        return rows.drop(columns=["group_no", "row_no"]).assign(sequence_id=rows["group_no"].to_numpy() * (1 << 32) + bins, offset=offsets)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields if f.name != "group_no"]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields if f.name not in ("group_no", "row_no")]
     return cut.groupBy("group_no").applyInPandas(placed, ", ".join([*fields, "sequence_id bigint", "offset bigint"]))
