@@ -144,12 +144,17 @@ def fold(node):
     return node
 
 
+#: A string literal of a tag.
+_QUOTED = r"""'[^']*'|"[^"]*\""""
+
+
 class Parser:
     """Recursive descent over the pieces of a template."""
 
     def __init__(self, source: str, names: frozenset[str]):
         self.names = names
-        self.pieces = [p for p in re.split(r"(\{\{.*?\}\}|\{%.*?%\})", source, flags=re.S) if p]
+        # A tag ends at its closing sign outside of string literals; one that never ends runs to the template's end.
+        self.pieces = [p for p in re.split(rf"(\{{\{{(?:{_QUOTED}|(?!\}}\}}).)*\}}\}}|\{{%(?:{_QUOTED}|(?!%\}}).)*%\}})", source, flags=re.S) if p]
         self.at = 0
 
     def parse(self) -> tuple:
