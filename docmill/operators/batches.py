@@ -69,8 +69,9 @@ def batch_summary(results: DataFrame, keys: list[str], continue_on_error: bool =
     """``total, processed, success, failed, skipped, cancelled`` of files ``file_no, status``; without ``continue_on_error`` those after the first failure don't count as processed."""
     done = F.lit(True)
     if not continue_on_error:
-        before = F.max(F.when(F.col("status") == "failed", 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1))
-        results = results.withColumn("_stopped", F.coalesce(before, F.lit(0)))
-        done = F.col("_stopped") == 0
+        # One row per job with a failure; the join may split a job of many files.
+        first = results.filter("status = 'failed'").groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min("file_no").alias("_failed"))
+        results = results.join(first, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+        done = F.coalesce(F.col("file_no") <= F.col("_failed"), F.lit(True))
     counts = {s: F.count_if(done & (F.col("status") == s)).alias(s) for s in ("success", "failed", "skipped", "cancelled")}
     return results.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(done & F.col("status").isin("success", "failed", "skipped")).alias("processed"), *counts.values())

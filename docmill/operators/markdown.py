@@ -22,27 +22,30 @@ def split_front_matter(text: Column) -> Column:
     return F.struct(F.when(there, F.regexp_extract(text, FRONT, 1)).otherwise("").alias("yaml"), F.when(there, strip(F.regexp_extract(text, FRONT, 2))).otherwise(strip(text)).alias("body"))
 
 
-def _yaml_lists(source: str | None) -> dict[str, list[str]]:
-    try:
-        found = yaml.safe_load((source or "").replace("\t", "  "))
-    except yaml.YAMLError:
-        return {}
-    if not isinstance(found, dict):
-        return {}
+#: Lists and mappings that a front matter may nest; deeper ones, and those that hold themselves, are no front matter.
+NESTED = 50
 
-    def listed(v) -> list[str]:
+
+def _yaml_lists(source: str | None) -> dict[str, list[str]]:
+    def listed(v, depth: int = 0) -> list[str]:
+        if depth > NESTED:
+            raise ValueError("nested too deeply")
         if v is None:
             return []
         if isinstance(v, (list, tuple)):
-            return [s for x in v for s in listed(x)]
+            return [s for x in v for s in listed(x, depth + 1)]
         return [str(v).lower() if isinstance(v, bool) else str(v)]
 
-    return {str(k): listed(v) for k, v in found.items()}
+    try:
+        found = yaml.safe_load((source or "").replace("\t", "  "))
+        return {str(k): listed(v) for k, v in found.items()} if isinstance(found, dict) else {}
+    except (yaml.YAMLError, ValueError, TypeError, OverflowError, RecursionError):
+        return {}
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.StringType())))
 def parse_front_matter(source: pd.Series) -> pd.Series:
-    """YAML text as map of lists of texts; what is no YAML mapping is empty."""
+    """YAML text as map of lists of texts; what is no YAML mapping, or can't be read as one (no such date, a list in itself), is empty."""
     return source.map(_yaml_lists)
 
 

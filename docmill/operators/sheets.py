@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import NUMBER, bound, is_fraction, is_numeric_string, strip, to_number
+from docmill.storage import materialise
 
 
 def fill_merged(cells: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,20 +59,26 @@ def align_tables(base: DataFrame, collect: DataFrame, keys: list[str], reach: in
     and columns. Tables without a common value have no row.
     """
 
+    def filled(df: DataFrame) -> DataFrame:
+        """Cells that have a value, which a cheap test tells; the value itself is worked out once, when the table is written."""
+        bare = df.select(*keys, "row", "col", strip(F.col("value")).alias("_bare"))
+        return bare.filter((F.col("_bare") != "") & (F.lower("_bare") != "nan"))
+
     def keyed(df: DataFrame) -> DataFrame:
-        return df.select(*keys, "row", "col", normalize_cell(F.col("value")).alias("k")).filter("k IS NOT NULL")
+        k = normalize_cell(F.col("_bare"))
+        return materialise(df.select(*keys, "row", "col", k.alias("_k")).select(*keys, "row", "col", F.concat(F.col("_k.kind"), F.lit(" "), F.col("_k.key")).alias("k")))
 
-    b = keyed(base)
+    b = keyed(filled(base))
     order = Window.partitionBy(*keys).orderBy("row", "col")
-    c = keyed(collect).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= collect_cells).drop("_n")
+    c = keyed(filled(collect).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= collect_cells))
     best = Window.partitionBy(*keys).orderBy(F.desc("n"), "dr", "dc")
 
     def top(df: DataFrame) -> DataFrame:
         return df.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
 
-    near = top(_offsets(b, c, keys, None, reach))
-    rest = c.join(near.select(*keys), keys, "left_anti")
-    places = b.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "k").orderBy("row", "col"))).filter("_n <= 3")
+    near = materialise(top(_offsets(b, c, keys, None, reach)))
+    rest = materialise(c.join(near.select(*keys), keys, "left_anti"))
+    places = b.join(rest.select(*keys).distinct(), keys, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "k").orderBy("row", "col"))).filter("_n <= 3")
     places = places.select(*keys, "k", F.col("row").alias("br"), F.col("col").alias("bc"))
     far = rest.join(places, [*keys, "k"]).groupBy(*keys, (F.col("br") - F.col("row")).alias("dr"), (F.col("bc") - F.col("col")).alias("dc")).agg(F.count(F.lit(1)).alias("n"))
     center = top(far).select(*keys, F.col("dr").alias("r0"), F.col("dc").alias("c0"))

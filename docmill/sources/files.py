@@ -81,19 +81,41 @@ def _decoded(content: bytes) -> str:
     return content.decode("utf-8", "replace")
 
 
+#: Characters of a CSV cell at most; a file with a longer one can't be read. Cells that are passed on at once.
+CELL_CHARS, CELLS = 1 << 30, 50_000
+
+
+def _csv_lines(content: bytes | None) -> list[list[str]]:
+    text = _decoded(bytes(content)) if content is not None else ""
+    head = text.splitlines()[:20]
+    sep = max(",;\t|", key=lambda d: sum(line.count(d) for line in head))
+    csv.field_size_limit(CELL_CHARS)
+    try:
+        return list(csv.reader(io.StringIO(text), delimiter=sep))
+    except csv.Error:
+        return []
+
+
 def read_csv_cells(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """``keys, row, col, value`` (from 1) of CSV files of unknown encoding and separator; no header, nothing converted."""
+    """``keys, row, col, value`` (from 1) of CSV files of unknown encoding and separator; no header, nothing converted.
+
+    Files without content, and those that are no CSV, have no rows.
+    """
     rows = files.select(*keys, F.col(content).alias("_c"))
     schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), "row int, col int, value string"])
+    names = [*keys, "row", "col", "value"]
 
     def cells(batches):
         for pdf in batches:
-            for rec in pdf.to_dict("records"):
-                text = _decoded(bytes(rec["_c"]))
-                head = text.splitlines()[:20]
-                sep = max(",;\t|", key=lambda d: sum(line.count(d) for line in head))
-                out = [(*(rec[k] for k in keys), r, c, v) for r, line in enumerate(csv.reader(io.StringIO(text), delimiter=sep), 1) for c, v in enumerate(line, 1)]
-                yield pd.DataFrame(out, columns=[*keys, "row", "col", "value"])
+            out: list[tuple] = []
+            for *key, data in pdf.itertuples(index=False, name=None):
+                for r, line in enumerate(_csv_lines(data), 1):
+                    out += [(*key, r, c, v) for c, v in enumerate(line, 1)]
+                    if len(out) >= CELLS:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return rows.mapInPandas(cells, schema)
 

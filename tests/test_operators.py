@@ -125,3 +125,41 @@ def test_page_ranges(spark):
     cases = {"1-3，5;7~10": [1, 2, 3, 5, 7, 8, 9, 10], "3-1": [1, 2, 3], "2,2": [2], "x": None, "": None, "0": None}
     got = spark.createDataFrame([(k,) for k in cases], "x string").select("x", batches.parse_page_ranges(F.col("x")).alias("p")).collect()
     assert {r.x: r.p for r in got} == cases
+
+
+def test_front_matter_that_is_none(spark):
+    from docmill.operators import markdown
+
+    sources = ["a: 2024-13-45", "a: &x [*x]", "a: 1", "a: [b, [c, null, true]]", "- a", "? [a]\n: b", None, "a: " + "[" * 80 + "]" * 80]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(sources)], "i int, s string")
+    got = {r.i: r.m for r in rows.select("i", markdown.parse_front_matter("s").alias("m")).collect()}
+    assert got == {0: {}, 1: {}, 2: {"a": ["1"]}, 3: {"a": ["b", "c", "true"]}, 4: {}, 5: got[5], 6: {}, 7: {}}
+
+
+def test_csv_with_long_cells_and_without_content(spark):
+    from docmill.sources import files
+
+    rows = spark.createDataFrame([(1, bytearray(b"a," + b"x" * 200_000)), (2, None), (3, bytearray(b""))], "k int, content binary")
+    assert [(r.k, r.row, r.col, len(r.value)) for r in files.read_csv_cells(rows, ["k"]).orderBy("col").collect()] == [(1, 1, 1, 1), (1, 1, 2, 200_000)]
+
+
+def test_batch_stops_after_the_first_failure(spark):
+    from docmill.operators import batches
+
+    rows = spark.createDataFrame([("a", 1, "success"), ("a", 2, "failed"), ("a", 3, "success"), ("a", 4, "failed"), ("b", 1, "skipped"), (None, 5, "failed"), (None, 6, "success")], "job string, file_no int, status string")
+    got = {r.job: (r.total, r.processed, r.success, r.failed, r.skipped) for r in batches.batch_summary(rows, ["job"], continue_on_error=False).collect()}
+    assert got == {"a": (4, 2, 1, 1, 0), "b": (1, 1, 0, 0, 1), None: (2, 1, 0, 1, 0)}
+
+
+def test_item_lines_of_an_odd_page(spark):
+    """Without stars a complete line ends a row; a page of few labels, and one without spans, has none; no Python runs."""
+    from docmill.operators import invoices
+
+    head = [(10.0, 1.0, "项目名称"), (50.0, 1.0, "数 量"), (90.0, 1.0, "金额"), (120.0, 1.0, "税额")]
+    body = [(10.0, 11.0, "first"), (50.0, 11.5, "2"), (120.0, 12.0, "0.1"), (10.0, 21.0, "second"), (12.0, 31.0, "part"), (91.0, 31.0, "5"), (121.0, 31.0, "0.2"), (130.0, 31.0, "y"), (10.0, 60.0, "合计")]
+    spans = [(1, *s) for s in head + body] + [(2, *s) for s in head[:3] + body] + [(3, 10.0, 1.0, None)]
+    found = invoices.invoice_lines_from_spans(spark.createDataFrame(spans, "page int, x0 double, y0 double, text string"), ["page"])
+    got = [(r.page, r.line_no, r["商品名称"], r["数量"], r["金额"], r["税额"]) for r in found.orderBy("page", "line_no").collect()]
+    assert got == [(1, 0, "first", "2", "", "0.1"), (1, 1, "secondpart", "", "5", "0.2 y")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
