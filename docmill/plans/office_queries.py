@@ -99,6 +99,25 @@ def I1_invoice_header(spark, sf_dir):
     return found.select("o_orderkey", *(F.col(a).alias(b) for a, b in names.items()))
 
 
+@query(
+    """WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_quantity)::INTEGER AS q FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1)::INTEGER AS line_no, '*kind*goods ' || p AS name, CASE WHEN l_linenumber % 2 = 0 THEN q || 'kg' ELSE '' END AS model, CASE WHEN l_linenumber % 3 > 0 THEN '盒' ELSE '' END AS unit,
+  q::VARCHAR AS quantity, '1.5' AS price, q || '.50' AS amount, CASE WHEN p % 2 = 0 THEN '免税' ELSE '13%' END AS rate, CASE WHEN p % 2 = 0 THEN '***' ELSE '0.' || q END AS tax FROM l"""
+)
+def I2_invoice_lines_from_text(spark, sf_dir):
+    """Every other order has its items' parts in lines of their own; models and units are missing here and there."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_quantity").cast("int").cast("string").alias("q"))
+    n, odd = F.col("l_linenumber"), F.col("p") % 2 == 1
+    parts = [cat("*kind*goods ", F.col("p").cast("string")), F.when(n % 2 == 0, cat(F.col("q"), "kg")), F.when(n % 3 > 0, F.lit("盒")), F.col("q"), F.lit("1.5"), cat(F.col("q"), ".50"), F.when(odd, "13%").otherwise("免税"), F.when(odd, cat("0.", F.col("q"))).otherwise("***")]
+    item = F.when(F.col("l_orderkey") % 2 == 0, F.concat_ws(" ", *parts)).otherwise(F.concat_ws("\n", *parts))
+    piled = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", item.alias("t")))).alias("i"))
+    head, foot = "发票号码：1\n项目名称 规格型号 单 位 数 量 单 价 金 额 税率/征收率 税 额\n", "\n合     计 ¥242.38 ¥14.02\n价税合计（大写）\n*other*line 1 2 3 13% 1"
+    texts = piled.select("l_orderkey", cat(head, F.array_join(F.transform("i", lambda x: x["t"]), "\n"), foot).alias("text"))
+    found = I.invoice_lines_from_text(texts, ["l_orderkey"])
+    names = {"商品名称": "name", "规格型号": "model", "单位": "unit", "数量": "quantity", "单价": "price", "金额": "amount", "税率": "rate", "税额": "tax"}
+    return found.select("l_orderkey", "line_no", *(F.col(a).alias(b) for a, b in names.items()))
+
+
 @query(
     """WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_quantity)::INTEGER AS q FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1)::INTEGER AS line_no, '*a*part' || p AS name, q::VARCHAR AS quantity, '6.00' AS amount, '0.' || q || ' x' AS tax FROM l"""
