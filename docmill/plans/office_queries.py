@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docmill.operators import batches as B
 from docmill.operators import invoices as I
 from docmill.operators import official as G
+from docmill.operators import paragraphs as P
 from docmill.plans.common import Queries, table
 from docmill.plans.markdown_queries import cat
 from docmill.sources import files as S
@@ -42,6 +43,58 @@ def G3_official_fields(spark, sf_dir):
     return found.select("o_orderkey", *(F.col(a).alias(b) for a, b in names.items()))
 
 
+def raw_paragraphs(spark, sf_dir):
+    """Every order as an official document of 22 paragraphs, some of them empty: each third lacks its signature, each fourth its date, each fifth has number and signer in one."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy年M月d日").alias("d"), F.col("o_orderpriority").alias("clerk"), (F.col("o_orderkey") % 60).alias("k"))
+    key, k = F.col("o_orderkey").cast("string"), F.col("k")
+    number, shared = cat("某政发〔2024〕", key, "号"), k % 5 == 0
+    texts = [
+        key, "机密★1年", "特 急", "某市人民政府", F.when(shared, cat(number, "　签发人：王小")).otherwise(number), F.when(shared, "某政办〔2024〕2号　李四").otherwise("签发人：王小"),
+        cat("关于", key, "的通知"), "补充 说明事项", "各市、委员会：", cat("为做好工作，", F.col("clerk")), "", "附件：1. 甲", "2．乙", F.when(k % 3 != 0, "某市财政局").otherwise(""), F.when(k % 4 != 0, F.col("d")).otherwise(""),
+        "（联系人：李）", "公开方式：主动公开", "抄送：A，B", "某市办公室", cat(F.col("d"), "印发"), "附表", "",
+    ]
+    para = F.posexplode(F.array(*(t if not isinstance(t, str) else F.lit(t) for t in texts))).alias("para_no", "text")
+    title = F.col("para_no").isin(6, 7)
+    return o.select("o_orderkey", "k", para).select(
+        "o_orderkey", "para_no", "text", F.when(title, "方正小标宋简体").otherwise("仿宋").alias("font"), F.when(title, 44.0).otherwise(32.0).alias("size"), ((F.col("text") == "") & (F.col("k") % 2 == 0)).alias("has_image")
+    )
+
+
+@query(
+    """SELECT o_orderkey, p.n::INTEGER AS para_no, p.n = 0 AS digits, p.n = 4 AND o_orderkey % 60 % 5 <> 0 AS number, p.n = 4 AND o_orderkey % 60 % 5 = 0 AS number_and_signer, p.n = 5 AND o_orderkey % 60 % 5 = 0 AS number_and_name,
+  p.n IN (6, 7) AS title_font, p.n IN (6, 7) AS title_size, p.n = 6 AS title_shape, p.n IN (3, 18) OR (p.n = 13 AND o_orderkey % 60 % 3 <> 0) AS authority_at_end, p.n = 14 AND o_orderkey % 60 % 4 <> 0 AS date,
+  p.n = 19 OR (p.n = 14 AND o_orderkey % 60 % 4 <> 0) AS printing_date, p.n = 15 AS bracketed, p.n = 12 AS list_item, p.n = 2 AS urgency_word FROM orders, range(22) p(n)"""
+)
+def G1_paragraph_features(spark, sf_dir):
+    shown = ("digits", "number", "number_and_signer", "number_and_name", "title_font", "title_size", "title_shape", "authority_at_end", "date", "printing_date", "bracketed", "list_item", "urgency_word")
+    return P.paragraph_features(raw_paragraphs(spark, sf_dir)).select("o_orderkey", "para_no", *shown)
+
+
+@query(
+    """SELECT o_orderkey, p.n::INTEGER AS para_no, CASE p.n WHEN 0 THEN 'copy_id' WHEN 1 THEN 'security' WHEN 2 THEN 'urgency' WHEN 3 THEN 'issuing_authority_mark'
+  WHEN 4 THEN CASE WHEN k % 5 = 0 THEN 'combined_doc_number_signer' ELSE 'doc_number' END WHEN 5 THEN CASE WHEN k % 5 = 0 THEN 'combined_doc_number_signer_following' ELSE 'signer' END
+  WHEN 6 THEN 'title' WHEN 7 THEN 'title_following' WHEN 8 THEN 'recipient' WHEN 9 THEN 'body' WHEN 10 THEN CASE WHEN k % 2 = 0 THEN 'general_content' END WHEN 11 THEN 'attachment' WHEN 12 THEN 'attachment_following'
+  WHEN 13 THEN CASE WHEN k % 3 <> 0 THEN 'issuing_authority_signature' WHEN k % 2 = 0 THEN 'general_content' END WHEN 14 THEN CASE WHEN k % 4 <> 0 THEN 'issue_date' ELSE 'general_content' END
+  WHEN 15 THEN CASE WHEN k % 4 <> 0 THEN 'notes' END WHEN 16 THEN 'disclosure' WHEN 17 THEN 'copy_to' WHEN 18 THEN CASE WHEN k % 3 = 0 THEN 'issuing_authority_signature' ELSE 'printing_authority' END
+  WHEN 19 THEN 'printing_date' WHEN 20 THEN 'attachment_content' ELSE CASE WHEN k % 2 = 0 THEN 'attachment_content' END END AS element
+FROM (SELECT o_orderkey, o_orderkey % 60 AS k FROM orders), range(22) p(n)"""
+)
+def G2_classify_paragraphs(spark, sf_dir):
+    return P.classify_paragraphs(raw_paragraphs(spark, sf_dir), ["o_orderkey"]).select("o_orderkey", "para_no", "element")
+
+
+@query(
+    """SELECT o_orderkey, '关于' || o_orderkey || '的通知补充 说明事项' AS title, o_orderkey::VARCHAR AS copy_id, '某政发〔2024〕' || o_orderkey || '号' AS number, '某市人民政府' AS mark, CASE WHEN k % 5 = 0 THEN ['王小', '李四'] ELSE ['王小'] END AS signers,
+  CASE WHEN k % 3 <> 0 THEN '某市财政局' ELSE '某市办公室' END AS signature, CASE WHEN k % 3 <> 0 THEN '某市办公室' ELSE '' END AS printer, CASE WHEN k % 4 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS issued,
+  CASE WHEN k % 4 <> 0 THEN '联系人：李' ELSE '' END AS notes, ['甲', '乙'] AS attachments, '主动公开' AS disclosure FROM (SELECT *, o_orderkey % 60 AS k FROM orders)"""
+)
+def G3_fields_of_raw(spark, sf_dir):
+    """From paragraphs without any classification to records."""
+    found = G.official_fields(P.classify_paragraphs(raw_paragraphs(spark, sf_dir), ["o_orderkey"]), ["o_orderkey"])
+    names = {"标题": "title", "份号": "copy_id", "发文字号": "number", "发文机关标志": "mark", "签发人": "signers", "发文机关署名": "signature", "印发机关": "printer", "成文日期": "issued", "附注": "notes", "附件说明": "attachments", "公开方式": "disclosure"}
+    return found.select("o_orderkey", *(F.col(a).alias(b) for a, b in names.items()))
+
+
 @query("SELECT o_orderkey, 'issuing_authority_signature' AS element FROM orders WHERE o_orderkey % 12 % 3 = 0 UNION ALL SELECT o_orderkey, 'issue_date' FROM orders WHERE o_orderkey % 12 % 4 = 0")
 def G4_missing_elements(spark, sf_dir):
     return G.missing_elements(classified(spark, sf_dir), ["o_orderkey"])
