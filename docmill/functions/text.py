@@ -277,14 +277,23 @@ def strip_inline_marks(x: Column) -> Column:
 
 
 def format_link(name: Column, style: str, image: bool) -> Column:
-    """A file name as one of four link styles; an embed has ``!`` in front."""
+    """A file name as one of four link styles; an embed has ``!`` in front. Markdown can't embed documents, so only images get an embed there."""
+    return _link(name, name, style, image)
+
+
+def format_base64_link(content: Column, mime_type: Column, alt: Column, style: str) -> Column:
+    """An image's bytes as a link to its data URI; Markdown styles have the alternative text as label. Null where anything is null."""
+    return _link(alt, F.concat(F.lit("data:"), mime_type, F.lit(";base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))), style, True)
+
+
+def _link(label: Column, target: Column, style: str, image: bool) -> Column:
     if style not in ("wiki", "wiki_embed", "markdown", "markdown_embed"):
         raise ValueError(f"unknown style {style}")
-    bang = "!" if style.endswith("_embed") else ""
-    if style.startswith("wiki"):
-        return F.concat(F.lit(bang + "[["), name, F.lit("]]"))
-    label = F.lit("") if image and bang else name
-    return F.concat(F.lit(bang + "["), label, F.lit("]("), F.replace(name, F.lit(" "), F.lit("%20")), F.lit(")"))
+    wiki = style.startswith("wiki")
+    bang = "!" if style.endswith("_embed") and (wiki or image) else ""
+    if wiki:
+        return F.concat(F.lit(bang + "[["), target, F.lit("]]"))
+    return F.concat(F.lit(bang + "["), label, F.lit("]("), target, F.lit(")"))
 
 
 def parse_image_payload(x: Column) -> Column:

@@ -181,11 +181,16 @@ def T15_inline_spans(spark, sf_dir):
     return rows.select("p_partkey", F.array_join(F.transform("s", lambda s: s["text"]), "|").alias("texts"), shown.alias("formats"))
 
 
-@query(
-    "SELECT page_id, '[[' || url || ']]' AS wiki, '![[' || url || ']]' AS wiki_embed, '[' || url || '](' || replace(url, ' ', '%20') || ')' AS markdown, '![](' || replace(url, ' ', '%20') || ')' AS markdown_embed FROM pages"
-)
+@query("SELECT page_id, '[[' || url || ']]' AS wiki, '![[' || url || ']]' AS wiki_embed, '[' || url || '](' || url || ')' AS markdown, '![' || url || '](' || url || ')' AS markdown_embed, '[' || url || '](' || url || ')' AS document FROM pages")
 def T16_format_link(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", *(X.format_link(F.col("url"), s, True).alias(s) for s in ("wiki", "wiki_embed", "markdown", "markdown_embed")))
+    styles = ("wiki", "wiki_embed", "markdown", "markdown_embed")
+    return table(spark, sf_dir, "pages").select("page_id", *(X.format_link(F.col("url"), s, True).alias(s) for s in styles), X.format_link(F.col("url"), "markdown_embed", False).alias("document"))
+
+
+@query("SELECT page_id, '![' || url || '](data:image/png;base64,' || base64(encode(html)) || ')' AS markdown_embed, '[[data:image/png;base64,' || base64(encode(html)) || ']]' AS wiki FROM pages")
+def T16_format_base64_link(spark, sf_dir):
+    link = lambda style: X.format_base64_link(F.encode("html", "UTF-8"), F.lit("image/png"), F.col("url"), style).alias(style)
+    return table(spark, sf_dir, "pages").select("page_id", link("markdown_embed"), link("wiki"))
 
 
 @query("SELECT p_partkey, p_name AS path, p_size AS width, CASE WHEN p_partkey % 2 = 0 THEN p_partkey::INTEGER ELSE -1 END AS height FROM part")
