@@ -303,21 +303,37 @@ def fill_cells(template: DataFrame, records: DataFrame, keys: list[str], text_co
     return rows.withColumn("value", F.when(F.col("vtype") == "formula", F.concat(F.lit("="), strip(v))).otherwise(v)).drop(record_col)
 
 
-def fill_down(slots: DataFrame, values: DataFrame, merged: DataFrame, keys: list[str]) -> DataFrame:
+def fill_down(slots: DataFrame, values: DataFrame, merged: DataFrame, keys: list[str], protected: DataFrame | None = None) -> DataFrame:
     """``↓`` placeholders: value i of a column key goes to the i-th writable cell from the placeholder down.
 
     ``slots(template keys, key, row, col)`` are placeholders, ``values(keys, key, value_no, value)`` number from 1;
     cells of ``merged(min_row, min_col, max_row, max_col)`` ranges other than the first are skipped without taking a value.
+    With ``protected(row, col)`` a column ``written`` follows: protected cells take a value, which is not written and calls for a warning.
     """
+    return _fill(slots, values, merged, keys, protected, ("row", "col"))
+
+
+def fill_right(slots: DataFrame, values: DataFrame, merged: DataFrame, keys: list[str], protected: DataFrame | None = None) -> DataFrame:
+    """``→`` placeholders: as ``fill_down``, to the right."""
+    return _fill(slots, values, merged, keys, protected, ("col", "row"))
+
+
+def _fill(slots: DataFrame, values: DataFrame, merged: DataFrame, keys: list[str], protected: DataFrame | None, axes: tuple[str, str]) -> DataFrame:
+    along, across = axes
     most = values.groupBy(*keys, "key").agg(F.max("value_no").alias("_most"))
     spare = merged.agg(F.coalesce(F.sum((F.col("max_row") - F.col("min_row") + 1) * (F.col("max_col") - F.col("min_col") + 1)), F.lit(0)).alias("_spare"))
     rows = most.join(F.broadcast(slots), "key").crossJoin(F.broadcast(spare))
-    rows = rows.select(*keys, "key", "col", F.explode(F.sequence(F.col("row").cast("bigint"), F.col("row") + F.col("_most") + F.col("_spare") - 1)).alias("row"), F.col("row").alias("_top"))
+    rows = rows.select(*keys, "key", across, F.explode(F.sequence(F.col(along).cast("bigint"), F.col(along) + F.col("_most") + F.col("_spare") - 1)).alias(along), F.col(along).alias("_from"))
     blocked = merged.select("min_row", "max_row", "min_col", "max_col")
     skip = (F.col("row").between(F.col("min_row"), F.col("max_row"))) & (F.col("col").between(F.col("min_col"), F.col("max_col"))) & ~((F.col("row") == F.col("min_row")) & (F.col("col") == F.col("min_col")))
     free = rows.join(F.broadcast(blocked), skip, "left_anti")
-    numbered = free.withColumn("value_no", F.row_number().over(Window.partitionBy(*keys, "key", "col", "_top").orderBy("row")).cast("bigint"))
-    return numbered.join(values.withColumn("value_no", F.col("value_no").cast("bigint")), [*keys, "key", "value_no"]).select(*keys, "key", "row", "col", "value_no", "value")
+    numbered = free.withColumn("value_no", F.row_number().over(Window.partitionBy(*keys, "key", across, "_from").orderBy(along)).cast("bigint"))
+    filled = numbered.join(values.withColumn("value_no", F.col("value_no").cast("bigint")), [*keys, "key", "value_no"]).select(*keys, "key", "row", "col", "value_no", "value")
+    if protected is None:
+        return filled
+    # A template's own cells, as its slots and ranges are.
+    closed = protected.select("row", "col").distinct().withColumn("_closed", F.lit(True))
+    return filled.join(F.broadcast(closed), ["row", "col"], "left").select(*filled.columns, F.col("_closed").isNull().alias("written"))
 
 
 def fill_paragraphs(template: DataFrame, records: DataFrame, keys: list[str], groups: list[list[str]], text_col: str = "text", record_col: str = "record") -> DataFrame:

@@ -207,6 +207,18 @@ def C13_fill_columns(spark, sf_dir):
     return C.fill_down(slots, rows, merged, ["c_nationkey"])
 
 
+@query(
+    """WITH c AS (SELECT c_nationkey, 'name' AS key, c_name AS value, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS value_no FROM customer)
+SELECT c_nationkey, key, 2 AS row, 1 + value_no + CASE WHEN value_no > 2 THEN 1 ELSE 0 END AS col, value_no, value, value_no <> 4 AS written FROM c"""
+)
+def C13_fill_rows(spark, sf_dir):
+    """To the right from column 2: a merged range covers columns 3 and 4, and column 6, the fourth value's, is protected."""
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.lit("name").alias("key"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("value_no"), F.col("c_name").alias("value"))
+    slots = spark.createDataFrame([("name", 2, 2)], "key string, row int, col int")
+    merged = spark.createDataFrame([(2, 3, 3, 4)], "min_row int, min_col int, max_row int, max_col int")
+    return C.fill_right(slots, rows, merged, ["c_nationkey"], spark.createDataFrame([(2, 6), (9, 9)], "row int, col int"))
+
+
 @query(
     """SELECT c_custkey, para, CASE para WHEN 1 THEN 'Dear ' || c_name || ':' WHEN 2 THEN 'Note: n' ELSE 'End ' END AS text FROM customer, (VALUES (1), (2), (3)) AS t(para) WHERE para <> 2 OR c_custkey % 2 = 0"""
 )
