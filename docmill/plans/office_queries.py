@@ -290,6 +290,18 @@ def S3_detect_text_format(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.detect_text_format(text, F.when(k == 2, "csv").otherwise("txt")).alias("format"))
 
 
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'md' WHEN 2 THEN 'txt' WHEN 3 THEN 'png' WHEN 4 THEN 'csv' END AS format FROM documents")
+def S3_detect_file_format(spark, sf_dir):
+    """Markdown in UTF-8 with the document's text, its text among NULs, words in GBK, an image, a table, and bytes of no encoding."""
+    k, text = F.col("doc_id") % 6, F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    hexed = lambda h: F.unhex(F.lit(h))
+    content = (
+        F.when(k == 0, F.concat(F.encode(F.lit("# 中文\n"), "UTF-8"), text)).when(k == 1, F.concat(hexed("00" * 2000), text)).when(k == 2, F.unhex(F.repeat(F.lit("D6D0CEC420"), (F.col("doc_id") % 3000).cast("int") + 1)))
+        .when(k == 3, F.concat(hexed("89504E470D0A1A0A"), text)).when(k == 4, hexed("D6D02C622C630A312C322C330A")).otherwise(F.concat(hexed("FFFE41FF"), text))
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", S.detect_file_format(content, F.lit("txt")).alias("format"))
+
+
 @query(
     f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'spreadsheet' WHEN 2 THEN 'text' WHEN 3 THEN 'document' ELSE 'unknown' END AS category, doc_id % 5 IN (0, 1) AS is_match, doc_id % 5 <> 4 AS is_supported, doc_id % 5 <> 4 AND n_chars >= 300 AS is_valid,
   CASE WHEN n_chars < 300 THEN 'empty' WHEN doc_id % 5 IN (3, 4) THEN 'unverifiable' WHEN doc_id % 5 = 2 THEN 'mismatch' ELSE '' END AS warning FROM documents"""

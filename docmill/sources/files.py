@@ -61,6 +61,32 @@ def detect_text_format(text: Column, ext: Column) -> Column:
     return F.when(md, "md").when(table, "csv").otherwise("txt")
 
 
+#: Bytes of a file that the text test reads.
+SAMPLE = 8192
+
+
+def detect_file_format(content: Column, ext: Column) -> Column:
+    """Format by the first bytes, else by text; null for other binary files. An empty file is text.
+
+    Text has at most 10 % NUL, is UTF-8 or has the byte pattern of GBK, and over 85 % of its characters are printable or white space.
+    A character that the end of the sample cuts doesn't count. GBK characters stand as ``x``, since only ASCII signs matter for the format.
+    """
+    # One character for each byte; characters of several bytes are looked at below.
+    sample = F.decode(F.substring(content, 1, SAMPLE), "ISO-8859-1")
+    cut = F.when(F.length(content) > SAMPLE, F.regexp_replace(sample, r"[\xc0-\xf7][\x80-\xbf]{0,2}\z", "")).otherwise(sample)
+    pairs = F.regexp_replace(sample, r"[\x81-\xfe][\x40-\x7e\x80-\xfe]", "x")
+    pairs = F.when(F.length(content) > SAMPLE, F.regexp_replace(pairs, r"[\x81-\xfe]\z", "")).otherwise(pairs)
+    utf8 = F.encode(cut, "ISO-8859-1").cast("string")
+    read = F.when(F.is_valid_utf8(utf8), utf8).when(~pairs.rlike(r"[\x80-\xff]"), pairs)
+
+    def judged(text: Column) -> Column:
+        odd = F.char_length(F.regexp_replace(text, r"[^\p{C}]|[\t-\r\x1c-\x1f\x85]", ""))
+        few = F.char_length(sample) - F.char_length(F.regexp_replace(sample, r"\x00", "")) <= 0.1 * F.char_length(sample)
+        return F.when((text == "") | (few & (odd < 0.15 * F.char_length(text))), detect_text_format(text, ext))
+
+    return F.coalesce(magic_format(content), bound(read, judged))
+
+
 def validate_files(files: DataFrame, ext: str = "ext", detected: str = "detected") -> DataFrame:
     """``category, is_match, is_supported, is_valid, warning`` of files with extension, detected format and ``length``."""
     known = F.create_map(*(F.lit(v) for kv in SAME.items() for v in kv))
