@@ -11,14 +11,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from docmill.operators import headings, proof
+from docmill.operators import headings, invoices, markdown, paragraphs, proof
 from docmill.operators import links as _links
 
 #: Operators (DataFrame -> DataFrame) without state.
 STATELESS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "split_paragraphs": proof.split_paragraphs,
     "heading_lines": headings.heading_lines,
+    "add_numbering": headings.add_numbering,
+    "remove_numbering": headings.remove_numbering_md,
     "normalize_numbering": headings.normalize_numbering,
+    "find_wrong_symbols": lambda docs: proof.find_wrong_symbols(proof.split_paragraphs(docs)),
+    "find_unpaired_symbols": lambda docs: proof.find_unpaired_symbols(proof.split_paragraphs(docs)),
+    "extract_tables": markdown.extract_tables,
+    "extract_notes": markdown.extract_notes,
+    "note_references": markdown.note_references,
+    "extract_formulas": markdown.extract_formulas,
+    "invoice_header": invoices.invoice_header,
+    "paragraph_features": paragraphs.paragraph_features,
     "extract_links": _links.extract_links,
 }
 

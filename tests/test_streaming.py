@@ -2,9 +2,11 @@ from docmill import streaming
 
 
 def test_stateless_operators_on_a_stream(spark, tmp_path):
-    spark.createDataFrame([(1, "# 一、 a\n[x](u)\n```\n# b\n```")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
+    text = "# 一、 a\n[x](u)\n```\n# b\n```\n\n中文１, (词\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n文[^1]\n\n[^1]: 注\n\n$x + y$\n"
+    spark.createDataFrame([(1, 0, text)], "doc_id long, para_no int, text string").write.parquet(str(tmp_path / "in"))
     for name in streaming.STATELESS:
+        given = spark.readStream.schema("doc_id long, para_no int, text string").parquet(str(tmp_path / "in"))
+        stream = given if name == "paragraph_features" else given.drop("para_no")
         q = streaming.start(stream, name, str(tmp_path / name), str(tmp_path / f"{name}-c"))
         q.awaitTermination(60)
         assert spark.read.parquet(str(tmp_path / name)).count() >= 1
