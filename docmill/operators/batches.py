@@ -53,9 +53,10 @@ def merge_pages(pages: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 
 def categorize_files(files: DataFrame, path_col: str = "path") -> DataFrame:
-    """``category, n, paths`` (sorted); unknown ones are left out."""
+    """``path, category, n``: a row for each file with its category and that one's number of files; unknown ones are left out."""
     rows = files.select(F.col(path_col).alias("path"), category_of(F.regexp_extract(path_col, r"\.([^./]+)$", 1)).alias("category")).filter("category <> 'unknown'")
-    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("path")).alias("paths"))
+    # One row for each of the fixed categories.
+    return rows.join(F.broadcast(rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"))), "category").select("path", "category", "n")
 
 
 def dominant_category(files: DataFrame, keys: list[str], category: str = "category") -> DataFrame:

@@ -23,11 +23,11 @@ SAME = {"jpg": "jpeg", "tif": "tiff", "heif": "heic", "markdown": "md"}
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, length, modificationTime, content`` of supported files below a folder, ignored folders left out, by lower-cased path."""
+    """``path, length, modificationTime, content`` of supported files below a folder, ignored folders left out. A caller who needs the order sorts by ``lower(path)``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     ignored = "/(" + "|".join(n.replace(".", r"\.") for n in IGNORED) + ")/"
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return files.filter(~F.col("path").rlike(ignored) & (category_of(ext) != "unknown")).orderBy(F.lower("path"))
+    return files.filter(~F.col("path").rlike(ignored) & (category_of(ext) != "unknown"))
 
 
 def magic_format(content: Column) -> Column:

@@ -194,3 +194,12 @@ def test_file_formats_by_bytes(spark):
     rows = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, content binary")
     got = rows.select("i", detect_file_format(F.col("content"), F.lit("txt")).alias("f")).orderBy("i").collect()
     assert [r.f for r in got] == [want for _, want in cases]
+
+
+def test_corpus_of_files(spark, tmp_path):
+    from docmill.sources.files import IGNORED, read_corpus
+
+    for name in ("a.md", "sub/B.CSV", "c.exe", f"{IGNORED[0]}/d.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in read_corpus(spark, str(tmp_path)).select("path").collect()) == ["B.CSV", "a.md"]
