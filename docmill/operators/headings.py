@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.text import bound, number_style, split_on_terminator, strip
-from docmill.operators.lines import doc_lines, fence_places, inside, text_lines
+from docmill.operators.lines import doc_lines, fenced_lines, scan
 from docmill.rules.numbering import CHINESE_NUMS, CIRCLED_1_50, CLEAN_RULES, SCHEMES
 
 HEADING = r"^(#{1,6})(?U:\s)+(.*)$"
@@ -45,40 +45,36 @@ def render_number(counters: Column, level: Column, scheme: dict[int, str]) -> Co
 
 
 def counters_of(levels: Column) -> Column:
-    """For an array of levels the nine counters after each heading: its own goes up, deeper ones begin again."""
-    zero = F.array(*[F.lit(0)] * LEVELS)
-    start = F.struct(zero.alias("now"), F.array().cast("array<array<int>>").alias("all"))
+    """For an array of levels (null where a line is no heading) the nine counters after each: its own goes up, deeper ones begin again."""
 
-    def step(acc: Column, level: Column) -> Column:
-        now = F.transform(acc["now"], lambda c, i: F.when(i + 1 == level, c + 1).when(i + 1 > level, 0).otherwise(c))
-        return bound(now, lambda n: F.struct(n.alias("now"), F.concat(acc["all"], F.array(n)).alias("all")))
+    def step(now: Column, level: Column) -> Column:
+        up = F.transform(now, lambda c, i: F.when(i + 1 == level, c + 1).when(i + 1 > level, 0).otherwise(c))
+        return F.when(level.isNull(), now).otherwise(up)
 
-    return F.aggregate(levels, start, step, lambda acc: acc["all"])
+    return scan(levels, F.array(*[F.lit(0)] * LEVELS), step, "array<int>")
 
 
 def _rewrite(docs: DataFrame, text_col: str, clean: Column | None, scheme: dict[int, str] | None, rules: dict[str, str]) -> DataFrame:
-    lines = text_lines(F.col(text_col))
-    rows = docs.withColumn("_l", lines).withColumn("_f", fence_places(F.col("_l"), "^```"))
-    marks = F.transform(
-        "_l",
-        lambda x, i: F.when(x.rlike(HEADING) & ~inside(F.col("_f"), i), F.struct(F.regexp_extract(x, HEADING, 1).alias("h"), F.regexp_extract(x, HEADING, 2).alias("t"))),
-    )
-    rows = rows.withColumn("_h", marks)
-    if scheme is not None:
-        at = F.filter(F.sequence(F.lit(0), F.size("_h") - 1), lambda i: F.get(F.col("_h"), i).isNotNull())
-        rows = rows.withColumn("_at", at).withColumn("_n", counters_of(F.transform("_at", lambda i: F.char_length(F.get(F.col("_h"), i)["h"]))))
+    def marked(x: Column) -> Column:
+        head = F.when(~x["code"] & x["line"].rlike(HEADING), F.struct(F.regexp_extract(x["line"], HEADING, 1).alias("h"), F.regexp_extract(x["line"], HEADING, 2).alias("t")))
+        return F.struct(x["line"].alias("line"), head.alias("head"))
 
-    def line(x: Column, i: Column) -> Column:
-        head = F.get(F.col("_h"), i)
+    def line(x: Column, counters: Column | None) -> Column:
+        head = x["head"]
         title = remove_numbering(head["t"], rules) if clean is not None else strip(head["t"])
+        kept = F.concat_ws(" ", head["h"], title) if clean is not None else x["line"]
+        if counters is None:
+            return F.when(head.isNull(), x["line"]).otherwise(F.concat_ws(" ", head["h"], title))
+        number = render_number(counters, F.char_length(head["h"]), scheme)
+        return F.when(head.isNull(), x["line"]).otherwise(bound(number, lambda n: F.when(n == "", kept).otherwise(F.concat(head["h"], F.lit(" "), n, title))))
+
+    def made(lines: Column) -> Column:
         if scheme is None:
-            return F.when(head.isNull(), x).otherwise(F.concat_ws(" ", head["h"], title))
-        number = render_number(F.get(F.col("_n"), F.array_position(F.col("_at"), i).cast("int") - 1), F.char_length(head["h"]), scheme)
-        kept = F.concat_ws(" ", head["h"], title) if clean is not None else x
-        return F.when(head.isNull(), x).otherwise(bound(number, lambda n: F.when(n == "", kept).otherwise(F.concat(head["h"], F.lit(" "), n, title))))
+            return F.transform(lines, lambda x: line(x, None))
+        return F.zip_with(lines, counters_of(F.transform(lines, lambda x: F.char_length(x["head"]["h"]))), line)
 
-    made = F.array_join(F.transform("_l", line), "\n")
-    return rows.select(*(F.when(F.col(text_col).isNotNull(), made).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    text = F.array_join(bound(F.transform(fenced_lines(F.col(text_col)), marked), made), "\n")
+    return docs.select(*(F.when(F.col(text_col).isNotNull(), text).alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 
 def remove_numbering_md(docs: DataFrame, text_col: str = "text", rules: dict[str, str] = CLEAN_RULES) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.text import bound, strip
+from docmill.operators.lines import scan
 from docmill.operators.markdown import extract_block, extract_section
 from docmill.storage import materialise
 
@@ -26,11 +27,10 @@ def extract_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     others = [c for c in docs.columns if c != text_col]
     raws = F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))
     gaps = F.split(F.col(text_col), ANY, -1)
-    rows = docs.withColumn("_raw", raws).withColumn("_gap", gaps).filter(F.size("_raw") > 0)
-    start = lambda i: F.aggregate(F.slice("_gap", F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.char_length(x)) + F.aggregate(
-        F.slice("_raw", F.lit(1), i), F.lit(0), lambda a, x: a + F.char_length(x)
-    )
-    rows = rows.select(*others, F.explode(F.transform("_raw", lambda r, i: F.struct(r.alias("raw"), start(i).alias("pos")))).alias("l")).select(*others, "l.pos", "l.raw")
+    both = bound(gaps, lambda g: F.zip_with(raws, F.slice(g, F.lit(1), F.size(g) - 1), lambda r, gap: F.struct(r.alias("raw"), F.char_length(gap).alias("gap"))))
+    start = F.struct(F.lit("").alias("raw"), F.lit(0).alias("pos"))
+    placed = scan(both, start, lambda a, x: F.struct(x["raw"].alias("raw"), (a["pos"] + F.char_length(a["raw"]) + x["gap"]).alias("pos")), "struct<raw:string,pos:int>")
+    rows = docs.filter(F.contains(text_col, F.lit("]"))).select(*others, F.explode(placed).alias("l")).select(*others, "l.pos", "l.raw")
     raw = F.col("raw")
     kind = F.when(raw.startswith("![["), "wiki_embed").when(raw.startswith("!["), "md_embed").when(raw.startswith("[["), "wiki_link").otherwise("md_link")
     inner = F.when(raw.startswith("![["), F.regexp_extract(raw, WIKI_EMBED, 1)).when(raw.startswith("!["), F.regexp_extract(raw, MD_EMBED, 2)).when(raw.startswith("[["), F.regexp_extract(raw, r"\[\[([^|\]\\]+)", 1)).otherwise(F.regexp_extract(raw, r"\]\(([^)]+)\)$", 1))

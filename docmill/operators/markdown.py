@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions.text import bound, is_numeric_string, strip
-from docmill.operators.lines import fence_places, inside, text_lines
+from docmill.operators.lines import fenced_lines, owned, text_lines
 
 FRONT = r"\A(?s)\x{FEFF}?---\s*\n(.*?)\n---[ \t]*(?:\n|\z)(.*)\z"
 
@@ -75,21 +75,14 @@ def extract_tables(docs: DataFrame, text_col: str = "text") -> DataFrame:
     line's last pipe ends it. Rows are cut or filled up to the header's width.
     """
     others = [c for c in docs.columns if c != text_col]
-    rows = docs.filter(F.contains(text_col, F.lit("|"))).select(*others, text_lines(F.col(text_col)).alias("_l"))
-    rows = rows.withColumn("_f", fence_places(F.col("_l"), r"^ {0,3}(```|~~~)"))
-    here = F.sequence(F.lit(0), F.size("_l") - 1)
-    goes_on = F.filter(
-        here, lambda i: (i > 0) & F.get(F.col("_l"), i).rlike(r"^[> \t]*\|.*\|") & F.get(F.col("_l"), F.greatest(i - 1, F.lit(0))).rlike(r"\|.*\|$")
-    )
-    rows = rows.withColumn("_on", goes_on)
-    starts = F.filter(
-        here, lambda i: F.get(F.col("_l"), i).rlike(r"\|.*\|$") & F.array_contains("_on", i + 1) & ~F.array_contains("_on", i) & ~inside(F.col("_f"), i)
-    )
-    size = lambda s: F.coalesce(  # noqa: E731  lines up to the first that doesn't go on
-        F.get(F.filter(F.sequence(s + 1, F.size("_l")), lambda j: ~F.array_contains("_on", j)), F.lit(0)), F.size("_l")
-    ) - s
-    rows = rows.withColumn("_s", F.transform(starts, lambda s: F.struct(s.alias("at"), F.slice(F.col("_l"), s + 1, size(s)).alias("ls"))))
-    good = F.filter("_s", lambda t: (F.size(t["ls"]) >= 3) & F.get(t["ls"], F.lit(1)).rlike(_RULE))
+    rows = docs.filter(F.contains(text_col, F.lit("|")))
+
+    def tables(ls: Column) -> Column:
+        goes_on = F.transform(ls, lambda x, i: (i > 0) & x["line"].rlike(r"^[> \t]*\|.*\|") & F.get(ls, i - 1)["line"].rlike(r"\|.*\|$"))
+        runs = F.filter(owned(goes_on), lambda r: (r["until"] - r["at"] >= 3) & ~F.get(ls, r["at"])["code"] & F.get(ls, r["at"] + 1)["line"].rlike(_RULE))
+        return F.transform(runs, lambda r: F.struct(r["at"].alias("at"), F.transform(F.slice(ls, r["at"] + 1, r["until"] - r["at"]), lambda x: x["line"]).alias("ls")))
+
+    good = bound(fenced_lines(F.col(text_col), " {0,3}(?:```|~~~)"), tables)
 
     def table(t: Column) -> Column:
         head = F.regexp_replace(F.get(t["ls"], F.lit(0)), r"^[^|]*(?=\|)", "")
@@ -115,7 +108,8 @@ def extract_tables(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         return bound(_cells(head), filled)
 
-    return rows.select(*others, F.posexplode(F.transform(good, table)).alias("table_no", "_t")).select(*others, "table_no", "_t.*").filter(F.size("headers") > 0)
+    found = rows.select(*others, F.posexplode(F.transform(good, table)).alias("table_no", "_t"))
+    return found.select(*others, "table_no", "_t.*").filter(F.size("headers") > 0)
 
 
 def table_cells(tables: DataFrame) -> DataFrame:
@@ -139,27 +133,31 @@ NOTE = r"^\[\^([^\]]+)\]:\s*(.*)$"
 def extract_notes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``kind, note_id, content`` of the note definitions of every document; of one id the last wins. Indented lines, and blank ones before them, belong to the note above."""
     others = [c for c in docs.columns if c != text_col]
-    rows = docs.filter(F.contains(text_col, F.lit("[^"))).select(*others, text_lines(F.col(text_col)).alias("_l"))
-    here = F.sequence(F.lit(0), F.size("_l") - 1)
-    line = lambda i: F.get(F.col("_l"), i)
-    indented = lambda i: F.coalesce(line(i).rlike(r"^(?: {4}|\t)"), F.lit(False))
-    belongs = F.filter(here, lambda i: indented(i) | (line(i).rlike(r"^\s*$") & indented(i + 1)))
-    rows = rows.withColumn("_b", belongs).withColumn("_d", F.filter(here, lambda i: line(i).rlike(NOTE)))
-
-    def note(i: Column) -> Column:
-        ends = F.filter(F.sequence(i + 1, F.size("_l")), lambda j: ~F.array_contains("_b", j))
-        more = F.slice(F.col("_l"), i + 2, F.get(ends, F.lit(0)) - i - 1)
-        first = F.array(strip(F.regexp_extract(line(i), NOTE, 2)))
-        content = F.array_join(F.concat(F.filter(first, lambda x: x != ""), F.transform(more, lambda x: F.regexp_replace(x, r"^(?: {4}|\t)", ""))), "\n")
-        name = strip(F.regexp_extract(line(i), NOTE, 1))
-        is_end = name.startswith("endnote-")
-        return F.struct(
-            F.when(is_end, "endnote").otherwise("footnote").alias("kind"), F.when(is_end, F.substring(name, 9, 1 << 30)).otherwise(name).alias("note_id"), i.alias("at"), strip(content).alias("content")
-        )
-
-    notes = rows.select(*others, F.transform("_d", note).alias("_n"))
-    last = F.filter("_n", lambda a: ~F.exists("_n", lambda b: (b["kind"] == a["kind"]) & (b["note_id"] == a["note_id"]) & (b["at"] > a["at"])))
-    return notes.select(*others, F.explode(last).alias("n")).select(*others, "n.kind", "n.note_id", "n.content")
+    rows = docs.filter(F.contains(text_col, F.lit("[^")))
+
+    def notes(ls: Column) -> Column:
+        indented = lambda x: F.coalesce(x.rlike(r"^(?: {4}|\t)"), F.lit(False))
+        belongs = F.transform(ls, lambda x, i: indented(x) | (x.rlike(r"^\s*$") & indented(F.get(ls, i + 1))))
+
+        def note(r: Column) -> Column:
+            line = F.get(ls, r["at"])
+            more = F.slice(ls, r["at"] + 2, r["until"] - r["at"] - 1)
+            first = F.array(strip(F.regexp_extract(line, NOTE, 2)))
+            content = F.array_join(F.concat(F.filter(first, lambda x: x != ""), F.transform(more, lambda x: F.regexp_replace(x, r"^(?: {4}|\t)", ""))), "\n")
+            name = strip(F.regexp_extract(line, NOTE, 1))
+            is_end = name.startswith("endnote-")
+            return F.struct(
+                F.when(is_end, "endnote").otherwise("footnote").alias("kind"), F.when(is_end, F.substring(name, 9, 1 << 30)).otherwise(name).alias("note_id"), r["at"].alias("at"), strip(content).alias("content")
+            )
+
+        return F.array_sort(F.transform(F.filter(owned(belongs), lambda r: F.get(ls, r["at"]).rlike(NOTE)), note))
+
+    def last(ns: Column) -> Column:
+        """Of notes in the order of their ids and places."""
+        return F.filter(ns, lambda a, i: ~(F.get(ns, i + 1)["kind"].eqNullSafe(a["kind"]) & F.get(ns, i + 1)["note_id"].eqNullSafe(a["note_id"])))
+
+    found = rows.select(*others, F.explode(bound(bound(text_lines(F.col(text_col)), notes), last)).alias("n"))
+    return found.select(*others, "n.kind", "n.note_id", "n.content")
 
 
 def note_references(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.text import bound
+from docmill.operators.lines import doc_lines, scan
 
 # The default symbol pairs and the full-width digits with their corrections.
 PAIRS = [("(", ")"), ("（", "）"), ("[", "]"), ("【", "】"), ("{", "}"), ("「", "」"), ("'", "'"), ('"', '"'), ("‘", "’"), ("“", "”"), ("《", "》")]
@@ -17,16 +18,13 @@ HIT = ["start_pos", "end_pos", "error_text", "suggestion", "error_type", "source
 def split_paragraphs(docs: DataFrame, text_col: str = "text", skip_code: bool = True, skip_quotes: bool = False) -> DataFrame:
     """One row per non-blank line with ``para_no`` (line from 0) and ``para``; fenced code is skipped by the parity of fences before a line."""
     others = [c for c in docs.columns if c != text_col]
-    lines = docs.select(*others, F.split(F.coalesce(docs[text_col], F.lit("")), "\r\n|\r|\n", -1).alias("_lines"))
-    numbered = F.sequence(F.lit(0), F.size("_lines") - 1)
-    fences = F.filter(numbered, lambda i: F.get(F.col("_lines"), i).rlike(r"^\s*(```|~~~)"))
-    rows = lines.withColumn("_fences", fences).select(*others, "_fences", F.posexplode("_lines").alias("para_no", "para"))
-    rows = rows.filter(F.col("para").rlike(r"(?U)\S"))
+    lines = doc_lines(docs.select(*others, F.regexp_replace(text_col, "\r\n?", "\n").alias(text_col)), text_col, r"[^\S\n]*(?:```|~~~)")
+    rows = lines.select(*others, F.col("line_no").alias("para_no"), F.col("line").alias("para"), "in_code").filter(F.col("para").rlike(r"(?U)\S"))
     if skip_code:
-        rows = rows.filter(~F.array_contains("_fences", F.col("para_no")) & (F.size(F.filter("_fences", lambda f: f < F.col("para_no"))) % 2 == 0))
+        rows = rows.filter(~F.col("in_code"))
     if skip_quotes:
         rows = rows.filter(~F.col("para").rlike(r"^\s*>"))
-    return rows.drop("_fences")
+    return rows.drop("in_code")
 
 
 def _entries(dictionary: dict[str, list[str]]) -> Column:
@@ -37,9 +35,8 @@ def _entries(dictionary: dict[str, list[str]]) -> Column:
 
 def starts_of(parts: Column, size: Column) -> Column:
     """0-based starts of the separators (of ``size`` characters) between the parts of a split text."""
-    gaps = F.sequence(F.lit(0), F.size(parts) - 2)
-    starts = F.transform(gaps, lambda i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda a, x: a + F.char_length(x)) + i * size)
-    return F.when(F.size(parts) > 1, starts).otherwise(F.array().cast("array<int>"))
+    ends = scan(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(0), lambda a, x: a + F.char_length(x) + size, "int")
+    return F.transform(ends, lambda e: e - size)
 
 
 def _find(paras: DataFrame, dictionary: dict[str, list[str]], para: str, error_type: str, source: str) -> DataFrame:
@@ -69,7 +66,10 @@ def find_wrong_symbols(paras: DataFrame, symbols: dict[str, list[str]] = SYMBOLS
 
 
 def find_unpaired_symbols(paras: DataFrame, pairs: list[tuple[str, str]] = PAIRS, para: str = "para") -> DataFrame:
-    """Closers without opener and openers without closer, by a stack for each pair; where both are one sign, every one counts as opener."""
+    """Closers without opener and openers without closer, for each pair by itself; where both are one sign, every one counts as opener.
+
+    A closer has none where no opener is open from the left, an opener where no closer is from the right: two counts, no stack.
+    """
     others = [c for c in paras.columns if c != para]
     chars = "".join(sorted({c for p in pairs for c in p}))
     some = paras.filter(F.translate(F.col(para), chars, "") != F.col(para))
@@ -78,16 +78,20 @@ def find_unpaired_symbols(paras: DataFrame, pairs: list[tuple[str, str]] = PAIRS
     signs = F.filter(
         F.transform(F.split(F.col(para), "", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: (s["x"] == F.col("_t.o")) | (s["x"] == F.col("_t.c"))
     )
-    none = F.array().cast("array<int>")
+    opens = lambda s: s["x"] == F.col("_t.o")
+
+    def alone(xs: Column, other) -> Column:
+        """Places of signs that meet no open sign of the other kind, which is not theirs to open."""
+        start = F.struct(F.lit(0).alias("open"), F.lit(-1).alias("alone"))
+
+        def step(a: Column, s: Column) -> Column:
+            return F.struct(
+                F.when(other(s), a["open"] + 1).otherwise(F.greatest(a["open"] - 1, F.lit(0))).alias("open"), F.when(~other(s) & (a["open"] == 0), s["i"]).otherwise(F.lit(-1)).alias("alone")
+            )
 
-    def step(acc: Column, s: Column) -> Column:
-        opens, deep = s["x"] == F.col("_t.o"), F.size(acc["stack"])
-        return F.struct(
-            F.when(opens, F.concat(acc["stack"], F.array(s["i"]))).when(deep > 0, F.slice(acc["stack"], F.lit(1), deep - 1)).otherwise(acc["stack"]).alias("stack"),
-            F.when(~opens & (deep == 0), F.concat(acc["extra"], F.array(s["i"]))).otherwise(acc["extra"]).alias("extra"),
-        )
+        return F.filter(F.transform(scan(xs, start, step, "struct<open:int,alone:int>"), lambda a: a["alone"]), lambda i: i >= 0)
 
-    left = F.aggregate(signs, F.struct(none.alias("stack"), none.alias("extra")), step, lambda acc: F.concat(acc["extra"], acc["stack"]))
+    left = bound(signs, lambda xs: F.concat(alone(xs, opens), alone(F.reverse(xs), lambda s: ~opens(s))))
     found = some.select(*others, para, F.explode(left).alias("start_pos"))
     return found.select(
         *others,
