@@ -157,3 +157,20 @@ def link_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     into = edges.filter("target IS NOT NULL").groupBy(F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("in_degree"))
     rows = nodes.select("node").join(out, "node", "left").join(into, "node", "left")
     return rows.select("node", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("out_degree", "in_degree", "broken")))
+
+
+def link_cycles(edges: DataFrame, max_depth: int = 3) -> DataFrame:
+    """``node, length``: the shortest cycle of at most ``max_depth`` edges through each node; nodes on none have no row. A link to itself has length 1.
+
+    Walks are kept as distinct (start, end) pairs, a level at a time; only nodes with links in and out take part, and a walk ends where it comes back.
+    """
+    some = edges.filter("target IS NOT NULL").select("source", "target").distinct()
+    ins, outs = some.select(F.col("target").alias("source")).distinct(), some.select(F.col("source").alias("target")).distinct()
+    some = materialise(some.join(ins, "source", "left_semi").join(outs, "target", "left_semi").select("source", "target"))
+    step = some.select(F.col("source").alias("end"), F.col("target").alias("next"))
+    walks = some.select(F.col("source").alias("node"), F.col("target").alias("end"))
+    found = walks.filter("node = end").select("node", F.lit(1).alias("length"))
+    for length in range(2, max_depth + 1):
+        walks = walks.filter("node <> end").join(step, "end").select("node", F.col("next").alias("end")).distinct()
+        found = found.unionByName(walks.filter("node = end").select("node", F.lit(length).alias("length")))
+    return found.groupBy("node").agg(F.min("length").alias("length"))

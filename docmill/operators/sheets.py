@@ -170,11 +170,13 @@ def find_blocks(cells: DataFrame, keys: list[str]) -> DataFrame:
     schema = ", ".join([*(f"`{k}` {some.schema[k].dataType.simpleString()}" for k in keys), "min_row bigint, min_col bigint, max_row bigint, max_col bigint"])
 
     def boxes(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.unique(pdf[["row", "col"]].to_numpy(), axis=0)
+        rows, cols = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        at = np.column_stack((rows, cols))[np.lexsort((cols, rows))]
+        at = at[np.concatenate(([True], (np.diff(at, axis=0) != 0).any(axis=1)))]
         new = np.concatenate(([True], (np.diff(at[:, 0]) != 0) | (np.diff(at[:, 1]) != 1)))
-        first = np.flatnonzero(new)
-        last = np.concatenate((first[1:], [len(at)])) - 1
-        row, a, b = at[first, 0], at[first, 1], at[last, 1]
+        head = np.flatnonzero(new)
+        tail = np.concatenate((head[1:], [len(at)])) - 1
+        row, a, b = at[head, 0], at[head, 1], at[tail, 1]
         parent = list(range(len(row)))
 
         def find(x: int) -> int:
@@ -190,8 +192,12 @@ def find_blocks(cells: DataFrame, keys: list[str]) -> DataFrame:
                 if a[j] <= b[i] and a[i] <= b[j]:
                     parent[find(i)] = find(j)
                 j += 1
-        out = pd.DataFrame({"g": [find(i) for i in range(len(row))], "r": row, "a": a, "b": b}).groupby("g").agg(min_row=("r", "min"), min_col=("a", "min"), max_row=("r", "max"), max_col=("b", "max"))
-        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "min_row", "min_col", "max_row", "max_col"]]
+        roots, first, group = np.unique([find(i) for i in range(len(row))], return_index=True, return_inverse=True)
+        box = {}
+        for name, least, values in (("min_row", np.minimum, row), ("min_col", np.minimum, a), ("max_row", np.maximum, row), ("max_col", np.maximum, b)):
+            box[name] = values[first]
+            least.at(box[name], group, values)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(roots) for k in keys}, **box})
 
     return some.groupBy(*keys).applyInPandas(boxes, schema)
 
@@ -210,38 +216,57 @@ def blocks_to_markdown(cells: DataFrame, blocks: DataFrame, keys: list[str]) ->
     return tables.select(*at[:-1], F.array_join(F.transform("_r", lambda r: r["_l"]), "\n").alias("markdown"))
 
 
-def _grid_merge(base: list[list[str]], collect: list[list[str]]) -> list[list[str]]:
-    """Collected rows into base rows, one after another; each step sees what earlier ones did."""
-    width = max(map(len, base + collect), default=0)
-    grid = [r + [""] * (width - len(r)) for r in base]
+def _number(x: str) -> float | None:
+    try:
+        return None if "_" in x else float(x)
+    except ValueError:
+        return None
 
-    def number(x: str):
-        try:
-            return float(x)
-        except ValueError:
-            return x
 
-    for row in collect:
-        row = row + [""] * (width - len(row))
-        if not any(row):
+def _grid_merge(base: list[list[str]], collect: list[list[str]]) -> list[list[str]]:
+    """Collected lines into base lines, one after another; each step sees what earlier ones did.
+
+    Values stand as small numbers, blanks (and NaN, which equals nothing) as zero, so that a line meets all lines of the grid at once.
+    """
+    width = max(map(len, base + collect), default=0)
+    known: dict[object, int] = {}
+    texts: dict[str, int] = {"": 0}
+
+    def coded(lines: list[list[str]]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+        full = [line + [""] * (width - len(line)) for line in lines]
+        equal, alike = np.zeros((len(lines), width), "int64"), np.zeros((len(lines), width), "int64")
+        for i, line in enumerate(full):
+            for j, x in enumerate(line):
+                bare = x.strip()
+                number = _number(bare)
+                alike[i, j] = texts.setdefault(bare, len(texts))
+                if bare and not (number is not None and number != number):
+                    equal[i, j] = known.setdefault(bare if number is None else number, len(known) + 1)
+        return full, equal, alike
+
+    grid, equal, alike = coded(base)
+    told, told_equal, told_alike = coded(collect)
+    n, room = len(grid), len(grid) + len(told)
+    equal, alike = np.resize(equal, (room, width)), np.resize(alike, (room, width))
+    for line, new, shown in zip(told, told_equal, told_alike, strict=True):
+        if not shown.any():
             continue
-        done = False
-        for i, own in enumerate(grid):
-            clash = any(a and b and number(a) != number(b) for a, b in zip(own, row, strict=True))
-            base_only, more = any(a and not b for a, b in zip(own, row, strict=True)), any(b and not a for a, b in zip(own, row, strict=True))
-            if clash or not any(own) or (base_only and more):
+        own, here = equal[:n], new != 0
+        filled = own != 0
+        clash = (filled & here & (own != new)).any(axis=1)
+        less, more = (filled & ~here).any(axis=1), (~filled & here).any(axis=1)
+        fits = np.flatnonzero(~clash & filled.any(axis=1) & ~(less & more))
+        if len(fits):
+            at = int(fits[0])
+            if not more[at]:
                 continue
-            if more:
-                grid[i] = list(row)
-            done = True
-            break
-        if not done:
-            best, at = -1.0, 0
-            for i, own in enumerate(grid):
-                alike = sum(a.strip() == b.strip() for a, b in zip(own, row, strict=True)) / max(width, 1)
-                if alike > best:
-                    best, at = alike, i
-            grid.insert(at + 1 if grid else 0, list(row))
+            grid[at] = line
+        else:
+            at = int((alike[:n] == shown).sum(axis=1).argmax()) + 1 if n else 0
+            grid.insert(at, line)
+            equal[at + 1 : n + 1], alike[at + 1 : n + 1] = equal[at:n].copy(), alike[at:n].copy()
+            n += 1
+        equal[at], alike[at] = new, shown
     return grid
 
 
@@ -263,6 +288,27 @@ def merge_by_row(base: DataFrame, collect: DataFrame, keys: list[str]) -> DataFr
     return rows.groupBy(*keys).applyInPandas(merged, ", ".join([*(f"`{k}` {t}" for k, t in kinds.items()), "line bigint, cells array<string>"]))
 
 
+def merge_by_column(base: DataFrame, collect: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, row, col, value`` of the non-blank cells: as :func:`merge_by_row` for columns of cells ``(keys, row, col, value)``, rows and columns from 1.
+
+    A collected column goes to the right of the most similar one, which moves later columns.
+    """
+    kinds = {k: base.schema[k].dataType.simpleString() for k in keys}
+    cell = [F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("value").cast("string").alias("value")]
+    rows = base.select(*keys, F.lit(0).alias("_side"), *cell).unionByName(collect.select(*keys, F.lit(1).alias("_side"), *cell))
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides: tuple[dict, dict] = ({}, {})
+        for side, row, col, value in zip(*(pdf[c].tolist() for c in ("_side", "row", "col", "value")), strict=True):
+            sides[side][col, row] = value or ""
+        size = [(max((c for c, _ in s), default=0), max((r for _, r in s), default=0)) for s in sides]
+        grid = _grid_merge(*([[s.get((c, r), "") for r in range(1, rows + 1)] for c in range(1, columns + 1)] for s, (columns, rows) in zip(sides, size, strict=True)))
+        found = [(r, c, v) for c, line in enumerate(grid, 1) for r, v in enumerate(line, 1) if v.strip()]
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(found) for k in keys}, **{n: [x[i] for x in found] for i, n in enumerate(("row", "col", "value"))}})
+
+    return rows.groupBy(*keys).applyInPandas(merged, ", ".join([*(f"`{k}` {t}" for k, t in kinds.items()), "row int, col int, value string"]))
+
+
 PLACEHOLDER = r"\{\{\s*([↓→]?)\s*([^{}]+?)\s*\}\}"
 
 

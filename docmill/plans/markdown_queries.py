@@ -241,3 +241,25 @@ def L6_link_graph(spark, sf_dir):
     found = L.extract_links(docs).filter("kind = 'wiki_embed'").select(F.col("path").alias("source_path"), "pos", L.parse_target(F.col("link"))["path"].alias("target"))
     edges = found.join(L.resolve_links(found, docs, ["source_path", "pos"]), ["source_path", "pos"])
     return L.link_graph(edges.select(F.col("source_path").alias("source"), F.col("resolved").alias("target")), docs.select(F.col("path").alias("node")))
+
+
+RING = "(2 + (c_custkey // 60) % 4)"
+
+
+@query(
+    f"""WITH c AS (SELECT c_custkey AS k, {RING} AS s FROM customer),
+e AS (SELECT k AS a, k // 60 * 60 + (k % 60) // s * s + ((k % 60) % s + 1) % s AS b FROM c WHERE k % 60 < 60 // s * s),
+e2 AS (SELECT a, b FROM e JOIN c ON c.k = b)
+SELECT DISTINCT x.a || '.md' AS node, CASE WHEN z.b IS NOT NULL AND y.b = x.a THEN 2 WHEN z.b = x.a THEN 3 ELSE 4 END AS length
+FROM e2 x JOIN e2 y ON y.a = x.b LEFT JOIN e2 z ON z.a = y.b LEFT JOIN e2 w ON w.a = z.b WHERE y.b = x.a OR z.b = x.a OR w.b = x.a"""
+)
+def L6_link_cycles(spark, sf_dir):
+    """A note for each customer, in rings of two to five notes of which each links to the next; rings of five are too long, and rings with customers missing are open."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k, (2 + F.floor(k / 60) % 4).alias("s"), F.floor(k / 60).alias("b"), (k % 60).alias("i"))
+    following = F.col("b") * 60 + F.floor(F.col("i") / F.col("s")) * F.col("s") + (F.col("i") % F.col("s") + 1) % F.col("s")
+    text = cat("to [[", following.cast("bigint").cast("string"), "#part]] and [[none]]")
+    docs = rows.select(cat(k.cast("string"), ".md").alias("path"), text.alias("text"))
+    found = L.extract_links(docs).filter("kind = 'wiki_link'").select(F.col("path").alias("source_path"), "pos", L.parse_target(F.col("link"))["path"].alias("target"))
+    edges = found.join(L.resolve_links(found, docs, ["source_path", "pos"]), ["source_path", "pos"])
+    return L.link_cycles(edges.select(F.col("source_path").alias("source"), F.col("resolved").alias("target")), max_depth=4)

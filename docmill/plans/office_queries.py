@@ -329,10 +329,10 @@ def S6_type_csv_cells(spark, sf_dir):
     return S.type_csv_cells(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", value.alias("value"))).drop("value")
 
 
-@query("SELECT n_regionkey AS sheet, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INTEGER AS row, n_name || ',,\"a,\"\"b\"\"\"' AS line FROM nation")
+@query("SELECT o_custkey AS sheet, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INTEGER AS row, o_orderpriority || ',,\"a,\"\"b\"\"\"' AS line FROM orders")
 def S7_sheet_csv_lines(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").withColumn("row", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
-    cells = n.select(F.col("n_regionkey").alias("sheet"), "row", F.explode(F.array(F.struct(F.lit(1).alias("col"), F.col("n_name").alias("value")), F.struct(F.lit(3).alias("col"), F.lit('a,"b"').alias("value")))).alias("c")).select("sheet", "row", "c.*")
+    n = table(spark, sf_dir, "orders").withColumn("row", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    cells = n.select(F.col("o_custkey").alias("sheet"), "row", F.explode(F.array(F.struct(F.lit(1).alias("col"), F.col("o_orderpriority").alias("value")), F.struct(F.lit(3).alias("col"), F.lit('a,"b"').alias("value")))).alias("c")).select("sheet", "row", "c.*")
     return S.sheet_csv_lines(cells, ["sheet"])
 
 

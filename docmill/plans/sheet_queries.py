@@ -41,14 +41,15 @@ def C1_fill_merged(spark, sf_dir):
     return C.fill_merged(rows, ranges.drop("g"), ["sheet"])
 
 
-GRID = "g AS (SELECT n_regionkey AS sheet, n_nationkey AS k, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::BIGINT AS i, n_name FROM nation)"
+GRID = "g AS (SELECT o_custkey AS sheet, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::BIGINT AS i, 'o' || o_orderkey AS n_name FROM orders)"
 
 
 def grid(spark, sf_dir):
-    """Nation i of a region is a 2 x 3 box at row 4 i and column 5 (i mod 2)."""
-    n = table(spark, sf_dir, "nation").withColumn("i", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).cast("bigint"))
+    """A sheet for each customer; its order i is a 2 x 3 box at row 4 i and column 5 (i mod 2)."""
+    n = table(spark, sf_dir, "orders").withColumn("i", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("bigint"))
+    n = n.withColumn("n_name", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")))
     spots = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (0, 1) for c in (0, 1, 2)))
-    rows = n.select(F.col("n_regionkey").alias("sheet"), "i", "n_name", F.explode(spots).alias("s"))
+    rows = n.select(F.col("o_custkey").alias("sheet"), "i", "n_name", F.explode(spots).alias("s"))
     row, col = F.col("i") * 4 + F.col("s.r"), F.pmod("i", F.lit(2)) * 5 + F.col("s.c")
     return rows.select("sheet", row.alias("row"), col.alias("col"), F.concat("n_name", F.lit("|"), "s.r", F.lit("\n"), "s.c").alias("value"))
 
@@ -170,6 +171,25 @@ def C10_merge_by_row(spark, sf_dir):
     return C.merge_by_row(base, rows.select("c_nationkey", "line", more.alias("cells")), ["c_nationkey"])
 
 
+@query(
+    """SELECT c_custkey, row, col, value FROM (SELECT c_custkey, unnest([1, 2, 3, 1, 2, 3, 1, 2, 3]) AS row, unnest([1, 1, 1, 2, 2, 2, 3, 3, 3]) AS col,
+  unnest([c_name, c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 'x' END, 'n', 'k' || c_custkey, '7', 'q', 'k' || c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '7.0' ELSE '7' END]) AS value FROM customer) WHERE value IS NOT NULL"""
+)
+def C10_merge_by_column(spark, sf_dir):
+    """A sheet for each customer: the first collected column covers the first base column or is covered by it, the second is blank, the third, which differs from the second base column in one place, goes beside it."""
+    k = F.col("c_custkey")
+    other = lambda sign, seven: F.array(F.lit(sign), F.concat(F.lit("k"), k.cast("string")), seven)
+    seven = F.when(k % 3 == 0, "7.0").otherwise("7")
+    told = F.when(k % 2 == 0, F.array("c_name", "c_mktsegment", F.lit("x"))).otherwise(F.array(F.col("c_name"), F.lit("  ")))
+    sheets = {"base": F.array(F.array("c_name", "c_mktsegment"), other("n", F.lit("7"))), "collect": F.array(told, F.array(F.lit(" ")), other("q", seven))}
+
+    def cells(columns):
+        rows = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(columns).alias("c", "_x"))
+        return rows.select("c_custkey", (F.col("c") + 1).alias("col"), F.posexplode("_x").alias("r", "value")).select("c_custkey", (F.col("r") + 1).alias("row"), "col", "value")
+
+    return C.merge_by_column(cells(sheets["base"]), cells(sheets["collect"]), ["c_custkey"])
+
+
 @query(
     """SELECT p_partkey, 0 AS n, CASE p_partkey % 3 WHEN 0 THEN 'scalar' WHEN 1 THEN 'column' ELSE 'row' END AS mode, p_name AS key, p_partkey % 2 = 0 AS whole FROM part
 UNION ALL SELECT p_partkey, 1, 'scalar', 'more', false FROM part WHERE p_partkey % 2 = 1"""

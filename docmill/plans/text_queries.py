@@ -40,12 +40,12 @@ def T3_is_value_empty(spark, sf_dir):
     return rows.select(k, X.is_value_empty(F.col("t"), T.StringType()).alias("text_empty"), X.is_value_empty(F.col("l"), T.ArrayType(T.StringType())).alias("list_empty"))
 
 
-@query("SELECT n_nationkey, n_name || '、' || r_name AS shown, 2 AS listed, [n_name, r_name] AS parsed FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT c_custkey, c_name || '、' || c_mktsegment AS shown, 2 AS listed, [c_name, c_mktsegment] AS parsed FROM customer")
 def T4_format_display_value(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    nested = F.array(F.array(F.concat(F.lit(" "), F.col("n_name")), F.lit("None")), F.array(F.lit(" "), F.col("r_name"), F.lit("null")))
-    literal = F.concat(F.lit("['"), F.col("n_name"), F.lit("', \""), F.col("r_name"), F.lit('"]'))
-    return rows.select("n_nationkey", X.format_display_value(nested).alias("shown"), F.size(X.process_list_field(F.flatten(nested))).alias("listed"), X.parse_list_literal(literal).alias("parsed"))
+    rows = table(spark, sf_dir, "customer")
+    nested = F.array(F.array(F.concat(F.lit(" "), F.col("c_name")), F.lit("None")), F.array(F.lit(" "), F.col("c_mktsegment"), F.lit("null")))
+    literal = F.concat(F.lit("['"), F.col("c_name"), F.lit("', \""), F.col("c_mktsegment"), F.lit('"]'))
+    return rows.select("c_custkey", X.format_display_value(nested).alias("shown"), F.size(X.process_list_field(F.flatten(nested))).alias("listed"), X.parse_list_literal(literal).alias("parsed"))
 
 
 def _order_dates(spark, sf_dir):
@@ -147,11 +147,11 @@ def T11_number_tests(spark, sf_dir):
     )
 
 
-@query("SELECT n_nationkey, n_name AS no_colon, n_name AS after, n_name AS bare, [n_name, 'B', 'C'] AS copies, n_name AS attachment FROM nation")
+@query("SELECT c_custkey, c_name AS no_colon, c_name AS after, c_name AS bare, [c_name, 'B', 'C'] AS copies, c_name AS attachment FROM customer")
 def T12_colon_bracket_ops(spark, sf_dir):
-    n = F.col("n_name")
-    return table(spark, sf_dir, "nation").select(
-        "n_nationkey",
+    n = F.col("c_name")
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey",
         X.remove_colon(F.concat(n, F.lit("："))).alias("no_colon"),
         X.after_colon(F.concat(F.lit("to:  "), n, F.lit(" "))).alias("after"),
         X.remove_brackets(F.concat(F.lit("（"), n, F.lit(")"))).alias("bare"),
@@ -160,11 +160,11 @@ def T12_colon_bracket_ops(spark, sf_dir):
     )
 
 
-@query("SELECT n_nationkey, n_name || CASE n_nationkey % 3 WHEN 0 THEN '：' WHEN 1 THEN '。a' || n_name || '：' ELSE '' END AS title, CASE n_nationkey % 3 WHEN 2 THEN '' ELSE 'rest.' END AS body FROM nation")
+@query("SELECT c_custkey, c_name || CASE c_custkey % 3 WHEN 0 THEN '：' WHEN 1 THEN '。a' || c_name || '：' ELSE '' END AS title, CASE c_custkey % 3 WHEN 2 THEN '' ELSE 'rest.' END AS body FROM customer")
 def T13_split_on_terminator(spark, sf_dir):
-    n, k = F.col("n_name"), F.col("n_nationkey") % 3
+    n, k = F.col("c_name"), F.col("c_custkey") % 3
     raw = F.when(k == 0, F.concat(n, F.lit("： rest."))).when(k == 1, F.concat(n, F.lit("。a"), n, F.lit("：rest."))).otherwise(n)
-    return table(spark, sf_dir, "nation").select("n_nationkey", X.split_on_terminator(raw).alias("s")).select("n_nationkey", "s.title", "s.body")
+    return table(spark, sf_dir, "customer").select("c_custkey", X.split_on_terminator(raw).alias("s")).select("c_custkey", "s.title", "s.body")
 
 
 @query("SELECT p_partkey, p_name || ' and *' || p_brand || '* by ' || p_type || ' ' || p_name || '2' AS plain FROM part")
