@@ -130,3 +130,20 @@ def heading_from_paragraph(x: Column, style_level: Column) -> Column:
             ),
         ),
     )
+
+
+def headings_from_paragraphs(paras: DataFrame, keys: list[str], scheme: str | dict[int, str] | None = None, order: str = "para_no", text_col: str = "text", style_col: str | None = None) -> DataFrame:
+    """``keys, order, level, heading, body`` of a document's paragraphs, old numbers gone; with a scheme headings get new numbers in the document's order. A shuffle by document."""
+    style = F.col(style_col) if style_col else F.lit(None).cast("int")
+    rows = paras.select(*keys, order, heading_from_paragraph(F.col(text_col), style).alias("h"))
+    if scheme is None:
+        return rows.select(*keys, order, "h.*")
+    templates = SCHEMES[scheme] if isinstance(scheme, str) else scheme
+    piled = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, F.col("h.level").alias("level"), F.col("h.heading").alias("heading"), F.col("h.body").alias("body")))).alias("_p"))
+
+    def numbered(p: Column, counters: Column) -> Column:
+        head = F.concat(F.repeat(F.lit("#"), p["level"]), F.lit(" "), render_number(counters, p["level"], templates), F.substring(p["heading"], p["level"] + 2, F.char_length(p["heading"])))
+        return F.struct(p[order].alias(order), p["level"].alias("level"), head.alias("heading"), p["body"].alias("body"))
+
+    made = F.zip_with("_p", counters_of(F.transform("_p", lambda p: F.when(p["level"] > 0, p["level"]))), numbered)
+    return piled.select(*keys, F.explode(made).alias("_p")).select(*keys, "_p.*")

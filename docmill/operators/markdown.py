@@ -271,21 +271,25 @@ def list_counters(items: DataFrame, keys: list[str], order: str = "seq") -> Data
     return rows.select(*items.columns, F.when(F.col("level").isNotNull(), count).alias("counter"))
 
 
-BLOCKS = "seq int, type string, level int, text string, language string"
+BLOCKS = "seq int, type string, level int, text string, language string, attached boolean"
+# Signs at the end of a heading that let the line below join it; after those of ASCII a blank comes between.
+END_MARKS = "。，；：！？、—～….,;:!?–-．؟؛،۔·¿¡։՞՜။၊።፣፧།༎ฯ។៕"
+BLANK_AFTER = ".,;:!?"
 
 
 def _blocks(body: str | None) -> list[tuple]:
-    """``seq, type, level, text, language`` of one body, by a scan over its lines."""
+    """``seq, type, level, text, language, attached`` of one body, by a scan over its lines."""
     lines = re.sub(r"\r\n?", "\n", body or "").split("\n")
     out: list[tuple] = []
     indents: list[int] = []  # of the open list's levels
     i = 0
 
     def put(kind: str, level: int | None, text: str, language: str = "") -> None:
-        out.append((len(out), kind, level, text, language))
+        out.append((len(out), kind, level, text, language, attached))
 
     while i < len(lines):
         line = lines[i]
+        attached = i > 0 and bool(lines[i - 1].strip())
         i += 1
         if not line.strip():
             continue
@@ -331,8 +335,8 @@ def _blocks(body: str | None) -> list[tuple]:
                 indents.append(width)
             put("ordered" if item[2][0].isdigit() else "bullet", len(indents), item[3].strip())
         elif indents and out and out[-1][1] in ("ordered", "bullet"):
-            n, kind, level, text, _ = out.pop()
-            out.append((n, kind, level, f"{text}\n{line.strip()}", ""))
+            n, kind, level, text, _, under = out.pop()
+            out.append((n, kind, level, f"{text}\n{line.strip()}", "", under))
         elif i < len(lines) and re.match(r"^(=+|-+)\s*$", lines[i]):
             put("heading", 1 if lines[i][0] == "=" else 2, line.strip())
             i += 1
@@ -342,8 +346,9 @@ def _blocks(body: str | None) -> list[tuple]:
 
 
 def segment_blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The other columns and ``seq, type, level, text, language`` of every block: headings (both forms), fenced code, rules, formulas, tables, quotes, list items with relative levels and their continuations, paragraphs.
+    """The other columns and ``seq, type, level, text, language, attached`` of every block: headings (both forms), fenced code, rules, formulas, tables, quotes, list items with relative levels and their continuations, paragraphs.
 
+    ``attached`` is whether no blank line is above; an attached rule belongs to the block before.
     What a line is depends on the lines before it, so a document is scanned in one go; no shuffle.
     """
     others = [c for c in docs.columns if c != text_col]
@@ -353,7 +358,18 @@ def segment_blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def scan(batches):
         for pdf in batches:
             parts = [(*key, *b) for *key, text in pdf[[*others, "_text"]].itertuples(index=False, name=None) for b in _blocks(text)]
-            out = pd.DataFrame(parts, columns=[*others, "seq", "type", "level", "text", "language"])
+            out = pd.DataFrame(parts, columns=[*others, "seq", "type", "level", "text", "language", "attached"])
             yield out.astype({"level": "Int32"})
 
     return rows.mapInPandas(scan, schema)
+
+
+def merge_heading_content(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks with ``content``: a heading that ends in a sign takes an attached paragraph below it (type ``heading_with_content``), which goes; ``seq`` stays. A shuffle by document."""
+    order = Window.partitionBy(*keys).orderBy("seq")
+    ends = (F.col("type") == "heading") & F.contains(F.lit(END_MARKS), F.right("text", F.lit(1))) & (F.col("text") != "")
+    rows = blocks.withColumn("_ends", ends).withColumn("_joins", F.lag("_ends").over(order) & (F.col("type") == "paragraph") & F.col("attached"))
+    rows = rows.withColumn("_next", F.lead(F.when(F.col("_joins"), F.col("text"))).over(order)).filter(~F.coalesce("_joins", F.lit(False)))
+    merged = F.col("_ends") & F.col("_next").isNotNull()
+    content = F.when(merged, F.concat(F.when(F.right("text", F.lit(1)).isin(*BLANK_AFTER), " ").otherwise(""), "_next"))
+    return rows.select(*(F.when(merged, "heading_with_content").otherwise(F.col("type")).alias("type") if c == "type" else F.col(c) for c in blocks.columns), content.alias("content"))

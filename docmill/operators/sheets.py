@@ -304,7 +304,10 @@ def merge_by_column(base: DataFrame, collect: DataFrame, keys: list[str]) -> Dat
         size = [(max((c for c, _ in s), default=0), max((r for _, r in s), default=0)) for s in sides]
         grid = _grid_merge(*([[s.get((c, r), "") for r in range(1, rows + 1)] for c in range(1, columns + 1)] for s, (columns, rows) in zip(sides, size, strict=True)))
         found = [(r, c, v) for c, line in enumerate(grid, 1) for r, v in enumerate(line, 1) if v.strip()]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(found) for k in keys}, **{n: [x[i] for x in found] for i, n in enumerate(("row", "col", "value"))}})
+        # Of no rows the types can't be told.
+        kinds = {"row": "int32", "col": "int32", "value": object}
+        made = {n: pd.Series([x[i] for x in found], dtype=t) for i, (n, t) in enumerate(kinds.items())}
+        return pd.DataFrame({**{k: pd.Series([pdf[k].iloc[0]] * len(found), dtype=pdf[k].dtype if pdf[k].dtype.kind in "iufb" else object) for k in keys}, **made})
 
     return rows.groupBy(*keys).applyInPandas(merged, ", ".join([*(f"`{k}` {t}" for k, t in kinds.items()), "row int, col int, value string"]))
 

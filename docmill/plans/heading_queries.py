@@ -83,3 +83,17 @@ def H6_heading_from_paragraph(spark, sf_dir):
     k = F.col("p_partkey") % 3
     x = F.concat(F.when(k == 0, "一、").otherwise(""), F.col("p_name"), F.lit("。"), F.col("p_type"))
     return table(spark, sf_dir, "part").select("p_partkey", H.heading_from_paragraph(x, F.when(k == 1, 2)).alias("h")).select("p_partkey", "h.*")
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey, l_linenumber AS para_no, min(l_partkey) AS p, CASE WHEN l_linenumber = 1 THEN 1 WHEN min(l_partkey) % 3 = 0 THEN 0 ELSE 2 END AS level FROM lineitem GROUP BY l_orderkey, l_linenumber)
+SELECT l_orderkey, para_no, level, CASE level WHEN 1 THEN '# 1 part ' || p WHEN 2 THEN '## 1.' || count(*) FILTER (level = 2) OVER (PARTITION BY l_orderkey ORDER BY para_no) || ' part ' || p ELSE '' END AS heading, CASE level WHEN 0 THEN 'part ' || p || '。rest' ELSE 'rest' END AS body
+FROM l"""
+)
+def H6_number_paragraphs(spark, sf_dir):
+    """The lines of each order: a first one is the title, others are by their part a heading with an old number or text."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("para_no")).agg(F.min("l_partkey").alias("p"))
+    old = F.when(F.col("para_no") == 1, "三、").when(F.col("p") % 3 == 0, "").otherwise("（二）")
+    paras = lines.select("l_orderkey", "para_no", F.concat(old, F.lit("part "), F.col("p").cast("string"), F.lit("。rest")).alias("text"))
+    found = H.headings_from_paragraphs(paras, ["l_orderkey"], {1: "{1.arabic_half} ", 2: "{1.arabic_half}.{2.arabic_half} "})
+    return found.withColumn("heading", F.coalesce("heading", F.lit("")))

@@ -73,7 +73,23 @@ def M2_segment_blocks(spark, sf_dir):
     line = F.element_at(F.array(*lines), (k + 1).cast("int"))
     docs = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", cat(line, "\n\nend\n").alias("l")))).alias("ls"))
     found = M.segment_blocks(docs.select("p_brand", F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias("text")))
-    return found.withColumn("level", F.coalesce("level", F.lit(-1)))
+    return found.withColumn("level", F.coalesce("level", F.lit(-1))).drop("attached")
+
+
+@query(
+    """SELECT o_orderkey, seq, type, level, text, attached, content FROM (SELECT o_orderkey, unnest([0, 1, 2, 3]) AS seq,
+  unnest([CASE WHEN k < 3 THEN 'heading_with_content' ELSE 'heading' END, CASE WHEN k < 3 THEN NULL ELSE 'paragraph' END, 'hr', 'paragraph']) AS type, unnest([2, -1, -1, -1]) AS level,
+  unnest([h || ['.', '。', '！', '', '?'][k + 1], o_orderpriority, '*', 'end']) AS text, unnest([false, k < 4, k % 2 = 0, false]) AS attached,
+  unnest([CASE k WHEN 0 THEN ' ' || o_orderpriority WHEN 1 THEN o_orderpriority WHEN 2 THEN o_orderpriority ELSE '' END, '', '', '']) AS content
+  FROM (SELECT o_orderkey, o_orderkey % 5 AS k, 'h' || o_orderkey AS h, o_orderpriority FROM orders)) WHERE type IS NOT NULL"""
+)
+def M2_heading_content(spark, sf_dir):
+    """A document for each order: a heading, which ends in a sign unless the key mod 5 is 3, a line right below it unless that is 4, and a rule that belongs to the line where the key mod 5 is even."""
+    k = F.col("o_orderkey") % 5
+    sign = F.element_at(F.array(*map(F.lit, (".", "。", "！", "", "?"))), (k + 1).cast("int"))
+    text = cat("## h", F.col("o_orderkey").cast("string"), sign, F.when(k == 4, "\n\n").otherwise("\n"), F.col("o_orderpriority"), F.when(k % 2 == 0, "\n***\n").otherwise("\n\n***\n"), "\nend")
+    found = M.merge_heading_content(M.segment_blocks(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))), ["o_orderkey"])
+    return found.select("o_orderkey", "seq", "type", F.coalesce("level", F.lit(-1)).alias("level"), "text", "attached", F.coalesce("content", F.lit("")).alias("content"))
 
 
 @query(

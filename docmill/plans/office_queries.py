@@ -152,6 +152,24 @@ def I1_invoice_header(spark, sf_dir):
     return found.select("o_orderkey", *(F.col(a).alias(b) for a, b in names.items()))
 
 
+@query(
+    """SELECT o_orderkey, '0' || lpad(o_orderkey::VARCHAR, 11, '0') AS code, lpad(o_orderkey::VARCHAR, 8, '0') AS number, strftime(o_orderdate, '%Y年%m月%d日') AS issued, '5' || lpad(o_orderkey::VARCHAR, 19, '0') AS check_code,
+  '甲行' || o_custkey AS buyer_bank, CASE WHEN o_orderkey % 3 = 0 THEN '乙行' || o_custkey ELSE '及账号:甲行' || o_custkey || '销售方信息、收款帐号：6222' || lpad(o_custkey::VARCHAR, 10, '0') || ' 6222' || lpad(o_custkey::VARCHAR, 10, '0') END AS seller_bank
+FROM (SELECT o_orderkey, o_custkey, DATE '2021-03-04' + (o_orderkey % 300)::INTEGER AS o_orderdate FROM orders)"""
+)
+def I1_invoice_by_digits(spark, sf_dir):
+    """No labels but those of the banks: even orders have a date and a number, odd ones' number follows the date's digits; a third has a bank of the seller, others an account for payment."""
+    k, bank = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    padded = lambda n: F.lpad(k.cast("string"), n, "0")
+    day = F.date_add(F.lit("2021-03-04").cast("date"), (k % 300).cast("int"))
+    number = F.when(k % 2 == 0, cat("开票日期：", F.date_format(day, "yyyy年M月d日"), "、", padded(8))).otherwise(cat(F.date_format(day, "yyyyMMdd"), padded(8)))
+    seller = F.when(k % 3 == 0, cat("开户行及账号：乙行", bank, "项目名称")).otherwise(cat("、收款帐号：6222", F.lpad(bank, 10, "0"), "校验码"))
+    text = cat("0", padded(11), "、5", padded(19), "、", number, "\n购买方信息 开户行及账号:甲行", bank, " 销售方信息", seller)
+    found = I.invoice_header(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), by_digits=True)
+    names = {"发票代码": "code", "发票号码": "number", "开票日期": "issued", "校验码": "check_code", "购买方开户行及账号": "buyer_bank", "销售方开户行及账号": "seller_bank"}
+    return found.select("o_orderkey", *(F.col(a).alias(b) for a, b in names.items()))
+
+
 @query(
     """WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_quantity)::INTEGER AS q FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1)::INTEGER AS line_no, '*kind*goods ' || p AS name, CASE WHEN l_linenumber % 2 = 0 THEN q || 'kg' ELSE '' END AS model, CASE WHEN l_linenumber % 3 > 0 THEN '盒' ELSE '' END AS unit,
@@ -283,6 +301,27 @@ def S2_detect_format(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.magic_format(F.concat(head, F.col("html").cast("binary"))).alias("format"))
 
 
+CONTAINERS = (
+    ("xlsx", "zip", ("xl/workbook.xml",)), ("docx", "bin", ("word/document.xml",)), ("ofd", "OFD", ("OFD.xml",)), ("odt", "odt", ("mimetype",)), ("xps", "zip", ("Documents/1/Pages/1.fpage",)), ("ods", "ods", ("other.bin",)),
+    ("et", "et", ("Workbook",)), ("wps", "wps", ("WordDocument",)), ("unknown", "exe", ()), ("rtf", "RTF", ()),
+)
+
+
+@query(f"SELECT page_id, {[k for k, *_ in CONTAINERS]}[page_id % 10 + 1] AS format FROM pages")
+def S2_detect_container(spark, sf_dir):
+    """Packed files by their members (one by its extension), compound files by their streams and extension, other binary files by extension."""
+
+    def made(kind, members):
+        if kind in ("et", "wps"):
+            return S.compound_file(members)
+        return S.packed_file({m: S.ODF + "text" if m == "mimetype" else "x" for m in members}) if members else bytes(range(256))
+
+    k = (F.col("page_id") % 10 + 1).cast("int")
+    content = F.element_at(F.array(*(F.unhex(F.lit(made(kind, members).hex())) for kind, _, members in CONTAINERS)), k)
+    ext = F.element_at(F.array(*(F.lit(e) for _, e, _ in CONTAINERS)), k)
+    return table(spark, sf_dir, "pages").select("page_id", S.detect_format(content, ext).alias("format"))
+
+
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'md' WHEN 1 THEN 'csv' WHEN 2 THEN 'csv' ELSE 'txt' END AS format FROM documents")
 def S3_detect_text_format(spark, sf_dir):
     k, i = F.col("doc_id") % 4, F.col("doc_id").cast("string")

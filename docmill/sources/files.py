@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 import io
+import struct
+import zipfile
 
 import pandas as pd
 import yaml
@@ -87,6 +89,96 @@ def detect_file_format(content: Column, ext: Column) -> Column:
     return F.coalesce(magic_format(content), bound(read, judged))
 
 
+#: Extensions that tell the format of files which their bytes don't.
+KNOWN = ("rtf", "doc", "docx", "wps", "xls", "xlsx", "et", "odt", "pdf", "xps", "jpeg", "png", "gif", "bmp", "tiff", "heic", "txt", "md")
+#: Extensions of packed files without a telling member; others are documents.
+PACKED = ("xlsx", "xps", "ods", "odt", "ofd")
+ODF = "application/vnd.oasis.opendocument."
+
+
+def _packed_kind(content: bytes) -> str:
+    """Format of a ZIP file by its members, read from its directory; empty where they don't tell."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = z.namelist()
+        starts = lambda p, end="": any(n.startswith(p) and n.endswith(end) for n in names)
+        if "OFD.xml" in names or starts("Doc_"):
+            return "ofd"
+        if "mimetype" in names:
+            with z.open("mimetype") as f:
+                said = f.read(100).decode("utf-8", "replace").strip()
+            if said in (ODF + "text", ODF + "spreadsheet"):
+                return "odt" if said.endswith("text") else "ods"
+        if "FixedDocumentSequence.fdseq" in names or starts("Documents/", ".fpage"):
+            return "xps"
+        return "xlsx" if starts("xl/") else "docx" if starts("word/") else ""
+
+
+def _compound_kind(content: bytes) -> str:
+    """``word``, ``excel`` or empty by the stream names of a compound file's directory, whose sectors a table chains."""
+    size = 1 << struct.unpack_from("<H", content, 30)[0]
+    table: list[int] = []
+    for sector in struct.unpack_from("<109I", content, 76):
+        if (sector + 2) * size <= len(content):
+            table += struct.unpack_from(f"<{size // 4}I", content, (sector + 1) * size)
+    sector, seen, names = struct.unpack_from("<I", content, 48)[0], set(), set()
+    while sector < len(table) and sector not in seen:
+        seen.add(sector)
+        for at in range((sector + 1) * size, min((sector + 2) * size, len(content) - 127), 128):
+            names.add(content[at : at + min(struct.unpack_from("<H", content, at + 64)[0], 64)].decode("utf-16-le", "replace").rstrip("\0"))
+        sector = table[sector]
+    return "word" if names & {"WordDocument", "1Table", "0Table", "Data"} else "excel" if names & {"Workbook", "Book", "BOOK"} else ""
+
+
+@F.pandas_udf(T.StringType())
+def _inner_kind(content: pd.Series) -> pd.Series:
+    """What a packed or compound file holds; empty where that can't be read, null for null."""
+
+    def kind(b: bytes | None) -> str | None:
+        if b is None:
+            return None
+        try:
+            return _packed_kind(bytes(b)) if b[:1] == b"P" else _compound_kind(bytes(b))
+        except Exception:  # any damage: the extension decides
+            return ""
+
+    return content.map(kind)
+
+
+def detect_format(content: Column, ext: Column) -> Column:
+    """Format by first bytes, members of packed and streams of compound files, text, then extension; ``unknown`` where none tells.
+
+    Only packed and compound files go to Python.
+    """
+    magic, e = magic_format(content), F.lower(ext)
+    same = F.coalesce(F.create_map(*(F.lit(v) for kv in SAME.items() for v in kv))[e], e)
+    inner = _inner_kind(F.when(magic.isin("zip", "ole"), content))
+    packed = F.when(inner != "", inner).when(e.isin(*PACKED), e).otherwise("docx")
+    sheet = (inner == "excel") | ((inner == "") & e.isin("xls", "xlsx", "et"))
+    compound = F.when(sheet, F.when(e == "et", "et").otherwise("xls")).otherwise(F.when(e == "wps", "wps").otherwise("doc"))
+    held = F.when(magic == "zip", packed).when(magic == "ole", compound)
+    return F.coalesce(held, detect_file_format(content, ext), F.when(same.isin(*KNOWN), same), F.lit("unknown"))
+
+
+def packed_file(members: dict[str, str]) -> bytes:
+    """A ZIP file of texts by name, for queries and tests."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in members.items():
+            z.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), text)
+    return out.getvalue()
+
+
+def compound_file(streams: tuple[str, ...]) -> bytes:
+    """The header, table and directory of a compound file with empty streams, for queries and tests."""
+    head = bytearray(512)
+    head[:8] = bytes.fromhex("D0CF11E0A1B11AE1")
+    struct.pack_into("<H", head, 30, 9)
+    struct.pack_into("<I", head, 48, 1)
+    struct.pack_into("<109I", head, 76, 0, *[0xFFFFFFFF] * 108)
+    entries = b"".join(n.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<H", 2 * len(n) + 2) + bytes(62) for n in ("Root Entry", *streams))
+    return bytes(head) + struct.pack("<128I", 0xFFFFFFFD, 0xFFFFFFFE, *[0xFFFFFFFF] * 126) + entries.ljust(512, b"\0")
+
+
 def validate_files(files: DataFrame, ext: str = "ext", detected: str = "detected") -> DataFrame:
     """``category, is_match, is_supported, is_valid, warning`` of files with extension, detected format and ``length``."""
     known = F.create_map(*(F.lit(v) for kv in SAME.items() for v in kv))
