@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.text import bound, strip
-from docmill.operators.lines import scan
+from docmill.operators.lines import scan, text_lines
 from docmill.operators.markdown import extract_block, extract_section
 from docmill.storage import materialise
 
@@ -109,9 +109,31 @@ def rewrite_links(text: Column, wiki: str = "extract_text", markdown: str = "ext
 MESSAGES = {"cycle": "[cycle: {}]", "depth": "[too deep: {}]", "missing": "[not found: {}]", "section": "[no such section: {}]"}
 
 
-def expand_embeds(docs: DataFrame, max_depth: int = 3, path_col: str = "path", text_col: str = "text", messages: dict[str, str] = MESSAGES) -> DataFrame:
+# Embeds that don't go over a line's end.
+EMBED = r"!\[\[([^|\]\\\n]+)(?:\\?\|([^\]\n]*))?\]\]|!\[([^\]\n]*)\]\(([^)\s]+)(?:[ \t]*=[ \t]*\d*x\d*)?[ \t]*\)"
+TABLE_ROW, TABLE_RULE = r"^[> \t]*\|.*\|\s*$", r"^[> \t]*\|(?:[\s:]*-[\s\-:]*\|)+\s*$"
+
+
+def _in_cell(x: Column) -> Column:
+    """A text that may stand in a table's cell."""
+    return F.regexp_replace(F.regexp_replace(strip(x), r"(?:\r?\n)+", "<br>"), r"(?<!\\)\|", r"\\|")
+
+
+def expand_embeds(
+    docs: DataFrame,
+    max_depth: int = 3,
+    path_col: str = "path",
+    text_col: str = "text",
+    messages: dict[str, str] = MESSAGES,
+    search_dirs: tuple[str, ...] = ("",),
+    assets: DataFrame | None = None,
+    images: str = "keep",
+) -> DataFrame:
     """``path, text``: embeds of Markdown files (whole, section or block) in their place, ``max_depth`` levels deep.
 
+    Targets are found as :func:`resolve_links` does, among the documents and ``assets(path)``. Embeds of images stay or become a ``placeholder``;
+    those of other files and of addresses stay. In a table's row the embedded text is one line with escaped pipes.
+
     Level by level: the embeds of all pieces of a level meet the documents in one join, then the pieces are put together from
     the deepest level up. An ancestor embedded again is a cycle, even where the depth would end too; siblings may repeat a document.
     """
@@ -121,31 +143,41 @@ def expand_embeds(docs: DataFrame, max_depth: int = 3, path_col: str = "path", t
         return F.concat(F.lit(before), F.col("link"), F.lit(after))
 
     files = docs.select(F.col(path_col).alias("file"), F.col(text_col).alias("whole"))
+    known = files.select(F.col("file").alias("path"))
+    known = known if assets is None else known.unionByName(assets.select("path"))
     level = docs.select(F.col(path_col).alias("node"), F.array(path_col).alias("up"), F.col(text_col).alias("text"))
     levels, places = [], []
+    in_line = lambda x: F.transform(F.regexp_extract_all(x, F.lit(EMBED), F.lit(0)), lambda r: F.struct(r.alias("raw"), (x.rlike(TABLE_ROW) & ~x.rlike(TABLE_RULE)).alias("in_table")))
     for depth in range(max_depth + 1):
         level = materialise(level)
         levels.append(level)
-        raws = F.regexp_extract_all(F.col("text"), F.lit(WIKI_EMBED), F.lit(1))
-        found = level.select("node", "up", F.posexplode(raws).alias("n", "link"))
-        found = found.withColumn("t", parse_target(F.col("link"))).withColumn("file", F.when(F.col("t.path").rlike(r"\.[^./]+$"), F.col("t.path")).otherwise(F.concat("t.path", F.lit(".md"))))
-        joined = found.join(files, "file", "left")
+        found = level.filter(F.contains("text", F.lit("!["))).select("node", "up", F.posexplode(F.flatten(F.transform(text_lines(F.col("text")), in_line))).alias("n", "e"))
+        raw = F.col("e.raw")
+        link = strip(F.when(raw.startswith("![["), F.regexp_extract(raw, EMBED, 1)).otherwise(F.regexp_extract(raw, EMBED, 4)))
+        found = found.select("node", "up", "n", raw.alias("raw"), F.col("e.in_table").alias("in_table"), link.alias("link")).withColumn("t", parse_target(F.col("link")))
+        found = materialise(found.withColumn("target", F.when(~F.col("link").rlike(r"^(?:data:|\w+://)"), F.col("t.path"))).withColumn("source_path", F.element_at("up", -1)))
+        places_of = resolve_links(found.filter("target <> ''"), known, ["node", "n"], search_dirs).withColumnRenamed("resolved", "file")
+        joined = found.join(places_of, ["node", "n"], "left").join(files, "file", "left")
         body = F.regexp_replace("whole", r"\A(?s)---\s*\n.*?\n---[ \t]*(?:\n|\z)", "")
         part = F.when(F.col("t.heading").isNotNull(), extract_section(body, F.col("t.heading"))).when(F.col("t.block_id").isNotNull(), extract_block(body, F.col("t.block_id"))).otherwise(strip(body))
-        state = F.when(F.col("whole").isNull(), "missing").when(F.array_contains("up", F.col("file")), "cycle").when(F.lit(depth >= max_depth), "depth")
+        stays = F.col("target").isNull() | (F.col("file_type") != "markdown")
+        state = F.when(stays, "stays").when(F.col("whole").isNull(), "missing").when(F.array_contains("up", F.col("file")), "cycle").when(F.lit(depth >= max_depth), "depth")
         joined = joined.withColumn("state", state).withColumn("part", F.when(F.col("state").isNull(), part))
         joined = joined.withColumn("state", F.when(F.col("state").isNull() & F.col("part").isNull(), "section").otherwise(F.col("state")))
-        said = F.coalesce(*(F.when(F.col("state") == k, message(k)) for k in messages), F.lit(""))
-        joined = materialise(joined.select("node", "n", F.concat_ws("/", "node", F.col("n").cast("string")).alias("child"), F.concat("up", F.array("file")).alias("up"), "part", said.alias("said")))
+        shown = F.when((F.col("file_type") == "image") & F.lit(images == "placeholder"), F.concat(F.lit("{{IMAGE:"), F.col("file"), F.lit("}}"))).otherwise(F.col("raw"))
+        said = F.coalesce(F.when(F.col("state") == "stays", shown), *(F.when(F.col("state") == k, message(k)) for k in messages), F.lit(""))
+        child = F.concat_ws("/", "node", F.col("n").cast("string"))
+        joined = materialise(joined.select("node", "n", child.alias("child"), F.concat("up", F.array("file")).alias("up"), "part", "in_table", said.alias("said")))
         places.append(joined)
         level = joined.filter("part IS NOT NULL").select(F.col("child").alias("node"), "up", F.col("part").alias("text"))
     done = None
     for level, place in zip(reversed(levels), reversed(places), strict=True):
-        filled = place.select("node", "n", "child", "said")
+        filled = place.select("node", "n", "child", "said", "in_table")
         if done is not None:
-            filled = filled.join(done.select(F.col("node").alias("child"), F.col("text").alias("_t")), "child", "left").withColumn("said", F.coalesce("_t", "said"))
+            inner = done.select(F.col("node").alias("child"), F.col("text").alias("_t"))
+            filled = filled.join(inner, "child", "left").withColumn("said", F.coalesce(F.when(F.col("in_table"), _in_cell(F.col("_t"))).otherwise(F.col("_t")), "said"))
         piled = filled.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "said"))), lambda v: v["said"]).alias("_in"))
-        rows = level.join(piled, "node", "left").withColumn("_gap", F.split("text", WIKI_EMBED, -1))
+        rows = level.join(piled, "node", "left").withColumn("_gap", F.split("text", EMBED, -1))
         text = F.array_join(F.transform("_gap", lambda g, i: F.concat(F.when(i == 0, "").otherwise(F.coalesce(F.get("_in", i - 1), F.lit(""))), g)), "")
         done = materialise(rows.select("node", text.alias("text")))
     return done.select(F.col("node").alias(path_col), F.col("text").alias(text_col))

@@ -247,6 +247,27 @@ def L5_expand_embeds(spark, sf_dir):
     return L.expand_embeds(md_links(spark, sf_dir))
 
 
+@query(
+    """WITH c AS (SELECT c_custkey AS k, c_mktsegment AS g FROM customer),
+s AS (SELECT k, g, CASE WHEN k % 2 = 0 THEN 'S' || k || '|' ELSE 'L|' END AS a, CASE WHEN k % 2 = 0 THEN 'more' ELSE 'all' END AS b FROM c)
+SELECT 'c/' || k || '.md' AS path, 'A ' || a || chr(10) || b || ' B {{IMAGE:c/pic.png}} C [not found: lost] D G ' || g || ' E ![v](http://x/y.md)' || chr(10) || '| ' || replace(a, '|', '\\|') || '<br>' || b || ' | z |' AS text FROM s
+UNION ALL SELECT 'c/' || k || '/side.md', a || chr(10) || b FROM s WHERE k % 2 = 0
+UNION ALL SELECT 'lib/side.md', 'L|' || chr(10) || 'all'
+UNION ALL SELECT DISTINCT 'c/seg/' || g || '.md', 'G ' || g FROM c"""
+)
+def L5_embeds_by_path(spark, sf_dir):
+    """A note for each customer embeds a note of a folder of its own name, else of the library, an image, a lost note, its segment's note by path, an address, and the first once more in a table."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
+    even = F.col("c_custkey") % 2 == 0
+    notes = c.select(cat("c/", k, ".md").alias("path"), cat("A ![[side]] B ![t](pic.png =3x) C ![[lost]] D ![u](seg/", F.col("c_mktsegment"), ".md) E ![v](http://x/y.md)\n| ![[side]] | z |").alias("text"))
+    sides = c.filter(even).select(cat("c/", k, "/side.md").alias("path"), cat("---\na: b\n---\n", "S", k, "|\nmore").alias("text"))
+    segments = c.select("c_mktsegment").distinct().select(cat("c/seg/", F.col("c_mktsegment"), ".md").alias("path"), cat("G ", F.col("c_mktsegment")).alias("text"))
+    library = spark.createDataFrame([("lib/side.md", "L|\nall")], "path string, text string")
+    docs = notes.unionByName(sides).unionByName(segments).unionByName(library)
+    found = L.expand_embeds(docs, search_dirs=("lib",), assets=spark.createDataFrame([("c/pic.png",)], "path string"), images="placeholder")
+    return found.withColumn("text", F.regexp_replace("text", r"\A---\na: b\n---\n", ""))
+
+
 @query(
     """WITH f AS (SELECT n_regionkey AS k, min(n_nationkey) AS f, count(*) AS c FROM nation GROUP BY ALL)
 SELECT n_name || '.md' AS node, 2 AS out_degree, CASE WHEN f = n_nationkey THEN 2 ELSE 1 END AS in_degree, 1 AS broken FROM nation JOIN f ON k = n_regionkey

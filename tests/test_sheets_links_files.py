@@ -95,3 +95,17 @@ def test_blocks_and_numbers_of_odd_documents(spark):
     paras = spark.createDataFrame([(1, 0, None), (1, 1, "一、x"), (1, 2, "（一）y。z"), (2, 0, "plain")], "k int, para_no int, text string")
     rows = headings.headings_from_paragraphs(paras, ["k"], "gongwen_standard").orderBy("k", "para_no").collect()
     assert [r["heading"] for r in rows] == [None, "# 一、x", "## （一）y", None]
+
+
+def test_embeds_of_files_and_in_tables(spark):
+    docs = [
+        ("a/x.md", "![[y#^b]] ![t](../q.md) ![[z.pdf]] ![p](data:image/png;base64,AA) ![[n\nm]] ![[]]\n|---|\n> | ![[y#^b]] | ![[none]] |"),
+        ("a/y.md", "one | two\nthree \\| four ^b"), ("a/z.md", None), ("a/e.md", "![[z]]![[y#^none]]"),
+    ]
+    df = spark.createDataFrame(docs, "path string, text string")
+    got = {r["path"]: r["text"] for r in links.expand_embeds(df, assets=spark.createDataFrame([("a/z.pdf",)], "path string")).collect()}
+    block = "one | two\nthree \\| four"
+    flat = "one \\| two<br>three \\| four"
+    assert got["a/x.md"] == f"{block} [not found: ../q.md] ![[z.pdf]] ![p](data:image/png;base64,AA) ![[n\nm]] ![[]]\n|---|\n> | {flat} | [not found: none] |"
+    assert got["a/z.md"] is None and got["a/e.md"] == "[not found: z][no such section: y#^none]"
+    assert links.expand_embeds(df.limit(0)).count() == 0
