@@ -13,9 +13,12 @@ from docmill.llm.exact_dedup import exact_dedup
 from docmill.llm.language_id import identify, train
 from docmill.llm.line_dedup import dropped_lines
 from docmill.llm.packing import pack
+from docmill.llm.prefix_trie import ordered_turns, rebuilt, trie
 from docmill.llm.quality_rules import judge
 from docmill.llm.sharding import shard_documents
 from docmill.llm.simhash import near_duplicates
+from docmill.llm.whitening import whiten
+from docmill.storage import materialise
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -115,3 +118,49 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("dropped").cast("bigint").alias("n_dropped"),
         F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"),
     )
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), most=32)
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = materialise(ordered_turns(table(spark, sf_dir, "conversations")))
+    conv = F.col("conv_id")
+    return trie(rebuilt(turns, base=conv - conv % 100, head=F.crc32(conv.cast("string").cast("binary")) % 6, most=5))
+
+
+ORACLES["op13_prefix_trie"] = """
+WITH t AS (
+  SELECT conv_id AS c, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), heads AS (
+  SELECT c, xor(list_reduce([4294967295] || [ascii(x) FOR x IN string_split(CAST(c AS VARCHAR), '')],
+    lambda crc, byte: list_reduce([xor(crc, byte)] || range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM t)
+), turns AS (
+  SELECT heads.c, t.pos, t.said FROM heads JOIN t ON t.c = heads.c - heads.c % 100 AND t.pos <= h
+  UNION ALL
+  SELECT heads.c, t.pos, t.said FROM heads JOIN t ON t.c = heads.c AND t.pos > h
+), conv AS (
+  SELECT heads.c, coalesce(list(said ORDER BY pos) FILTER (pos IS NOT NULL), []) AS saids FROM heads LEFT JOIN turns USING (c) GROUP BY heads.c
+), opened AS (
+  SELECT c, d, list_slice(saids, 1, d) AS node, len(saids) = d AS ends FROM (SELECT c, saids, unnest(range(len(saids) + 1)) AS d FROM conv)
+), nodes AS (
+  SELECT node, d, min(c) AS conv_id, count(*) AS n,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256,
+         CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(node[d].text) END AS saved
+  FROM opened GROUP BY node, d
+), children AS (SELECT list_slice(node, 1, d - 1) AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1
+), below AS (
+  SELECT list_slice(s.node, 1, s.up) AS node, sum(s.saved) AS saved_tokens, count(*) FILTER (k.node IS NULL) AS n_leaves
+  FROM (SELECT node, saved, unnest(range(d + 1)) AS up FROM nodes) s LEFT JOIN children k ON k.node = s.node GROUP BY 1
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.n_children, 0) AS n_children, b.n_leaves,
+       CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.node = n.node LEFT JOIN children k ON k.node = n.node
+     LEFT JOIN nodes p ON n.d > 0 AND p.node = list_slice(n.node, 1, n.d - 1)
+"""
