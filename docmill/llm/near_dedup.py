@@ -17,6 +17,7 @@ large group of near copies doesn't meet pair by pair.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
@@ -105,12 +106,12 @@ def sketch(parts: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefix(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+def prefix(h: np.ndarray, counts: np.ndarray, similar: tuple[int, int] = SIMILAR) -> tuple[np.ndarray, int]:
     """The rarest shingles of a set, one of which a similar set must have, in order; and how common they are, up to 2015."""
     c = counts[_counter(h)]
     order = np.lexsort((h, c))
     n = len(h)
-    first = order[: n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1]
+    first = order[: n - -(-similar[0] * n // similar[1]) + 1]
     return h[first], int(32 * np.log2(np.maximum(c[first], 1)).mean())
 
 
@@ -120,7 +121,7 @@ def parity_map(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def nodes_of(marked: DataFrame, counts: np.ndarray, width: int = WIDTH) -> DataFrame:
+def nodes_of(marked: DataFrame, counts: np.ndarray, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """``no, node, n, keys, map``: one row for each distinct non-empty shingle set, written to the shared folder.
 
     ``no`` is unique and higher for sets of more common shingles.
@@ -139,7 +140,7 @@ def nodes_of(marked: DataFrame, counts: np.ndarray, width: int = WIDTH) -> DataF
                     seen.clear()
                 seen.add(node)
                 h = shingles(text.as_py(), width)
-                keys, score = prefix(h, shared.value)
+                keys, score = prefix(h, shared.value, similar)
                 rows.append((node, len(h), score, keys.view(np.int64), parity_map(h)))
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
@@ -151,34 +152,47 @@ def nodes_of(marked: DataFrame, counts: np.ndarray, width: int = WIDTH) -> DataF
     return materialise(folded.select((F.call_function("shiftleft", F.col("score"), F.lit(NUMBER_BITS)) + fits).alias("no"), "node", "n", "keys", "map"))
 
 
-def _enough(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
+def _enough(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column, similar: tuple[int, int]) -> Column:
     """Whether sets whose first common shingle has these places can be similar at all."""
-    s, t = SIMILAR
+    s, t = similar
     both = s * (n_a + n_b)
     sizes = t * F.least(n_a, n_b) >= s * F.greatest(n_a, n_b)
     return sizes & ((s + t) * (n_a - pos_a) >= both) & ((s + t) * (n_b - pos_b) >= both)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, marked: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Those of the ``a, b`` whose whole shingle sets reach the similarity; written to the shared folder."""
+def sets_of_marked(marked: DataFrame, width: int = WIDTH) -> Callable[[DataFrame], DataFrame]:
+    """How :func:`verified` gets the shingle sets of nodes from rows of ``node, text``."""
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        texts = possibly_in(marked.select("node", "text"), F.xxhash64("node"), wanted, F.xxhash64("key")).groupBy("node").agg(F.first("text").alias("text"))
+
+        def run(batches):
+            for batch in batches:
+                sets = pa.array([shingles(t.as_py(), width).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["no", "h"])
+
+        return texts.join(wanted, F.col("node") == F.col("key")).select("no", "text").mapInArrow(run, "no bigint, h array<bigint>")
+
+    return fetch
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Those of the ``a, b`` whose whole shingle sets reach the similarity; written to the shared folder.
+
+    ``nodes`` has ``no, node, n, map``; ``sets_of`` turns ``no, key`` (the node's digest) into ``no, h``.
+    """
     small = nodes.select("no", "n", *(F.get("map", F.lit(k)).alias(f"m{k}") for k in range(MAP_WORDS)))
     sided = pairs.distinct()
     for side in "ab":
         sided = sided.join(small.withColumnsRenamed({c: f"{c}_{side}" for c in small.columns}), F.col(side) == F.col(f"no_{side}"))
     bits = sum((F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b"))) for k in range(MAP_WORDS)), F.lit(0))
-    s, t = SIMILAR
+    s, t = similar
     # Similar sets differ by (t - s) / (t + s) of both sizes at most.
-    some = materialise(sided.filter((s + t) * bits <= (t - s) * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+    sizes = t * F.least("n_a", "n_b") >= s * F.greatest("n_a", "n_b")
+    some = materialise(sided.filter(sizes & ((s + t) * bits <= (t - s) * (F.col("n_a") + F.col("n_b")))).select("a", "b"))
     wanted = some.select(F.col("a").alias("of")).unionByName(some.select(F.col("b").alias("of"))).distinct()
     wanted = materialise(wanted.join(nodes.select("no", "node"), F.col("of") == F.col("no")).select("no", F.col("node").alias("key")))
-    texts = possibly_in(marked.select("node", "text"), F.xxhash64("node"), wanted, F.xxhash64("key")).groupBy("node").agg(F.first("text").alias("text"))
-
-    def run(batches):
-        for batch in batches:
-            sets = pa.array([shingles(t.as_py(), width).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["no", "h"])
-
-    sets = materialise(texts.join(wanted, F.col("node") == F.col("key")).select("no", "text").mapInArrow(run, "no bigint, h array<bigint>"))
+    sets = materialise(sets_of(wanted))
     release(wanted)
     both = some
     for side in "ab":
@@ -190,22 +204,23 @@ def verified(pairs: DataFrame, nodes: DataFrame, marked: DataFrame, width: int =
     return links
 
 
-def similar_links(marked: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
+def similar_links(marked: DataFrame, nodes: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """``a, b``: verified links whose components are those of all similar pairs."""
+    sets_of = sets_of_marked(marked, width)
     placed = nodes.select("no", "n", F.posexplode("keys").alias("pos", "key"))
     shared = placed.groupBy("key").agg(F.max("no").alias("hub"), F.max_by("n", "no").alias("hub_n"), F.max_by("pos", "no").alias("hub_pos"), F.count(F.lit(1)).alias("size"))
     shared = materialise(shared.filter("size > 1").select(F.col("key").alias("k"), "hub", "hub_n", "hub_pos"))
     members = possibly_in(placed, F.col("key"), shared, F.col("k")).join(shared, F.col("key") == F.col("k")).select("key", "no", "n", "pos", "hub", "hub_n", "hub_pos")
     members = materialise(members)
     release(shared)
-    stars = members.filter((F.col("no") < F.col("hub")) & _enough(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos")))
-    links = verified(stars.select(F.col("hub").alias("a"), F.col("no").alias("b")), nodes, marked, width)
+    stars = members.filter((F.col("no") < F.col("hub")) & _enough(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), similar))
+    links = verified(stars.select(F.col("hub").alias("a"), F.col("no").alias("b")), nodes, sets_of, similar)
     roots = materialise(components(links).select(F.col("node").alias("of"), "root"))
     rooted = members.join(roots, F.col("no") == F.col("of"), "left").select("key", "no", "n", "pos", "hub", F.coalesce("root", "no").alias("root"))
     rooted = materialise(rooted)
     release(members)
     release(roots)
-    s, t = SIMILAR
+    s, t = similar
     # Of a similar pair, the smaller set has its first common shingle this early.
     early = (s + t) * (F.col("n") - F.col("pos")) >= 2 * s * F.col("n")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.when(early, F.col("n"))).alias("least"))
@@ -219,8 +234,8 @@ def similar_links(marked: DataFrame, nodes: DataFrame, width: int = WIDTH) -> Da
     larger = (F.col("n") > F.col("n_1")) | ((F.col("n") == F.col("n_1")) & (F.col("no") > F.col("no_1")))
     # The hub's own pairs have been compared.
     other = (F.col("root") != F.col("root_1")) & (F.col("no") != F.col("hub")) & (F.col("no_1") != F.col("hub"))
-    met = left.join(one, (F.col("key") == F.col("key_1")) & larger & other & _enough(F.col("n"), F.col("pos"), F.col("n_1"), F.col("pos_1")))
-    rest = verified(met.select(F.greatest("no", "no_1").alias("a"), F.least("no", "no_1").alias("b")), nodes, marked, width)
+    met = left.join(one, (F.col("key") == F.col("key_1")) & larger & other & _enough(F.col("n"), F.col("pos"), F.col("n_1"), F.col("pos_1"), similar))
+    rest = verified(met.select(F.greatest("no", "no_1").alias("a"), F.least("no", "no_1").alias("b")), nodes, sets_of, similar)
     release(left)
     return links.unionByName(rest)
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import toxicity
+from docmill.llm import minhash, toxicity
 from docmill.llm.bpe import decode_documents, encode_documents
 from docmill.llm.chat import format_turns, read_back
 from docmill.llm.exact_dedup import exact_dedup
@@ -125,6 +125,31 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), most=32)
 
 
+@query
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=5, similar=(85, 100))
+
+
+ORACLES["op12_minhash"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS shingles
+  FROM d
+), e AS (SELECT doc_id, len(shingles) AS n, hash(x) AS x FROM (SELECT doc_id, shingles, unnest(shingles) AS x FROM s)
+), met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (SELECT a, b FROM met UNION SELECT reach.a, met.b FROM reach JOIN met ON met.a = reach.b
+), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, coalesce(least(s.doc_id, least.b), s.doc_id) AS component_id,
+       s.doc_id <= coalesce(least.b, s.doc_id) AS kept
+FROM s LEFT JOIN least ON least.a = s.doc_id
+"""
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = materialise(ordered_turns(table(spark, sf_dir, "conversations")))
