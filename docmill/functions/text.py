@@ -6,6 +6,7 @@ A null input gives a null result unless said otherwise.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # White space as Python's str.strip sees it, named entities, zero-width characters.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 ENTITIES = {
     "&nbsp;": " ", "&ensp;": " ", "&emsp;": "　", "&lt;": "<", "&gt;": ">", "&amp;": "&", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&mdash;": "—", "&ndash;": "–",
     "&hellip;": "…", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&times;": "×", "&divide;": "÷", "&middot;": "·", "&bull;": "•", "&laquo;": "«", "&raquo;": "»",
@@ -23,7 +24,7 @@ ZERO_WIDTH = "​‌‍﻿⁠"
 
 def strip(x: Column) -> Column:
     """Without white space at either end, in the Unicode sense."""
-    return F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def bound(value: Column, f) -> Column:
@@ -31,6 +32,54 @@ def bound(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+#: Elements of a block of :func:`scan`.
+BLOCK = 256
+
+
+def scan(xs: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """The states (of SQL type ``kind``) after each element of an array, from ``start`` by ``step(state, element)``.
+
+    States gather in blocks, as an array that grows by one element at a time would be copied for each of them.
+    """
+    none, nones = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def one(acc: Column, x: Column) -> Column:
+        return bound(step(acc["now"], x), lambda n: F.struct(n.alias("now"), F.concat(acc["all"], F.array(n)).alias("all")))
+
+    def block(values: Column):
+        def run(acc: Column, k: Column) -> Column:
+            part = F.aggregate(F.slice(values, (k * BLOCK + 1).cast("int"), F.lit(BLOCK)), F.struct(acc["now"].alias("now"), none.alias("all")), one)
+            return bound(part, lambda p: F.struct(p["now"].alias("now"), F.concat(acc["all"], F.array(p["all"])).alias("all")))
+
+        return run
+
+    def scanned(values: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / BLOCK).cast("int"), F.lit(0)))
+        return F.aggregate(blocks, F.struct(start.cast(kind).alias("now"), nones.alias("all")), block(values), lambda acc: F.flatten(acc["all"]))
+
+    return bound(xs, scanned)
+
+
+def owned(flags: Column) -> Column:
+    """From an array of booleans (``this line belongs to the one above``): ``at`` and ``until`` of every line that doesn't, with all that follow it."""
+
+    def cut(on: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(on) - 1), lambda i: ~F.get(on, i) | (i == 0))
+        return bound(heads, lambda hs: F.transform(hs, lambda h, k: F.struct(h.alias("at"), F.coalesce(F.get(hs, k + 1), F.size(on)).alias("until"))))
+
+    return bound(flags, cut)
+
+
+def wide(x: Column) -> Column:
+    """A text in UTF-32, of which :func:`piece` takes slices in time of their own size, wherever they lie."""
+    return F.encode(x, "UTF-32")
+
+
+def piece(w: Column, start: Column, size: Column) -> Column:
+    """``size`` characters from ``start`` (0-based) of a :func:`wide` text; a mark in front keeps one of the text's own from being taken for it."""
+    return F.decode(F.concat(F.lit(b"\x00\x00\xfe\xff"), F.substring(w, 4 * start + 1, 4 * size)), "UTF-32")
+
+
 def _code_point(number: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
 
@@ -262,18 +311,27 @@ MARKS = (
 
 
 def strip_inline_marks(x: Column) -> Column:
-    """Without emphasis marks; code spans lose their backquotes only."""
-    pieces = F.split(x, r"(?=`[^`]+`)|(?<=`)(?![^`]*`(?:[^`]*`[^`]*`)*[^`]*\z)", -1)
+    """Without emphasis marks; code spans lose their backquotes only.
+
+    Between backquotes, from the left, every other piece of a run of non-empty ones is code; what is closed by no backquote isn't.
+    """
 
     def plain(p: Column) -> Column:
         for mark, _ in MARKS:
             p = F.regexp_replace(p, "(?U)" + mark, "$1")
         return p
 
-    code = r"(?s)\A`([^`]+)`(.*)\z"
-    return F.array_join(
-        F.transform(pieces, lambda p: F.when(p.rlike(code), F.concat(F.regexp_extract(p, code, 1), plain(F.regexp_extract(p, code, 2)))).otherwise(plain(p))), ""
-    )
+    def shown(parts: Column) -> Column:
+        filled = F.transform(parts, lambda p, k: (p != "") & (k > 0) & (k < F.size(parts) - 1))
+
+        def joined(code: Column) -> Column:
+            goes_on = F.transform(code, lambda c, k: (k > 0) & ~c & ~F.coalesce(F.get(code, k - 1), F.lit(False)))
+            texts = F.transform(owned(goes_on), lambda r: F.when(F.get(code, r["at"]), F.get(parts, r["at"])).otherwise(plain(F.array_join(F.slice(parts, r["at"] + 1, r["until"] - r["at"]), "`"))))
+            return F.array_join(texts, "")
+
+        return bound(scan(filled, F.lit(False), lambda before, own: own & ~before, "boolean"), joined)
+
+    return F.when(F.contains(x, F.lit("`")), bound(F.split(x, "`", -1), shown)).otherwise(plain(x))
 
 
 def format_link(name: Column, style: str, image: bool) -> Column:

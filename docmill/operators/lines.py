@@ -1,15 +1,11 @@
-"""Documents as lines, with what is fenced code, and running values over arrays; no shuffle, time linear in a document's lines."""
+"""Documents as lines, with what is fenced code; no shuffle, time linear in a document's lines."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.functions.text import bound
-
-BLOCK = 256
+from docmill.functions.text import bound, owned, scan  # noqa: F401
 
 
 def text_lines(text: Column) -> Column:
@@ -35,37 +31,3 @@ def doc_lines(docs: DataFrame, text_col: str = "text", fence: str = "```") -> Da
     others = [c for c in docs.columns if c != text_col]
     rows = docs.select(*others, F.posexplode(fenced_lines(docs[text_col], fence)).alias("line_no", "_x"))
     return rows.select(*others, "line_no", F.col("_x.line").alias("line"), F.col("_x.code").alias("in_code"))
-
-
-def scan(xs: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
-    """The states (of SQL type ``kind``) after each element of an array, from ``start`` by ``step(state, element)``.
-
-    States gather in blocks, as an array that grows by one element at a time would be copied for each of them.
-    """
-    none, nones = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
-
-    def one(acc: Column, x: Column) -> Column:
-        return bound(step(acc["now"], x), lambda n: F.struct(n.alias("now"), F.concat(acc["all"], F.array(n)).alias("all")))
-
-    def block(values: Column):
-        def run(acc: Column, k: Column) -> Column:
-            part = F.aggregate(F.slice(values, (k * BLOCK + 1).cast("int"), F.lit(BLOCK)), F.struct(acc["now"].alias("now"), none.alias("all")), one)
-            return bound(part, lambda p: F.struct(p["now"].alias("now"), F.concat(acc["all"], F.array(p["all"])).alias("all")))
-
-        return run
-
-    def scanned(values: Column) -> Column:
-        blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / BLOCK).cast("int"), F.lit(0)))
-        return F.aggregate(blocks, F.struct(start.cast(kind).alias("now"), nones.alias("all")), block(values), lambda acc: F.flatten(acc["all"]))
-
-    return bound(xs, scanned)
-
-
-def owned(flags: Column) -> Column:
-    """From an array of booleans (``this line belongs to the one above``): ``at`` and ``until`` of every line that doesn't, with all that follow it."""
-
-    def cut(on: Column) -> Column:
-        heads = F.filter(F.sequence(F.lit(0), F.size(on) - 1), lambda i: ~F.get(on, i) | (i == 0))
-        return bound(heads, lambda hs: F.transform(hs, lambda h, k: F.struct(h.alias("at"), F.coalesce(F.get(hs, k + 1), F.size(on)).alias("until"))))
-
-    return bound(flags, cut)

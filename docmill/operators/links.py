@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from docmill.functions.text import bound, strip
 from docmill.operators.lines import scan, text_lines
-from docmill.operators.markdown import extract_block, extract_section
+from docmill.operators.markdown import extract_block, extract_section, is_table_rule
 from docmill.storage import materialise
 
-WIKI_EMBED = r"!\[\[([^|\]\\]+)(?:\\?\|([^\]]*))?\]\]"
-MD_EMBED = r"!\[([^\]]*)\]\(([^)\s]+)(?:\s*=\s*(\d*)x(\d*))?\s*\)"
-WIKI_LINK = r"(?<!!)\[\[([^|\]\\]+)(?:\\?\|([^\]]*))?\]\]"
-MD_LINK = r"(?<!!)\[([^\]]+)\]\(([^)]+)\)"
+def _some(but: str, opener: str, least: int = 1) -> str:
+    """A run of characters other than ``but``, with at most eight of the ``opener``: unclosed links are given up soon, so that many of them cost linear time."""
+    return (rf"(?=[^{but}])" if least else "") + rf"[^{but}{opener}]*(?:{opener}[^{but}{opener}]*){{0,8}}"
+
+
+# What links and embeds look like.
+_TARGET, _SHOWN, _LABEL = _some(r"|\]\\", r"\["), _some(r"\]", r"\[", 0), _some(r"\]", r"\[")
+WIKI_EMBED = rf"!\[\[({_TARGET})(?:\\?\|({_SHOWN}))?\]\]"
+MD_EMBED = rf"!\[({_SHOWN})\]\(({_some(r')\s', r'\(')})(?:\s*=\s*(\d*)x(\d*))?\s*\)"
+WIKI_LINK = rf"(?<!!)\[\[({_TARGET})(?:\\?\|({_SHOWN}))?\]\]"
+MD_LINK = rf"(?<!!)\[({_LABEL})\]\(({_some(r')', r'\(')})\)"
 ANY = "|".join((WIKI_EMBED, MD_EMBED, WIKI_LINK, MD_LINK))
 
 
@@ -109,9 +116,9 @@ def rewrite_links(text: Column, wiki: str = "extract_text", markdown: str = "ext
 MESSAGES = {"cycle": "[cycle: {}]", "depth": "[too deep: {}]", "missing": "[not found: {}]", "section": "[no such section: {}]"}
 
 
-# Embeds that don't go over a line's end.
-EMBED = r"!\[\[([^|\]\\\n]+)(?:\\?\|([^\]\n]*))?\]\]|!\[([^\]\n]*)\]\(([^)\s]+)(?:[ \t]*=[ \t]*\d*x\d*)?[ \t]*\)"
-TABLE_ROW, TABLE_RULE = r"^[> \t]*\|.*\|\s*$", r"^[> \t]*\|(?:[\s:]*-[\s\-:]*\|)+\s*$"
+# Embeds that don't go over a line's end.
+EMBED = rf"!\[\[({_some(r'|\]\\\n', r'\[')})(?:\\?\|({_some(r'\]\n', r'\[', 0)}))?\]\]|!\[({_some(r'\]\n', r'\[', 0)})\]\(({_some(r')\s', r'\(')})(?:[ \t]*=[ \t]*\d*x\d*)?[ \t]*\)"
+TABLE_ROW = r"^[> \t]*\|.*\|\s*$"
 
 
 def _in_cell(x: Column) -> Column:
@@ -147,7 +154,7 @@ def expand_embeds(
     known = known if assets is None else known.unionByName(assets.select("path"))
     level = docs.select(F.col(path_col).alias("node"), F.array(path_col).alias("up"), F.col(text_col).alias("text"))
     levels, places = [], []
-    in_line = lambda x: F.transform(F.regexp_extract_all(x, F.lit(EMBED), F.lit(0)), lambda r: F.struct(r.alias("raw"), (x.rlike(TABLE_ROW) & ~x.rlike(TABLE_RULE)).alias("in_table")))
+    in_line = lambda x: F.transform(F.regexp_extract_all(x, F.lit(EMBED), F.lit(0)), lambda r: F.struct(r.alias("raw"), (x.rlike(TABLE_ROW) & ~is_table_rule(x)).alias("in_table")))
     for depth in range(max_depth + 1):
         level = materialise(level)
         levels.append(level)

@@ -59,7 +59,9 @@ def resolve_title(record: Column, stem: Column, title_keys: tuple[str, ...] = ("
     return F.coalesce(*(first(k) for k in title_keys), first("aliases"), F.when(strip(stem) != "", stem), F.lit(default))
 
 
-_RULE = r"^[> \t]*\|(?:[\s:]*-[\s\-:]*\|)+\s*$"
+def is_table_rule(line: Column) -> Column:
+    """Whether a line is pipes with dashes, colons and blanks between them, each cell with a dash; two plain patterns that don't nest."""
+    return line.rlike(r"^[> \t]*\|[\s:\-|]*\|\s*$") & ~line.rlike(r"\|[\s:]*\|")
 
 
 def _cells(line: Column) -> Column:
@@ -79,7 +81,7 @@ def extract_tables(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def tables(ls: Column) -> Column:
         goes_on = F.transform(ls, lambda x, i: (i > 0) & x["line"].rlike(r"^[> \t]*\|.*\|") & F.get(ls, i - 1)["line"].rlike(r"\|.*\|$"))
-        runs = F.filter(owned(goes_on), lambda r: (r["until"] - r["at"] >= 3) & ~F.get(ls, r["at"])["code"] & F.get(ls, r["at"] + 1)["line"].rlike(_RULE))
+        runs = F.filter(owned(goes_on), lambda r: (r["until"] - r["at"] >= 3) & ~F.get(ls, r["at"])["code"] & is_table_rule(F.get(ls, r["at"] + 1)["line"]))
         return F.transform(runs, lambda r: F.struct(r["at"].alias("at"), F.transform(F.slice(ls, r["at"] + 1, r["until"] - r["at"]), lambda x: x["line"]).alias("ls")))
 
     good = bound(fenced_lines(F.col(text_col), " {0,3}(?:```|~~~)"), tables)
@@ -163,7 +165,7 @@ def extract_notes(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def note_references(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``ref_no, kind, note_id`` of every reference ``[^id]`` that is no definition, in order."""
     others = [c for c in docs.columns if c != text_col]
-    found = F.regexp_extract_all(F.col(text_col), F.lit(r"(?m)\[\^([^\]]+)\](?!:)"), F.lit(1))
+    found = F.regexp_extract_all(F.col(text_col), F.lit(r"\[\^((?=[^\]])[^\]\[]*(?:\[[^\]\[]*){0,8})\](?!:)"), F.lit(1))
     rows = docs.select(*others, F.posexplode(found).alias("ref_no", "_id"))
     is_end = F.col("_id").startswith("endnote-")
     return rows.select(*others, "ref_no", F.when(is_end, "endnote").otherwise("footnote").alias("kind"), F.when(is_end, F.substring("_id", 9, 1 << 30)).otherwise(F.col("_id")).alias("note_id"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.functions.text import bound
-from docmill.operators.lines import doc_lines, scan
+from docmill.functions.text import bound, owned, piece, scan, wide
+from docmill.operators.lines import doc_lines
 
 # The default symbol pairs and the full-width digits with their corrections.
 PAIRS = [("(", ")"), ("（", "）"), ("[", "]"), ("【", "】"), ("{", "}"), ("「", "」"), ("'", "'"), ('"', '"'), ("‘", "’"), ("“", "”"), ("《", "》")]
@@ -81,7 +81,7 @@ def find_unpaired_symbols(paras: DataFrame, pairs: list[tuple[str, str]] = PAIRS
     opens = lambda s: s["x"] == F.col("_t.o")
 
     def alone(xs: Column, other) -> Column:
-        """Places of signs that meet no open sign of the other kind, which is not theirs to open."""
+        """Signs that meet no open sign of the other kind, which is not theirs to open."""
         start = F.struct(F.lit(0).alias("open"), F.lit(-1).alias("alone"))
 
         def step(a: Column, s: Column) -> Column:
@@ -89,15 +89,16 @@ def find_unpaired_symbols(paras: DataFrame, pairs: list[tuple[str, str]] = PAIRS
                 F.when(other(s), a["open"] + 1).otherwise(F.greatest(a["open"] - 1, F.lit(0))).alias("open"), F.when(~other(s) & (a["open"] == 0), s["i"]).otherwise(F.lit(-1)).alias("alone")
             )
 
-        return F.filter(F.transform(scan(xs, start, step, "struct<open:int,alone:int>"), lambda a: a["alone"]), lambda i: i >= 0)
+        marked = F.zip_with(xs, scan(xs, start, step, "struct<open:int,alone:int>"), lambda s, a: F.when(a["alone"] >= 0, s))
+        return F.filter(marked, lambda s: s.isNotNull())
 
     left = bound(signs, lambda xs: F.concat(alone(xs, opens), alone(F.reverse(xs), lambda s: ~opens(s))))
-    found = some.select(*others, para, F.explode(left).alias("start_pos"))
+    found = some.select(*others, F.explode(left).alias("_s"))
     return found.select(
         *others,
-        "start_pos",
-        (F.col("start_pos") + 1).alias("end_pos"),
-        F.substring(F.col(para), F.col("start_pos") + 1, F.lit(1)).alias("error_text"),
+        F.col("_s.i").alias("start_pos"),
+        (F.col("_s.i") + 1).alias("end_pos"),
+        F.col("_s.x").alias("error_text"),
         F.lit("").alias("suggestion"),
         F.lit("unmatched").alias("error_type"),
         F.lit("pairing").alias("source"),
@@ -114,24 +115,31 @@ def find_sensitive(paras: DataFrame, words: dict[str, list[str]], para: str = "p
         *(F.struct(F.lit(w).alias("w"), F.array(*map(F.lit, ex)).cast("array<string>").alias("ex"), F.lit(max(map(len, ex), default=0)).alias("reach")) for w, ex in kept)
     )
     there = F.filter(entries, lambda e: F.contains(F.lower(F.col(para)), F.lower(e["w"])))
-    found = paras.select(*others, para, F.explode(there).alias("_e"))
+    # A context is a slice of the text in UTF-32, and all is worked out before hits become rows, so that none carries the text.
+    found = paras.select(*others, para, wide(F.col(para)).alias("_wide"), F.explode(there).alias("_e"))
     size = F.char_length("_e.w")
-    parts = F.split(F.col(para), F.concat(F.lit(r"(?iu)\Q"), F.col("_e.w"), F.lit(r"\E")), -1)
-    found = found.select(*others, para, "_e", F.explode(bound(parts, lambda p: starts_of(p, size))).alias("start_pos"))
-    found = found.withColumn("_from", F.greatest(F.lit(0), F.col("start_pos") - F.col("_e.reach")))
-    context = F.substring(F.col(para), F.col("_from") + 1, F.col("start_pos") + size + F.col("_e.reach") - F.col("_from"))
-    found = found.withColumn("_context", context)
-
-    def spares(x: Column) -> Column:
-        at = F.locate(x, F.col("_context")) if isinstance(x, str) else F.call_function("locate", x, F.col("_context"))
-        first = F.col("_from") + at - 1
-        return (at > 0) & (first <= F.col("start_pos")) & (F.col("start_pos") + size <= first + F.char_length(x))
-
-    return found.filter(~F.exists("_e.ex", spares)).select(
+
+    def hits(start: Column, text: Column) -> Column:
+        begin = F.greatest(F.lit(0), start - F.col("_e.reach"))
+        context = piece(F.col("_wide"), begin, start + size + F.col("_e.reach") - begin)
+
+        def spares(x: Column, c: Column) -> Column:
+            at = F.call_function("locate", x, c)
+            first = begin + at - 1
+            return (at > 0) & (first <= start) & (start + size <= first + F.char_length(x))
+
+        spared = F.when(F.col("_e.reach") == 0, F.lit(False)).otherwise(bound(context, lambda c: F.exists("_e.ex", lambda x: spares(x, c))))
+        return F.struct(start.alias("start_pos"), text.alias("error_text"), spared.alias("spared"))
+
+    quoted = F.concat(F.lit(r"(?iu)\Q"), F.col("_e.w"), F.lit(r"\E"))
+    starts = bound(F.split(F.col(para), quoted, -1), lambda p: starts_of(p, size))
+    all_hits = F.zip_with(starts, F.regexp_extract_all(F.col(para), quoted, F.lit(0)), hits)
+    found = found.select(*others, size.alias("_size"), F.explode(F.filter(all_hits, lambda h: ~h["spared"])).alias("_h"))
+    return found.select(
         *others,
-        "start_pos",
-        (F.col("start_pos") + size).alias("end_pos"),
-        F.substring(F.col(para), F.col("start_pos") + 1, size).alias("error_text"),
+        F.col("_h.start_pos").alias("start_pos"),
+        (F.col("_h.start_pos") + F.col("_size")).alias("end_pos"),
+        F.col("_h.error_text").alias("error_text"),
         F.lit("").alias("suggestion"),
         F.lit("sensitive").alias("error_type"),
         F.lit("sensitive").alias("source"),
@@ -170,20 +178,47 @@ def check_dictionary(words: DataFrame) -> DataFrame:
 
 
 def segment_hits(paras: DataFrame, hits: DataFrame, keys: list[str], para: str = "para") -> DataFrame:
-    """Each paragraph cut at every start and end of a hit: ``seg_no, start_pos, end_pos, segment`` and the first hit's ``source`` that covers it, else null."""
+    """Each paragraph cut at every start and end of a hit: ``seg_no, start_pos, end_pos, segment`` and the first hit's ``source`` that covers it, else null.
+
+    A sweep: edges in order, and the ranks of the hits that are open there.
+    Hits of one place and rule count by their text and source.
+    """
     order = F.struct("rule_order", "start_pos", "end_pos", "error_text", "source")
-    grouped = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(order)).alias("_hits"))
+    grouped = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("_hits"))
     rows = paras.join(grouped, keys, "left").withColumn("_hits", F.coalesce("_hits", F.array().cast(grouped.schema["_hits"].dataType)))
-    edges = F.concat(F.array(F.lit(0), F.char_length(para)), F.transform("_hits", lambda h: h["start_pos"]), F.transform("_hits", lambda h: h["end_pos"]))
-    rows = rows.withColumn("_edges", F.array_sort(F.array_distinct(edges)))
-    cuts = F.transform(F.slice("_edges", F.lit(1), F.size("_edges") - 1), lambda a, i: F.struct(a.alias("a"), F.get(F.col("_edges"), i + 1).alias("b")))
-    cut = rows.select(*keys, para, "_hits", F.posexplode(cuts).alias("seg_no", "_c"))
-    cover = F.get(F.filter("_hits", lambda h: (h["start_pos"] <= F.col("_c.a")) & (F.col("_c.b") <= h["end_pos"])), F.lit(0))
-    return cut.select(
-        *keys,
-        "seg_no",
-        F.col("_c.a").alias("start_pos"),
-        F.col("_c.b").alias("end_pos"),
-        F.substring(F.col(para), F.col("_c.a") + 1, F.col("_c.b") - F.col("_c.a")).alias("segment"),
-        cover["source"].alias("source"),
-    )
+    edge = "struct<p:int,opens:boolean,rank:int>"
+    none = F.array().cast(f"array<{edge}>")
+
+    def edges(hs: Column) -> Column:
+        """Where hits begin and end, and the text itself, which is no hit, around them."""
+        at = lambda p, opens, rank: F.struct(p.cast("int").alias("p"), F.lit(opens).alias("opens"), rank.cast("int").alias("rank"))
+        # A hit without extent covers nothing.
+        ends = F.flatten(F.transform(hs, lambda h, k: F.when(h["start_pos"] < h["end_pos"], F.array(at(h["start_pos"], True, k), at(h["end_pos"], False, k))).otherwise(F.array(at(h["start_pos"], True, F.lit(None))))))
+        return F.array_sort(F.concat(none, F.array(at(F.lit(0), True, F.lit(None)), at(F.char_length(para), True, F.lit(None))), ends))
+
+    def places(es: Column) -> Column:
+        """One entry for each place: its edges."""
+        return F.transform(owned(F.transform(es, lambda e, k: (k > 0) & (e["p"] == F.get(es, k - 1)["p"]))), lambda r: F.slice(es, r["at"] + 1, r["until"] - r["at"]))
+
+    def swept(ps: Column) -> Column:
+        """After each place, the ranks of the open hits."""
+
+        def step(now: Column, place: Column) -> Column:
+            own = F.filter(place, lambda e: e["rank"].isNotNull())
+            closed = F.transform(F.filter(own, lambda e: ~e["opens"]), lambda e: e["rank"])
+            opened = F.transform(F.filter(own, lambda e: e["opens"]), lambda e: e["rank"])
+            return F.array_except(F.concat(now, opened), closed)
+
+        return scan(ps, F.array().cast("array<int>"), step, "array<int>")
+
+    placed = rows.withColumn("_p", bound(bound(F.col("_hits"), edges), places)).withColumn("_open", F.transform(swept(F.col("_p")), F.array_min))
+    def cuts(w: Column) -> Column:
+        def cut(place: Column, i: Column) -> Column:
+            a, b = F.get(place, F.lit(0))["p"], F.get(F.get(F.col("_p"), i + 1), F.lit(0))["p"]
+            segment = piece(w, a, b - a)
+            return F.struct(a.alias("a"), b.alias("b"), segment.alias("t"), F.get(F.col("_hits"), F.get(F.col("_open"), i))["source"].alias("source"))
+
+        return F.transform(F.slice("_p", F.lit(1), F.size("_p") - 1), cut)
+
+    cut = placed.select(*keys, F.posexplode(bound(wide(F.col(para)), cuts)).alias("seg_no", "_c"))
+    return cut.select(*keys, "seg_no", F.col("_c.a").alias("start_pos"), F.col("_c.b").alias("end_pos"), F.col("_c.t").alias("segment"), F.col("_c.source").alias("source"))
