@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import NUMBER, bound, is_fraction, is_numeric_string, strip, to_number
-from docmill.storage import materialise
+from docmill.storage import materialise, release
 
 
 def fill_merged(cells: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
@@ -164,42 +164,72 @@ def most_similar_line(base: DataFrame, collect: DataFrame, keys: list[str]) -> D
     return out.select(*keys, "line", F.coalesce("_b.base_line", F.lit(1).cast("bigint")).alias("base_line"), F.coalesce("_b.similarity", F.lit(0.0)).alias("similarity"))
 
 
-def find_blocks(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, min_row, min_col, max_row, max_col``: boxes of 4-neighbour components of non-blank cells, by union-find over the runs of a sheet's rows."""
+def row_runs(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, row, a, b``: runs of neighbouring non-blank cells of a row, from column ``a`` to ``b``.
+
+    A run's cells have the same difference of column and rank in the row; a row's columns rank within bands of columns,
+    so that a wide row isn't one task's work, and runs that meet at a band's edge are neighbours like those of two rows.
+    """
     some = cells.filter(strip(F.col("value")) != "").select(*keys, F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"))
-    schema = ", ".join([*(f"`{k}` {some.schema[k].dataType.simpleString()}" for k in keys), "min_row bigint, min_col bigint, max_row bigint, max_col bigint"])
-
-    def boxes(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        at = np.column_stack((rows, cols))[np.lexsort((cols, rows))]
-        at = at[np.concatenate(([True], (np.diff(at, axis=0) != 0).any(axis=1)))]
-        new = np.concatenate(([True], (np.diff(at[:, 0]) != 0) | (np.diff(at[:, 1]) != 1)))
-        head = np.flatnonzero(new)
-        tail = np.concatenate((head[1:], [len(at)])) - 1
-        row, a, b = at[head, 0], at[head, 1], at[tail, 1]
-        parent = list(range(len(row)))
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        starts = {r: i for i, r in reversed(list(enumerate(row.tolist())))}
-        for i in range(len(row)):
-            j = starts.get(row[i] - 1)
-            while j is not None and j < len(row) and row[j] == row[i] - 1:
-                if a[j] <= b[i] and a[i] <= b[j]:
-                    parent[find(i)] = find(j)
-                j += 1
-        roots, first, group = np.unique([find(i) for i in range(len(row))], return_index=True, return_inverse=True)
-        box = {}
-        for name, least, values in (("min_row", np.minimum, row), ("min_col", np.minimum, a), ("max_row", np.maximum, row), ("max_col", np.maximum, b)):
-            box[name] = values[first]
-            least.at(box[name], group, values)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(roots) for k in keys}, **box})
-
-    return some.groupBy(*keys).applyInPandas(boxes, schema)
+    banded = some.distinct().withColumn("band", F.floor(F.col("col") / BAND))
+    rank = F.row_number().over(Window.partitionBy(*keys, "row", "band").orderBy("col"))
+    return banded.withColumn("_g", F.col("col") - rank).groupBy(*keys, "row", "band", "_g").agg(F.min("col").alias("a"), F.max("col").alias("b"))
+
+
+def least_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, root``: the least node of each component of ``edges`` (``a, b``) over ``nodes`` (``node``), by large-star and small-star steps.
+
+    Each step is written to the shared folder. A node's least neighbour is an aggregate that is joined back, so that a
+    node of many edges needn't have them in one task.
+    """
+
+    def oriented(df: DataFrame) -> DataFrame:
+        return df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+
+    def state(df: DataFrame):
+        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    now = materialise(oriented(edges))
+    seen = state(now)
+    while seen[0]:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("m", "a").alias("m"))
+        large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialise(oriented(large.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))))
+        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        small = large.join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = materialise(oriented(small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))))
+        release(large)
+        release(now)
+        now, before = after, seen
+        seen = state(now)
+        if seen == before:
+            break
+    return nodes.join(now, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("root"))
+
+
+#: Columns of a band of a row.
+BAND = 1 << 10
+
+
+def find_blocks(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, min_row, min_col, max_row, max_col``: boxes of 4-neighbour components of non-blank cells.
+
+    A row's runs of cells are the nodes; two runs of rows below each other are linked where their columns overlap, which a
+    band of columns in the key finds, and runs that meet at a band's edge are linked too. Components come from joins, so a
+    sheet of any size is many tasks' work. Null keys name a sheet of their own.
+    """
+    runs = materialise(row_runs(cells, keys).withColumn("node", F.monotonically_increasing_id()))
+    sheet = [F.xxhash64(F.struct(*keys)).alias("sheet"), F.struct(*keys).alias("key")]
+    upper = runs.select(*sheet, "row", "band", F.col("node").alias("a_node"), F.col("a").alias("a0"), F.col("b").alias("a1"))
+    lower = upper.withColumnsRenamed({"a_node": "b_node", "a0": "b0", "a1": "b1", "key": "key_b", "sheet": "sheet_b", "row": "row_b", "band": "band_b"})
+    same = (F.col("sheet") == F.col("sheet_b")) & F.col("key").eqNullSafe(F.col("key_b"))
+    below = upper.join(lower, same & (F.col("row") + 1 == F.col("row_b")) & (F.col("band") == F.col("band_b")) & (F.col("a0") <= F.col("b1")) & (F.col("b0") <= F.col("a1")))
+    beside = upper.join(lower, same & (F.col("row") == F.col("row_b")) & (F.col("band") + 1 == F.col("band_b")) & (F.col("a1") + 1 == F.col("b0")))
+    edges = below.unionByName(beside).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    roots = materialise(least_labels(runs.select("node"), edges).select(F.col("node").alias("of"), "root"))
+    boxed = runs.join(roots, F.col("node") == F.col("of")).groupBy(*keys, "root").agg(F.min("row").alias("min_row"), F.min("a").alias("min_col"), F.max("row").alias("max_row"), F.max("b").alias("max_col"))
+    return boxed.select(*keys, "min_row", "min_col", "max_row", "max_col")
 
 
 def blocks_to_markdown(cells: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
