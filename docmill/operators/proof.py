@@ -1,8 +1,8 @@
-"""Proofreading a corpus with dictionaries; every operator but the summary is map-only."""
+"""Proofreading a corpus with dictionaries; every operator is map-only but the summary and those over large dictionaries, which are joined."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions.text import bound, owned, piece, scan, wide
@@ -27,10 +27,57 @@ def split_paragraphs(docs: DataFrame, text_col: str = "text", skip_code: bool =
     return rows.drop("in_code")
 
 
+#: First signs of a dictionary's words by which a text's words are looked up.
+GRAM = 6
+#: Words of a dictionary that is given to every task; larger ones are joined by their grams.
+BROADCAST_WORDS = 200_000
+
+ENTRY = "struct<wrong:string,correct:string>"
+WORD = "struct<w:string,ex:array<string>,reach:int>"
+
+
 def _entries(dictionary: dict[str, list[str]]) -> Column:
     pairs = [(wrong, right) for right, wrongs in dictionary.items() for wrong in wrongs if wrong]
-    empty = F.array().cast("array<struct<wrong:string,correct:string>>")
-    return F.array(*(F.struct(F.lit(w).alias("wrong"), F.lit(c).alias("correct")) for w, c in pairs)) if pairs else empty
+    return F.array(*(F.struct(F.lit(w).alias("wrong"), F.lit(c).alias("correct")) for w, c in pairs)) if pairs else F.array().cast(f"array<{ENTRY}>")
+
+
+def dictionary_frame(spark: SparkSession, dictionary: dict[str, list[str]]) -> DataFrame:
+    """``wrong, correct`` of a dictionary ``correct -> [wrong, ...]``, for :func:`find_typos` and :func:`find_wrong_symbols` over large ones."""
+    return spark.createDataFrame([(w, c) for c, ws in dictionary.items() for w in ws], "wrong string, correct string")
+
+
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """The distinct runs of so many signs of a text."""
+
+    def of_signs(cs: Column) -> Column:
+        def of_size(n: int) -> Column:
+            return F.transform(cs, lambda c, i: F.concat(c, *(F.get(cs, i + k) for k in range(1, n))))
+
+        runs = [of_size(n) for n in sizes]
+        return F.array_distinct(F.filter(F.concat(*runs), lambda g: g.isNotNull() & (g != "")))
+
+    return bound(F.split(text, "", -1), of_signs)
+
+
+def _looked_up(paras: DataFrame, entries: DataFrame, word: Column, fold, keys: list[str], para: str) -> DataFrame:
+    """``paras`` whose text holds the gram of an entry, with these in ``_there`` (array of the ``_e`` of ``entries``).
+
+    The words' first signs are an index that the texts' runs of signs are joined with, so that time hardly grows with the
+    dictionary. Only ``keys`` and grams travel; ``keys`` name paragraphs, and repeated ones share what is found and then verified.
+    """
+    index = entries.filter(word != "").select(F.substring(fold(word), 1, GRAM).alias("_gram"), "_e").withColumn("_size", F.char_length("_gram"))
+    sizes, words = [r["_size"] for r in index.select("_size").distinct().collect()], index.count()
+    if not sizes:
+        return paras.filter(F.lit(False)).withColumn("_there", F.array().cast(f"array<{entries.schema['_e'].dataType.simpleString()}>"))
+    if words <= BROADCAST_WORDS:
+        index = F.broadcast(index)
+    spread = paras.select(*keys, F.explode(_grams(fold(F.col(para)), sorted(sizes))).alias("_gram"))
+    met = spread.join(index, "_gram").groupBy(*keys).agg(F.array_sort(F.collect_set("_e")).alias("_there"))
+    named = met.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_there")
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & paras[k].eqNullSafe(F.col(f"_k{i}"))
+    return paras.join(named, on).select(*paras.columns, "_there")
 
 
 def starts_of(parts: Column, size: Column) -> Column:
@@ -39,9 +86,14 @@ def starts_of(parts: Column, size: Column) -> Column:
     return F.transform(ends, lambda e: e - size)
 
 
-def _find(paras: DataFrame, dictionary: dict[str, list[str]], para: str, error_type: str, source: str) -> DataFrame:
+def _find(paras: DataFrame, dictionary: dict[str, list[str]] | DataFrame, para: str, error_type: str, source: str, keys: list[str] | None = None) -> DataFrame:
     others = [c for c in paras.columns if c != para]
-    there = F.filter(_entries(dictionary), lambda e: F.contains(F.col(para), e["wrong"]))
+    if isinstance(dictionary, DataFrame):
+        entries = dictionary.filter("wrong IS NOT NULL").select(F.struct("wrong", "correct").alias("_e"))
+        paras, known = _looked_up(paras, entries, F.col("_e.wrong"), lambda x: x, keys or others, para), F.col("_there")
+    else:
+        known = _entries(dictionary)
+    there = F.filter(known, lambda e: F.contains(F.col(para), e["wrong"]))
     found = paras.select(*others, para, F.explode(there).alias("_e"))
     parts = F.split(F.col(para), F.concat(F.lit(r"\Q"), F.col("_e.wrong"), F.lit(r"\E")), -1)
     found = found.select(*others, "_e", F.explode(bound(parts, lambda p: starts_of(p, F.char_length(F.col("_e.wrong"))))).alias("start_pos"))
@@ -56,13 +108,18 @@ def _find(paras: DataFrame, dictionary: dict[str, list[str]], para: str, error_t
     )
 
 
-def find_typos(paras: DataFrame, typos: dict[str, list[str]], para: str = "para") -> DataFrame:
-    """Every non-overlapping occurrence of each wrong form (``correct -> [wrong, ...]``)."""
-    return _find(paras, typos, para, "typo", "typo")
+def find_typos(paras: DataFrame, typos: dict[str, list[str]] | DataFrame, para: str = "para", keys: list[str] | None = None) -> DataFrame:
+    """Every non-overlapping occurrence of each wrong form (``correct -> [wrong, ...]``).
+
+    A dictionary of up to some hundred words is part of the expression, map-only. A larger one comes as a table
+    ``wrong, correct`` and is joined by the first signs of its words; ``keys`` name paragraphs then (all columns but the text by default).
+    """
+    return _find(paras, typos, para, "typo", "typo", keys)
 
 
-def find_wrong_symbols(paras: DataFrame, symbols: dict[str, list[str]] = SYMBOLS, para: str = "para") -> DataFrame:
-    return _find(paras, symbols, para, "punctuation", "symbol")
+def find_wrong_symbols(paras: DataFrame, symbols: dict[str, list[str]] | DataFrame = SYMBOLS, para: str = "para", keys: list[str] | None = None) -> DataFrame:
+    """As :func:`find_typos`, for signs."""
+    return _find(paras, symbols, para, "punctuation", "symbol", keys)
 
 
 def find_unpaired_symbols(paras: DataFrame, pairs: list[tuple[str, str]] = PAIRS, para: str = "para") -> DataFrame:
@@ -105,16 +162,25 @@ def find_unpaired_symbols(paras: DataFrame, pairs: list[tuple[str, str]] = PAIRS
     )
 
 
-def find_sensitive(paras: DataFrame, words: dict[str, list[str]], para: str = "para") -> DataFrame:
-    """Hits of each word in any case, unless the hit lies in the first place of an exception phrase near it."""
+def find_sensitive(paras: DataFrame, words: dict[str, list[str]] | DataFrame, para: str = "para", keys: list[str] | None = None) -> DataFrame:
+    """Hits of each word in any case, unless the hit lies in the first place of an exception phrase near it.
+
+    Large dictionaries come as a table ``word, exceptions``, as in :func:`find_typos`.
+    """
     others = [c for c in paras.columns if c != para]
-    kept = [(w, [x for x in ex if x and w in x]) for w, ex in words.items() if w]
-    if not kept:
-        return _find(paras, {}, para, "sensitive", "sensitive")
-    entries = F.array(
-        *(F.struct(F.lit(w).alias("w"), F.array(*map(F.lit, ex)).cast("array<string>").alias("ex"), F.lit(max(map(len, ex), default=0)).alias("reach")) for w, ex in kept)
-    )
-    there = F.filter(entries, lambda e: F.contains(F.lower(F.col(para)), F.lower(e["w"])))
+    if isinstance(words, DataFrame):
+        own = F.filter(F.coalesce("exceptions", F.array().cast("array<string>")), lambda x: (x != "") & F.contains(x, F.col("word")))
+        entries = words.filter("word IS NOT NULL").select(F.col("word").alias("w"), own.alias("ex"))
+        entries = entries.select(F.struct("w", "ex", F.coalesce(F.array_max(F.transform("ex", F.char_length)), F.lit(0)).alias("reach")).alias("_e"))
+        paras, known = _looked_up(paras, entries, F.col("_e.w"), F.lower, keys or others, para), F.col("_there")
+    else:
+        kept = [(w, [x for x in ex if x and w in x]) for w, ex in words.items() if w]
+        known = F.array().cast(f"array<{WORD}>")
+        if kept:
+            known = F.array(
+                *(F.struct(F.lit(w).alias("w"), F.array(*map(F.lit, ex)).cast("array<string>").alias("ex"), F.lit(max(map(len, ex), default=0)).alias("reach")) for w, ex in kept)
+            )
+    there = F.filter(known, lambda e: F.contains(F.lower(F.col(para)), F.lower(e["w"])))
     # A context is a slice of the text in UTF-32, and all is worked out before hits become rows, so that none carries the text.
     found = paras.select(*others, para, wide(F.col(para)).alias("_wide"), F.explode(there).alias("_e"))
     size = F.char_length("_e.w")

@@ -90,6 +90,26 @@ def P2_find_typos(spark, sf_dir):
     return proof.find_typos(paragraphs(spark, sf_dir), TYPOS)
 
 
+#: Of every word of the corpus of six letters and more that ends in "n", the wrong form is the word itself.
+CORPUS_WORDS = """words AS (
+  SELECT DISTINCT w AS wrong, upper(w) AS correct FROM (SELECT unnest(string_split_regex(text, '[^a-z]+')) AS w FROM documents) WHERE length(w) >= 6 AND w LIKE '%n'
+)"""
+
+
+@query(
+    f"""WITH {PARA}, {CORPUS_WORDS}, places AS (
+  SELECT doc_id, para_no, para, unnest(range(1, length(para) + 1)) AS i FROM para
+), met AS (SELECT DISTINCT doc_id, para_no, para, wrong, correct FROM places JOIN words ON substr(para, i, 6) = substr(wrong, 1, 6) AND substr(para, i, length(wrong)) = wrong)
+SELECT doc_id, CAST(para_no AS INTEGER) AS para_no, CAST(s AS INTEGER) AS start_pos, CAST(s + length(wrong) AS INTEGER) AS end_pos, wrong AS error_text, correct AS suggestion, 'typo' AS error_type, 'typo' AS source
+FROM (SELECT doc_id, para_no, wrong, correct, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(wrong))) AS s
+      FROM (SELECT *, string_split(para, wrong) AS parts FROM met))"""
+)
+def P2_find_typos_of_large_dictionary(spark, sf_dir):
+    """A dictionary that grows with the corpus."""
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", "[^a-z]+", -1)).alias("wrong")).filter("length(wrong) >= 6 AND wrong LIKE '%n'").distinct()
+    return proof.find_typos(paragraphs(spark, sf_dir), words.select("wrong", F.upper("wrong").alias("correct")), keys=["doc_id", "para_no"])
+
+
 @query(f"WITH {PARA} SELECT * FROM ({SYMBOL_SQL})")
 def P3_find_wrong_symbols(spark, sf_dir):
     return proof.find_wrong_symbols(paragraphs(spark, sf_dir), SYMBOLS)
