@@ -20,8 +20,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Decide for every row of ``docs`` whether it stays.
 
     Returns ``doc_id, keep_id, group_size, kept, text_sha256``, and with
-    ``keep_row`` the whole input row as struct ``row``. Other columns of
-    ``docs`` don't matter, whatever their names.
+    ``keep_row`` the whole input row as struct ``row`` and ``stays``. Other columns of
+    ``docs`` don't matter, whatever their names. ``stays`` tells one row of a
+    group then, by its place, also among rows of one id; ``docs`` must be as
+    read from files, where a row's place is the same in every scan.
 
     Null text counts as empty, empty texts are equal to each other. The row
     with the largest id stays; null ids lose to any id, and a group of null
@@ -31,30 +33,38 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(docs[text_col], F.lit(""))
     named = docs.select(docs[id_col].alias("doc_id"), ascii_lower(text).alias("norm"), *([F.struct("*").alias("row")] if keep_row else []))
     rows = named.withColumn("digest", F.sha2("norm", 256))
+    if keep_row:
+        rows = rows.withColumn("place", F.monotonically_increasing_id())
+
+    def best(id_col: str) -> list:
+        """The place of one row of the largest id; of null ids only, the first."""
+        return [F.coalesce(F.max_by("place", id_col), F.min("place")).alias("place")] if keep_row else []
+
+    placed = ["place"] if keep_row else []
 
     salted = (
-        rows.select("doc_id", "norm", "digest", (F.spark_partition_id() % salts).alias("salt"))
+        rows.select("doc_id", "norm", "digest", *placed, (F.spark_partition_id() % salts).alias("salt"))
         .groupBy("digest", "salt", "norm")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"), *best("doc_id"))
     )
-    contents = salted.groupBy("digest", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-    groups = contents.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("n").alias("group_size"), F.count(F.lit(1)).alias("contents"))
+    contents = salted.groupBy("digest", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"), *best("keep_id"))
+    groups = contents.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("n").alias("group_size"), F.count(F.lit(1)).alias("contents"), *best("keep_id"))
     clash = F.raise_error(F.concat(F.lit("two texts share the digest "), F.col("digest")))
     # A key of its own makes Spark exchange both sides of the join, which it can then split where one digest is hot.
     groups = groups.select(
-        F.unhex("digest").alias("key"), "keep_id", F.when(F.col("contents") == 1, F.col("group_size")).otherwise(clash.cast("bigint")).alias("group_size")
+        F.unhex("digest").alias("key"), "keep_id", F.when(F.col("contents") == 1, F.col("group_size")).otherwise(clash.cast("bigint")).alias("group_size"), *(F.col(c).alias("best") for c in placed)
     )
-    members = rows.select("doc_id", F.unhex("digest").alias("key"), *(["row"] if keep_row else []))
+    members = rows.select("doc_id", F.unhex("digest").alias("key"), *(["row", "place"] if keep_row else []))
     return members.join(groups, "key").select(
         "doc_id",
         "keep_id",
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("key")).alias("text_sha256"),
-        *(["row"] if keep_row else []),
+        *(["row", (F.col("place") == F.col("best")).alias("stays")] if keep_row else []),
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` drops; same columns."""
-    return exact_dedup(docs, id_col, text_col, keep_row=True).filter("kept").select("row.*")
+    """``docs`` with one row of each group of equal texts, the largest id, whatever ids are null or repeat; same columns. ``docs`` as read from files."""
+    return exact_dedup(docs, id_col, text_col, keep_row=True).filter("stays").select("row.*")

@@ -269,12 +269,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``docs`` with the smallest id of every component only; same columns.
+    """``docs`` with one row of every component, that of the smallest id; same columns.
 
-    Rows with a null id stay if no other id is in their component. Rows that
-    repeat an id share its fate: they go if one of them does.
+    Null ids come last, and of rows of one id the first place stays. ``docs`` is
+    as read from files, where a row's place is the same in every scan.
     """
-    gone = free_name(docs, "gone")
-    found = near_duplicates(docs, id_col, text_col, width)
-    goes = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(materialise(goes), docs[id_col].eqNullSafe(F.col(gone)), "left_anti")
+    own, of = free_name(docs, "own"), free_name(docs, "of")
+    numbered = docs.withColumn(own, F.monotonically_increasing_id())
+    as_ids = numbered.select(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(own).alias("own")).alias("id"), F.col(text_col).alias("text"))
+    found = near_duplicates(as_ids, "id", "text", width)
+    goes = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id.own").alias(of)))
+    return numbered.join(goes, F.col(own) == F.col(of), "left_anti").select(*docs.columns)

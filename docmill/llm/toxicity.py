@@ -34,6 +34,8 @@ STEMS = range(4, 10)
 MIN_DOCS, MIN_Z = 3, 3.5
 #: Patterns a training task counts before it passes them on.
 HELD = 120_000
+#: Documents without a toxic label that an exception phrase must occur in, and phrases learned at most.
+HARMLESS, PHRASES = 5, 2_000
 
 # Look-alike letters of other scripts, digits and signs that stand for letters, harmless phrases.
 LOOKALIKES = dict(zip("асеорхуіјѕԁһмтквнгαβεικνορτυχω", "aceopxyijsdhmtkbhrabeiknoptuxw", strict=True)) | {"ı": "i", "ł": "l", "ø": "o", "đ": "d", "ɡ": "g"}
@@ -107,6 +109,10 @@ class Matcher:
         if len(self.automaton):
             self.automaton.make_automaton()
 
+    def holds(self, word: str) -> bool:
+        """Whether a folded word holds an entry."""
+        return bool(len(self.automaton)) and next(iter(self.automaton.iter(f" {word} ")), None) is not None
+
     def weigh(self, text: str) -> tuple[float, int]:
         """Sum of the weights outside exception phrases, and the number of words."""
         plain = folded(text)
@@ -135,12 +141,16 @@ def probability(curve: tuple[float, float, float], total: float, words: int) ->
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
-    """``toxic, text`` of the labelled documents whose ids hash lowest, at most ``rows``; a document with several labels takes the highest."""
+    """``toxic, text`` of the labelled documents whose ids hash lowest, at most ``rows``.
+
+    A document with several labels takes the highest, an id of several rows its least text.
+    """
     ones = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # At most ``rows`` pairs of numbers: small enough to broadcast.
     some = ones.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumnRenamed("doc_id", "_id")
     texts = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return texts.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select(F.col("toxic").cast("int").alias("toxic"), "text")
+    met = texts.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.first("toxic").cast("int").alias("toxic"), F.min("text").alias("text"))
+    return met.select("toxic", "text")
 
 
 def learn_lexicon(sample: DataFrame) -> tuple[tuple[str, float], ...]:
@@ -189,6 +199,33 @@ def learn_lexicon(sample: DataFrame) -> tuple[tuple[str, float], ...]:
     return tuple(taken.items())
 
 
+def learn_exceptions(sample: DataFrame, lexicon: tuple[tuple[str, float], ...]) -> tuple[str, ...]:
+    """Pairs of neighbouring words of which one holds a lexicon entry, and that only documents without a toxic label have: at least HARMLESS of them.
+
+    At most PHRASES pairs, the most frequent first.
+    """
+
+    def count(batches):
+        matcher = Matcher("", lexicon, ())
+        seen: Counter = Counter()
+        for batch in batches:
+            for toxic, text in zip(batch.column(0), batch.column(1), strict=True):
+                words, y = folded(text.as_py()).split(), toxic.as_py()
+                hit = [matcher.holds(w) for w in words]
+                seen.update([(p, y) for p in {f"{a} {b}" for a, b, c, d in zip(words, words[1:], hit, hit[1:], strict=False) if c or d}])
+                if len(seen) >= HELD:
+                    yield counted(seen)
+                    seen.clear()
+        yield counted(seen)
+
+    def counted(seen: Counter) -> pa.RecordBatch:
+        keys = list(seen)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], names=["phrase", "toxic", "n"])
+
+    pairs = sample.mapInArrow(count, "phrase string, toxic int, n bigint").groupBy("phrase").agg(F.sum("n").alias("n"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    return tuple(r["phrase"] for r in pairs.filter((F.col("toxic") != 1) & (F.col("n") >= HARMLESS)).orderBy(F.desc("n"), "phrase").limit(PHRASES).collect())
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> tuple[float, float, float]:
     """Logistic regression by Newton steps."""
     beta, penalty = np.zeros(x.shape[1]), np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
@@ -202,7 +239,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 5
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", exceptions: tuple[str, ...] = EXCEPTIONS, rows: int = TRAINING_ROWS) -> Model:
-    """Fit lexicon and curve on at most ``rows`` labelled documents.
+    """Fit lexicon, exception phrases (besides those given) and curve on at most ``rows`` labelled documents.
 
     Labels with null in ``doc_id`` or ``toxic`` and labels of no document say
     nothing. Without toxic or without other documents the lexicon is empty and
@@ -210,6 +247,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     sample = materialise(training_sample(docs, labels, id_col, text_col, rows))
     lexicon = learn_lexicon(sample)
+    if lexicon:
+        exceptions = tuple(dict.fromkeys((*exceptions, *learn_exceptions(sample, lexicon))))
 
     def weigh(batches):
         matcher = Matcher("", lexicon, exceptions)

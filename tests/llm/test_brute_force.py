@@ -43,21 +43,23 @@ def corpus(spark, make_docs, tmp_path_factory):
 
 
 def plain_exact(rows):
-    """Of equal texts, A-Z lower-cased, rows of the largest id stay; null ids lose to any id."""
-    best = collections.defaultdict(lambda: -1)
+    """Of equal texts, A-Z lower-cased, one row of the largest id stays; null ids lose to any id."""
+    best = {}
     for i, t in rows:
-        best[(t or "").translate(LOWER)] = max(best[(t or "").translate(LOWER)], -1 if i is None else i)
-    return [r for r in rows if best[(r[1] or "").translate(LOWER)] in (-1 if r[0] is None else r[0],)]
+        key = (t or "").translate(LOWER)
+        if key not in best or (-1 if i is None else i) > (-1 if best[key][0] is None else best[key][0]):
+            best[key] = (i, t)
+    return list(best.values())
 
 
 def plain_near(rows):
-    """Of each component of similar texts, rows of the smallest id stay; ids that repeat share their fate."""
+    """Of each component of similar texts, one row of the smallest id stays; null ids come last."""
     root = brute_components([(k, t) for k, (_, t) in enumerate(rows)])
-    least = collections.defaultdict(lambda: 10**9)
-    for k, (i, _) in enumerate(rows):
-        least[root[k]] = min(least[root[k]], 10**9 if i is None else i)
-    goes = {i for k, (i, _) in enumerate(rows) if (10**9 if i is None else i) != least[root[k]]}
-    return [r for r in rows if r[0] not in goes]
+    least = {}
+    for k, r in enumerate(rows):
+        if root[k] not in least or (r[0] is None, r[0] or 0) < (least[root[k]][0] is None, least[root[k]][0] or 0):
+            least[root[k]] = r
+    return list(least.values())
 
 
 def test_pipeline_stages_take_effect(spark, corpus):
