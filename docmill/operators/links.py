@@ -76,10 +76,28 @@ def file_kind(path: Column) -> Column:
     return F.when(ext.isin(*IMAGES), "image").when(ext.isin(*MARKDOWN), "markdown").otherwise("unknown")
 
 
+def folded_path(path: Column) -> Column:
+    """A path without ``.`` and empty segments, where ``..`` takes the segment before it; above the start of a relative path ``..`` stays, above a root it goes."""
+    none = F.array().cast("array<string>")
+    rooted = path.startswith("/")
+
+    def step(kept: Column, part: Column) -> Column:
+        up, top = part == "..", F.get(kept, F.size(kept) - 1)
+        return (
+            F.when(part.isin("", "."), kept)
+            .when(up & (F.size(kept) > 0) & (top != ".."), F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+            .when(up & rooted, kept)
+            .otherwise(F.concat(kept, F.array(part)))
+        )
+
+    whole = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(F.aggregate(F.split(path, "/", -1), none, step), "/"))
+    return F.when(path.rlike(r"(?:^|/)\.{0,2}(?:/|$)"), whole).otherwise(path)
+
+
 def resolve_links(links: DataFrame, files: DataFrame, keys: list[str], search_dirs: tuple[str, ...] = ("",), source: str = "source_path", target: str = "target") -> DataFrame:
     """``keys, resolved, file_type``: the first of a link's candidate paths that exists among ``files(path)``; null where none does.
 
-    Candidates: the path as it is when absolute; beside the source; for bare names the folder named like the source and the search folders; each with ``.md`` where no extension is given.
+    Candidates: the path as it is when absolute; beside the source; for bare names the folder named like the source and the search folders; each with ``.md`` where no extension is given. ``.`` and ``..`` are folded.
     """
     t = F.col(target)
     folder = F.regexp_extract(F.col(source), r"^(.*/)?[^/]*$", 1)
@@ -87,7 +105,7 @@ def resolve_links(links: DataFrame, files: DataFrame, keys: list[str], search_di
     relative = F.concat(folder, F.regexp_replace(t, r"^\./", ""))
     places = [F.when(t.startswith("/"), t), F.when(~t.startswith("/"), relative), F.when(~F.contains(t, F.lit("/")), F.concat(stem, F.lit("/"), t))]
     places += [F.when(~F.contains(t, F.lit("/")), F.concat(F.lit(d + "/" if d else ""), t)) for d in search_dirs]
-    named = F.filter(F.array(*places), lambda p: p.isNotNull())
+    named = F.transform(F.filter(F.array(*places), lambda p: p.isNotNull()), folded_path)
     both = F.when(t.rlike(r"\.[^./]+$"), named).otherwise(F.flatten(F.transform(named, lambda p: F.array(F.concat(p, F.lit(".md")), p))))
     tries = links.select(*keys, F.posexplode(both).alias("_n", "path"))
     found = tries.join(files.select("path").distinct(), "path").groupBy(*keys).agg(F.min_by("path", "_n").alias("resolved"))

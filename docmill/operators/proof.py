@@ -238,6 +238,14 @@ def proofread_summary(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id")
     return docs.select(id_col).distinct().join(found, id_col, "left").select(id_col, "source", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
 
 
+def proofread_totals(hits: DataFrame, id_col: str = "doc_id", para_col: str = "para_no") -> DataFrame:
+    """``level, doc_id, para_no, source, hits``: counts for each paragraph, document and the corpus (``level``), by rule and, with null ``source``, of all rules. One exchange."""
+    sets = [[id_col, para_col, "source"], [id_col, para_col], [id_col, "source"], [id_col], ["source"], []]
+    counted = hits.groupingSets([[F.col(c) for c in s] for s in sets], id_col, para_col, "source")
+    level = F.when(F.grouping(para_col) == 0, "paragraph").when(F.grouping(id_col) == 0, "document").otherwise("corpus")
+    return counted.agg(F.count(F.lit(1)).alias("hits"), level.alias("level")).select("level", id_col, para_col, "source", "hits")
+
+
 def check_dictionary(words: DataFrame) -> DataFrame:
     """``word, exception`` where the exception (of array ``exceptions``) doesn't contain its word."""
     return words.select("word", F.explode("exceptions").alias("exception")).filter(~F.contains("exception", "word"))

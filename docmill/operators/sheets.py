@@ -103,9 +103,26 @@ def merged_value(a: Column, b: Column) -> Column:
 
 def merge_by_cell(cells: DataFrame, keys: list[str], order: str = "file_no") -> DataFrame:
     """Aligned cells of several files as one; later files fold into earlier ones, in order."""
-    piles = cells.groupBy(*keys, "row", "col").agg(F.sort_array(F.collect_list(F.struct(order, "value"))).alias("_v"))
-    folded = F.aggregate("_v", F.lit(None).cast("string"), lambda a, x: merged_value(a, x["value"]))
-    return piles.select(*keys, "row", "col", folded.alias("value")).filter("value IS NOT NULL")
+    bare = strip(F.col("value"))
+    told = cells.select(*keys, "row", "col", F.struct(order, "value", bare.alias("bare"), to_number(bare).alias("n")).alias("_x"))
+    piles = told.filter("_x.bare <> ''").groupBy(*keys, "row", "col").agg(F.array_sort(F.collect_list("_x")).alias("_v"))
+
+    def step(a: Column, x: Column) -> Column:
+        """As :func:`merged_value`, with each text's bare form and number worked out once."""
+
+        def added(total: Column) -> Column:
+            whole = (total == F.floor(total)) & (F.abs(total) < 1e15)
+            n = F.when(whole, total).otherwise(F.round(total, 10))
+            shown = F.when(whole, total.cast("bigint").cast("string")).otherwise(n.cast("string"))
+            return bound(shown, lambda s: F.struct(s.alias("value"), s.alias("bare"), n.alias("n")))
+
+        joined = F.concat(a["value"], F.lit(","), x["value"])
+        both = F.struct(joined.alias("value"), strip(joined).alias("bare"), F.lit(None).cast("double").alias("n"))
+        return F.when(a["n"].isNotNull() & x["n"].isNotNull(), bound(a["n"] + x["n"], added)).when(a["bare"] == x["bare"], a).otherwise(both)
+
+    first = bound(F.get("_v", F.lit(0)), lambda x: F.struct(x["value"].alias("value"), x["bare"].alias("bare"), x["n"].alias("n")))
+    folded = F.when(F.size("_v") == 1, F.get("_v", F.lit(0))["value"]).otherwise(F.aggregate(F.slice("_v", F.lit(2), F.size("_v")), first, step)["value"])
+    return piles.select(*keys, "row", "col", folded.alias("value"))
 
 
 def line_coverage(base: DataFrame, collect: DataFrame, keys: list[str], index: str) -> DataFrame:

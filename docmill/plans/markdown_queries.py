@@ -219,6 +219,16 @@ def L3_resolve_links(spark, sf_dir):
     return L.resolve_links(links, files, ["p_partkey"], ("lib",))
 
 
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a/x.md' WHEN 1 THEN 'lib/pic.png' WHEN 2 THEN 'a/' || p_partkey || '/y.md' END AS resolved, CASE p_partkey % 4 WHEN 1 THEN 'image' WHEN 3 THEN NULL ELSE 'markdown' END AS file_type FROM part")
+def L3_resolve_folded_paths(spark, sf_dir):
+    """Targets above the note's folder, with dots in the middle, and above the top, where nothing is."""
+    k = F.col("p_partkey")
+    target = F.when(k % 4 == 0, "../x").when(k % 4 == 1, "../.././lib//pic.png").when(k % 4 == 2, "z/../y").otherwise("../../../x")
+    links = table(spark, sf_dir, "part").select("p_partkey", cat("a/", k.cast("string"), "/n.md").alias("source_path"), target.alias("target"))
+    files = links.filter(k % 4 == 2).select(F.regexp_replace("source_path", r"n\.md$", "y.md").alias("path")).union(spark.createDataFrame([("a/x.md",), ("lib/pic.png",), ("x.md",)], "path string"))
+    return L.resolve_links(links, files, ["p_partkey"])
+
+
 @query("SELECT p_partkey, 'a {{IMAGE:' || p_name || '.png}} ' || p_brand || ' ' || p_type || ' b' AS shown, 'a ![[' || p_name || '.png]]   b' AS bare FROM part")
 def L4_rewrite_links(spark, sf_dir):
     text = cat("a ![[", F.col("p_name"), ".png]] [[x|", F.col("p_brand"), "]] [", F.col("p_type"), "](u) b")

@@ -142,6 +142,15 @@ def P7_proofread_summary(spark, sf_dir):
     return proof.proofread_summary(spark.read.parquet(f"{sf_dir}/documents.parquet"), hits(spark, sf_dir))
 
 
+@query(
+    f"""WITH {PARA}, {HITS}
+SELECT CASE WHEN grouping(para_no) = 0 THEN 'paragraph' WHEN grouping(doc_id) = 0 THEN 'document' ELSE 'corpus' END AS level, doc_id, CAST(para_no AS INTEGER) AS para_no, source, count(*) AS hits FROM hits
+GROUP BY GROUPING SETS ((doc_id, para_no, source), (doc_id, para_no), (doc_id, source), (doc_id), (source), ())"""
+)
+def P7_proofread_totals(spark, sf_dir):
+    return proof.proofread_totals(hits(spark, sf_dir))
+
+
 @query("""SELECT source AS word, lang || source AS exception FROM documents WHERE NOT contains(lang || source, source) UNION ALL SELECT source, lang FROM documents WHERE NOT contains(lang, source)""")
 def P8_check_dictionary(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
