@@ -152,32 +152,53 @@ def line_similarity(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.size(F.filter(same, lambda s: s)) / n).otherwise(0.0)
 
 
+#: Base lines that hold a value, beyond which it is a frequent one.
+RARE = 64
+
+
 def most_similar_line(base: DataFrame, collect: DataFrame, keys: list[str]) -> DataFrame:
     """For each collected ``line`` (array ``cells``) the best ``base_line`` and its ``similarity``.
 
     All base lines count, and the first of equally similar ones wins; with
-    similarity 0 that is base line 1. Lines that share a value are compared in
-    full. The others can only agree in empty places, so of them the first line
-    of each pattern of empty places stands for all.
+    similarity 0 that is base line 1. Equal lines fold into their first. Lines
+    that share a rare value (of at most :data:`RARE` base lines) are compared in
+    full, which makes a bounded number of pairs a line. What others have in
+    common are empty places and frequent values, so of these only the shapes
+    meet: a line's empty and frequent places, and of one shape the first base line.
     """
-    empties = F.transform(F.col("cells"), lambda x: F.coalesce(strip(x), F.lit("")) == "")
+    blank = lambda x: F.coalesce(strip(x), F.lit("")) == ""
+    bare = F.transform(F.col("cells"), lambda x: F.coalesce(strip(x), F.lit("")))
+    b = materialise(base.groupBy(*keys, bare.alias("cells")).agg(F.min("line").alias("base_line")))
+    told = materialise(collect.select(*keys, "line", bare.alias("cells")))
+    c = materialise(told.groupBy(*keys, "cells").agg(F.min("line").alias("first")))
 
     def places(df: DataFrame, name: str) -> DataFrame:
-        spread = df.select(*keys, F.col("line").alias(name), F.posexplode("cells").alias("place", "v")).withColumn("v", strip(F.col("v")))
-        return spread.filter("v <> ''")
-
-    pairs = places(collect, "line").join(places(base, "base_line"), [*keys, "place", "v"]).select(*keys, "line", "base_line").distinct()
-    c = collect.select(*keys, "line", F.col("cells").alias("_c"))
-    b = base.select(*keys, F.col("line").alias("base_line"), F.col("cells").alias("_b"))
-    scored = pairs.join(c, [*keys, "line"]).join(b, [*keys, "base_line"]).select(*keys, "line", "base_line", line_similarity(F.col("_c"), F.col("_b")).alias("similarity"))
-    of_base = base.groupBy(*keys, empties.alias("_pb")).agg(F.min("line").alias("base_line"))
-    of_collect = collect.select(*keys, empties.alias("_pc")).distinct()
-    both = F.filter(F.zip_with("_pc", "_pb", lambda x, y: F.coalesce(x, F.lit(True)) & F.coalesce(y, F.lit(True))), lambda x: x)
-    empty = of_collect.join(of_base, keys).withColumn("similarity", F.when(F.size(both) > 0, F.size(both) / F.greatest(F.size("_pc"), F.size("_pb"))))
-    empty = empty.filter("similarity > 0").groupBy(*keys, "_pc").agg(F.max_by(F.struct("base_line", "similarity"), F.struct("similarity", -F.col("base_line"))).alias("_e"))
-    scored = scored.unionByName(collect.select(*keys, "line", empties.alias("_pc")).join(empty, [*keys, "_pc"]).select(*keys, "line", "_e.base_line", "_e.similarity"))
-    best = scored.groupBy(*keys, "line").agg(F.max_by(F.struct("base_line", "similarity"), F.struct("similarity", -F.col("base_line"))).alias("_b"))
-    out = collect.select(*keys, "line").join(best, [*keys, "line"], "left")
+        return df.select(*keys, name, F.posexplode("cells").alias("place", "v")).filter("v <> ''")
+
+    held = places(b, "base_line").groupBy(*keys, "place", "v").agg(F.count(F.lit(1)).alias("_n"))
+    frequent = materialise(held.filter(F.col("_n") > RARE).select(*keys, "place", "v"))
+    at = [*keys, "place", "v"]
+    pairs = places(c, "first").join(frequent, at, "left_anti").join(places(b, "base_line"), at).select(*keys, "first", "base_line").distinct()
+    of_c, of_b = c.select(*keys, "first", F.col("cells").alias("_c")), b.select(*keys, "base_line", F.col("cells").alias("_b"))
+    scored = pairs.join(of_c, [*keys, "first"]).join(of_b, [*keys, "base_line"]).select(*keys, "first", "base_line", line_similarity(F.col("_c"), F.col("_b")).alias("similarity"))
+
+    def shaped(df: DataFrame, name: str, other: str) -> DataFrame:
+        """Empty places as such, frequent values with a sign in front, ``other`` for rare values, which nothing of the other side equals."""
+        known = places(df, name).join(frequent, at).groupBy(*keys, name).agg(F.collect_set("place").alias("_f"))
+        sign = F.transform("cells", lambda x, i: F.when(blank(x), "").when(F.coalesce(F.array_contains("_f", i), F.lit(False)), F.concat(F.lit("="), x)).otherwise(other))
+        return df.join(known, [*keys, name], "left").select(*keys, name, sign.alias("shape"))
+
+    c_shapes = materialise(shaped(c, "first", "c"))
+    b_shapes = shaped(b, "base_line", "b").groupBy(*keys, F.col("shape").alias("_pb")).agg(F.min("base_line").alias("base_line"))
+    met = c_shapes.select(*keys, F.col("shape").alias("_pc")).distinct().join(b_shapes, keys)
+    # Where one line is shorter, its places beyond the end are empty.
+    alike = F.size(F.filter(F.zip_with("_pc", "_pb", lambda x, y: F.coalesce(x, F.lit("")) == F.coalesce(y, F.lit(""))), lambda same: same))
+    best_of = lambda: F.max_by(F.struct("base_line", "similarity"), F.struct("similarity", -F.col("base_line")))
+    met = met.withColumn("similarity", F.when(alike > 0, alike / F.greatest(F.size("_pc"), F.size("_pb")))).filter("similarity > 0").groupBy(*keys, "_pc").agg(best_of().alias("_e"))
+    by_shape = c_shapes.join(met.withColumnRenamed("_pc", "shape"), [*keys, "shape"]).select(*keys, "first", "_e.base_line", "_e.similarity")
+    best = scored.unionByName(by_shape).groupBy(*keys, "first").agg(best_of().alias("_b"))
+    named = c.join(best, [*keys, "first"], "left").select(*keys, "cells", "_b")
+    out = told.join(named, [*keys, "cells"], "left")
     return out.select(*keys, "line", F.coalesce("_b.base_line", F.lit(1).cast("bigint")).alias("base_line"), F.coalesce("_b.similarity", F.lit(0.0)).alias("similarity"))
 
 

@@ -159,6 +159,20 @@ def C9_most_similar_line(spark, sf_dir):
     return C.most_similar_line(parts.filter("line % 2 = 1"), parts.filter("line % 2 = 0"), ["p_brand"])
 
 
+@query(
+    """WITH p AS (SELECT p_brand, p_partkey, p_type AS a, CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN 'same' ELSE p_name END AS b, CASE WHEN p_size % 5 > 0 THEN p_size::VARCHAR ELSE '' END AS c FROM part),
+m AS (SELECT c.p_brand, c.p_partkey AS line, b.p_partkey AS base_line, ((c.a = b.a)::INT + (c.b = b.b)::INT + (c.c = b.c)::INT) / 3.0::DOUBLE AS similarity
+      FROM p c JOIN p b ON c.p_brand = b.p_brand AND c.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1)
+SELECT p.p_brand, p_partkey AS line, CASE WHEN similarity > 0 THEN base_line ELSE 1 END AS base_line, coalesce(similarity, 0) AS similarity FROM p LEFT JOIN (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY p_brand, line ORDER BY similarity DESC, base_line) = 1) m ON m.line = p_partkey AND m.p_brand = p.p_brand WHERE p_partkey % 2 = 0"""
+)
+def C9_similar_line_with_blanks(spark, sf_dir):
+    """A third of the lines has an empty place, a third one common value there; one size in five is blank."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    middle = F.when(k % 3 == 0, F.when(k % 2 == 0, F.lit(" "))).when(k % 3 == 1, F.lit("same")).otherwise(F.col("p_name"))
+    parts = table(spark, sf_dir, "part").select("p_brand", k.alias("line"), F.array("p_type", middle, F.when(size % 5 > 0, size.cast("string")).otherwise("")).alias("cells"))
+    return C.most_similar_line(parts.filter("line % 2 = 1"), parts.filter("line % 2 = 0"), ["p_brand"])
+
+
 @query(
     """WITH o AS (SELECT c_nationkey, c_custkey, c_name, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS line FROM customer)
 SELECT c_nationkey, line, [c_name, c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE '' END] AS cells FROM o"""
