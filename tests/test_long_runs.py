@@ -65,7 +65,7 @@ FRAMES = {
     "placeholders": sheets.template_placeholders,
 }
 #: Seconds for one text of a run; squares of it would take minutes.
-MOST = 20
+MOST = 60
 
 
 @pytest.fixture(scope="module")
