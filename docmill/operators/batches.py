@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmill.operators.ranks import ranked
+
 
 CATEGORIES = {
     "text": ("md", "txt", "markdown"), "document": ("docx", "doc", "wps", "rtf", "odt"), "spreadsheet": ("xlsx", "xls", "et", "ods", "csv"), "layout": ("pdf", "ofd", "xps", "caj"),
@@ -48,8 +50,8 @@ def split_pages(pages: DataFrame, chosen: DataFrame, keys: list[str], mode: str
 
 
 def merge_pages(pages: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``merged_no``: continuous page numbers of the documents of a group, in order."""
-    return pages.withColumn("merged_no", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """``merged_no``: continuous page numbers of the documents of a group, in order; a group may hold all pages."""
+    return ranked(pages, keys, order, "merged_no").withColumn("merged_no", F.col("merged_no").cast("int"))
 
 
 def categorize_files(files: DataFrame, path_col: str = "path") -> DataFrame:

@@ -219,15 +219,42 @@ def link_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def link_cycles(edges: DataFrame, max_depth: int = 3) -> DataFrame:
     """``node, length``: the shortest cycle of at most ``max_depth`` edges through each node; nodes on none have no row. A link to itself has length 1.
 
-    Walks are kept as distinct (start, end) pairs, a level at a time; only nodes with links in and out take part, and a walk ends where it comes back.
+    Cycles of three and four links are met in the middle, seen from their node of most links: half walks of two links go from
+    it over a node of fewer links to another such node, and those back meet them in semi joins. So a half walk counts at its end of
+    fewer links, and all of them are at most the sum over links of the lesser number of links at either end: around a note that
+    links to all and is linked by all they are as many as the links. Longer cycles are sought by distinct (start, end) pairs of walks,
+    only from nodes that have no shorter one.
     """
     some = edges.filter("target IS NOT NULL").select("source", "target").distinct()
     ins, outs = some.select(F.col("target").alias("source")).distinct(), some.select(F.col("source").alias("target")).distinct()
     some = materialise(some.join(ins, "source", "left_semi").join(outs, "target", "left_semi").select("source", "target"))
+    loops, some = some.filter("source = target"), some.filter("source <> target")
+    found = loops.select(F.col("source").alias("node"), F.lit(1).alias("length"))
+    back = some.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    if max_depth >= 2:
+        found = found.unionByName(some.join(back, ["source", "target"], "left_semi").select(F.col("source").alias("node"), F.lit(2).alias("length")))
+    if max_depth >= 3:
+        links = some.unionByName(back).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+        ranks = [links.select(F.col("source").alias(side), F.struct("n", F.col("source").alias("node")).alias(f"{side}_rank")) for side in ("source", "target")]
+        ranked = materialise(some.join(ranks[0], "source").join(ranks[1], "target"))
+        below, above = F.col("target_rank") < F.col("source_rank"), F.col("target_rank") > F.col("source_rank")
+        top = lambda top, mid, when: ranked.filter(when).select(F.col(top).alias("top"), F.col(f"{top}_rank").alias("top_rank"), F.col(mid).alias("mid"))
+        on = lambda mid, end: ranked.select(F.col(mid).alias("mid"), F.col(end).alias("end"), F.col(f"{end}_rank").alias("end_rank"))
+        away = top("source", "target", below).join(on("source", "target"), "mid").filter("end_rank < top_rank").select("top", "mid", "end")
+        home = top("target", "source", above).join(on("target", "source"), "mid").filter("end_rank < top_rank").select("top", "mid", "end")
+        each = lambda walks, length: walks.select(F.explode(F.array("top", "mid", "end")).alias("node"), F.lit(length).alias("length"))
+        closing = some.select(F.col("source").alias("end"), F.col("target").alias("top"))
+        found = found.unionByName(each(away.join(closing, ["top", "end"], "left_semi"), 3))
+        if max_depth >= 4:
+            for one, other in ((away, home), (home, away)):
+                found = found.unionByName(each(one.join(other.select("top", "end"), ["top", "end"], "left_semi"), 4))
+    found = materialise(found.groupBy("node").agg(F.min("length").alias("length")))
+    if max_depth <= 4:
+        return found
     step = some.select(F.col("source").alias("end"), F.col("target").alias("next"))
-    walks = some.select(F.col("source").alias("node"), F.col("target").alias("end"))
-    found = walks.filter("node = end").select("node", F.lit(1).alias("length"))
+    walks = some.withColumnsRenamed({"source": "node", "target": "end"}).join(found, "node", "left_anti")
     for length in range(2, max_depth + 1):
         walks = walks.filter("node <> end").join(step, "end").select("node", F.col("next").alias("end")).distinct()
-        found = found.unionByName(walks.filter("node = end").select("node", F.lit(length).alias("length")))
+        if length > 4:
+            found = found.unionByName(walks.filter("node = end").select("node", F.lit(length).alias("length")))
     return found.groupBy("node").agg(F.min("length").alias("length"))

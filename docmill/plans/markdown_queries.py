@@ -236,22 +236,22 @@ def L4_rewrite_links(spark, sf_dir):
 
 
 def md_links(spark, sf_dir):
-    """A nation embeds its region, itself, a missing file and the next nation's section; a region embeds its first nation."""
-    n = table(spark, sf_dir, "nation")
-    first = n.groupBy("n_regionkey").agg(F.min_by("n_name", "n_nationkey").alias("f"))
-    nations = n.join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    text = cat("---\na: b\n---\nN ", F.col("n_name"), " <![[", F.col("r_name"), "]]> <![[", F.col("n_name"), ".md]]> <![[none]]>\n## S\nsec ", F.col("n_name"))
-    docs = nations.select(cat(F.col("n_name"), ".md").alias("path"), text.alias("text"))
-    regions = table(spark, sf_dir, "region").join(first, F.col("r_regionkey") == F.col("n_regionkey"))
-    return docs.unionByName(regions.select(cat(F.col("r_name"), ".md").alias("path"), cat("R ", F.col("r_name"), " (![[", F.col("f"), "#s]])").alias("text")))
+    """A customer's note embeds its nation's, itself, a missing file; a nation's embeds a section of its first customer's."""
+    c, n = table(spark, sf_dir, "customer").withColumn("c_name", F.replace("c_name", F.lit("#"), F.lit("-"))), table(spark, sf_dir, "nation")
+    first = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min_by("c_name", "c_custkey").alias("f"))
+    named = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    text = cat("---\na: b\n---\nN ", F.col("c_name"), " <![[", F.col("n_name"), "]]> <![[", F.col("c_name"), ".md]]> <![[none]]>\n## S\nsec ", F.col("c_name"))
+    docs = named.select(cat(F.col("c_name"), ".md").alias("path"), text.alias("text"))
+    return docs.unionByName(n.join(first, "n_nationkey").select(cat(F.col("n_name"), ".md").alias("path"), cat("R ", F.col("n_name"), " (![[", F.col("f"), "#s]])").alias("text")))
 
 
 @query(
-    f"""WITH f AS (SELECT n_regionkey AS k, min_by(n_name, n_nationkey) AS f FROM nation GROUP BY ALL),
-r AS (SELECT r_regionkey, r_name, 'R ' || r_name || ' (' AS a, f FROM region JOIN f ON k = r_regionkey)
-SELECT n_name || '.md' AS path, '---' || chr(10) || 'a: b' || chr(10) || '---' || chr(10) || 'N ' || n_name || ' <' || a || CASE WHEN f = n_name THEN '[cycle: ' || f || '#s]' ELSE '## S' || chr(10) || 'sec ' || f END || ')> <[cycle: ' || n_name || '.md]> <[not found: none]>' || chr(10) || '## S' || chr(10) || 'sec ' || n_name AS text
-FROM nation JOIN r ON n_regionkey = r_regionkey
-UNION ALL SELECT r_name || '.md', a || '## S' || chr(10) || 'sec ' || f || ')' FROM r"""
+    f"""WITH c AS (SELECT c_custkey, c_nationkey, replace(c_name, '#', '-') AS c_name FROM customer),
+f AS (SELECT c_nationkey AS k, min_by(c_name, c_custkey) AS f FROM c GROUP BY ALL),
+r AS (SELECT n_nationkey, n_name, 'R ' || n_name || ' (' AS a, f FROM nation JOIN f ON k = n_nationkey)
+SELECT c_name || '.md' AS path, '---' || chr(10) || 'a: b' || chr(10) || '---' || chr(10) || 'N ' || c_name || ' <' || a || CASE WHEN f = c_name THEN '[cycle: ' || f || '#s]' ELSE '## S' || chr(10) || 'sec ' || f END || ')> <[cycle: ' || c_name || '.md]> <[not found: none]>' || chr(10) || '## S' || chr(10) || 'sec ' || c_name AS text
+FROM c JOIN r ON c_nationkey = n_nationkey
+UNION ALL SELECT n_name || '.md', a || '## S' || chr(10) || 'sec ' || f || ')' FROM r"""
 )
 def L5_expand_embeds(spark, sf_dir):
     return L.expand_embeds(md_links(spark, sf_dir))
@@ -279,9 +279,10 @@ def L5_embeds_by_path(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT n_regionkey AS k, min(n_nationkey) AS f, count(*) AS c FROM nation GROUP BY ALL)
-SELECT n_name || '.md' AS node, 2 AS out_degree, CASE WHEN f = n_nationkey THEN 2 ELSE 1 END AS in_degree, 1 AS broken FROM nation JOIN f ON k = n_regionkey
-UNION ALL SELECT r_name || '.md', 1, c, 0 FROM region JOIN f ON k = r_regionkey"""
+    """WITH d AS (SELECT c_custkey, c_nationkey, replace(c_name, '#', '-') AS c_name FROM customer),
+f AS (SELECT c_nationkey AS k, min(c_custkey) AS f, count(*) AS c FROM d GROUP BY ALL)
+SELECT c_name || '.md' AS node, 2 AS out_degree, CASE WHEN f = c_custkey THEN 2 ELSE 1 END AS in_degree, 1 AS broken FROM d JOIN f ON k = c_nationkey
+UNION ALL SELECT n_name || '.md', 1, c, 0 FROM nation JOIN f ON k = n_nationkey"""
 )
 def L6_link_graph(spark, sf_dir):
     docs = md_links(spark, sf_dir)

@@ -12,6 +12,7 @@ from docmill.operators import paragraphs as P
 from docmill.plans.common import Queries, table
 from docmill.plans.markdown_queries import cat
 from docmill.sources import files as S
+from docmill.storage import delete, materialise, shared_path
 
 query = Queries()
 QUERIES, ORACLES = query.QUERIES, query.ORACLES
@@ -341,6 +342,34 @@ def S3_detect_file_format(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.detect_file_format(content, F.lit("txt")).alias("format"))
 
 
+@query(
+    """WITH b AS (SELECT page_id, page_id // 10 AS bucket, page_id // 10 % 6 AS k, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages WHERE page_id // 10 % 6 < 4),
+f AS (SELECT k, bucket, count(*) AS n, sum(CASE k WHEN 0 THEN strlen(url) + strlen(html) + 4 WHEN 1 THEN length(page_id::VARCHAR) + 5 WHEN 2 THEN length(regexp_replace(html, '[^A-Za-z ]', '', 'g')) + 1 ELSE length(page_id::VARCHAR) + 13 END)::BIGINT AS length FROM b GROUP BY ALL),
+d AS (SELECT *, CASE WHEN k = 0 THEN 'md' WHEN k = 1 AND n > 1 THEN 'csv' ELSE 'txt' END AS detected, CASE WHEN k = 3 THEN 'json' ELSE 'txt' END AS ext FROM f)
+SELECT CASE k WHEN 0 THEN 'notes' WHEN 1 THEN 'tables' WHEN 2 THEN 'plain' ELSE 'records' END AS kind, bucket, length, ext, detected, CASE WHEN detected = 'csv' THEN 'spreadsheet' ELSE 'text' END AS category,
+  ext = detected AS is_match, k <> 3 AS is_supported, k <> 3 AS is_valid, CASE WHEN ext = detected THEN '' ELSE 'mismatch' END AS warning FROM d"""
+)
+def S1_read_corpus(spark, sf_dir):
+    """Ten pages a file: notes and tables named as plain text, plain text, records of JSON, columnar files, which are none of ours, and an ignored folder. Read back, told by content and held against their names."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.floor(F.col("page_id") / 10).alias("bucket"))
+    kinds = ("notes", "tables", "plain", "records", "columns", "node_modules")
+    rows = pages.withColumn("kind", F.get(F.array(*map(F.lit, kinds)), (F.col("bucket") % 6).cast("int")))
+    number = F.col("page_id").cast("string")
+    bare = F.regexp_replace("html", "[^A-Za-z ]", "")
+    value = F.when(F.col("kind") == "notes", cat("# ", F.col("url"), "\n", F.col("html"))).when(F.col("kind") == "tables", cat(number, ",", (F.col("page_id") % 7).cast("string"), ",x")).otherwise(bare)
+    folder = shared_path(spark)
+    written = lambda some, *cs: rows.filter(some).select("kind", "bucket", *cs).repartition("kind", "bucket").write.partitionBy("kind", "bucket").mode("append")
+    written(F.col("kind").isin("notes", "tables", "plain"), value.alias("value")).text(folder)
+    written(F.col("kind") == "records", "page_id").json(folder)
+    written(F.col("kind") == "columns", "page_id").parquet(folder)
+    rows.filter("kind = 'node_modules'").select(bare.alias("value"), "bucket").repartition("bucket").write.partitionBy("bucket").text(f"{folder}/node_modules")
+    files = S.read_corpus(spark, folder, detected=True).withColumn("ext", F.regexp_extract("path", r"\.([^./]+)$", 1))
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]+)/", 1).alias(name)
+    found = materialise(S.validate_files(files.select(part("kind"), part("bucket").cast("bigint").alias("bucket"), "length", "ext", "detected")))
+    delete(spark, folder)
+    return found
+
+
 @query(
     f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'spreadsheet' WHEN 2 THEN 'text' WHEN 3 THEN 'document' ELSE 'unknown' END AS category, doc_id % 5 IN (0, 1) AS is_match, doc_id % 5 <> 4 AS is_supported, doc_id % 5 <> 4 AND n_chars >= 300 AS is_valid,
   CASE WHEN n_chars < 300 THEN 'empty' WHEN doc_id % 5 IN (3, 4) THEN 'unverifiable' WHEN doc_id % 5 = 2 THEN 'mismatch' ELSE '' END AS warning FROM documents"""
@@ -392,7 +421,7 @@ def S9_render_markdown_table(spark, sf_dir):
 
 @query(
     """WITH n AS (SELECT p_partkey, p_brand || '_s_20240101_000000' AS s, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part)
-SELECT p_partkey, s || CASE WHEN i > 0 THEN '_' || lpad(i::VARCHAR, 3, '0') ELSE '' END AS name FROM n"""
+SELECT p_partkey, s || CASE WHEN i > 0 THEN '_' || lpad(i::VARCHAR, greatest(3, length(i::VARCHAR))::INTEGER, '0') ELSE '' END AS name FROM n"""
 )
 def S10_output_names(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", cat(F.col("p_brand"), "_20200101_121212_old").alias("stem"))

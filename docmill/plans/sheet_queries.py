@@ -173,16 +173,21 @@ def C9_similar_line_with_blanks(spark, sf_dir):
     return C.most_similar_line(parts.filter("line % 2 = 1"), parts.filter("line % 2 = 0"), ["p_brand"])
 
 
+def sheets_of_customers(spark, sf_dir):
+    """Forty customers a sheet, so that sheets grow in number."""
+    return table(spark, sf_dir, "customer").withColumn("sheet", F.floor(F.col("c_custkey") / 40))
+
+
 @query(
-    """WITH o AS (SELECT c_nationkey, c_custkey, c_name, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS line FROM customer)
-SELECT c_nationkey, line, [c_name, c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE '' END] AS cells FROM o"""
+    """WITH o AS (SELECT c_custkey // 40 AS sheet, c_custkey, c_name, c_mktsegment, row_number() OVER (PARTITION BY c_custkey // 40 ORDER BY c_custkey) AS line FROM customer)
+SELECT sheet, line, [c_name, c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE '' END] AS cells FROM o"""
 )
 def C10_merge_by_row(spark, sf_dir):
     """Even customers' collected rows cover their base rows; odd ones' are covered."""
-    rows = table(spark, sf_dir, "customer").withColumn("line", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("bigint"))
-    base = rows.select("c_nationkey", "line", F.array("c_name", "c_mktsegment", F.lit("")).alias("cells"))
+    rows = sheets_of_customers(spark, sf_dir).withColumn("line", F.row_number().over(Window.partitionBy("sheet").orderBy("c_custkey")).cast("bigint"))
+    base = rows.select("sheet", "line", F.array("c_name", "c_mktsegment", F.lit("")).alias("cells"))
     more = F.when(F.col("c_custkey") % 2 == 0, F.array("c_name", "c_mktsegment", F.lit("x"))).otherwise(F.array("c_name", F.lit(""), F.lit("")))
-    return C.merge_by_row(base, rows.select("c_nationkey", "line", more.alias("cells")), ["c_nationkey"])
+    return C.merge_by_row(base, rows.select("sheet", "line", more.alias("cells")), ["sheet"])
 
 
 @query(
@@ -230,27 +235,27 @@ def C12_fill_cells(spark, sf_dir):
 
 
 @query(
-    """WITH v AS (SELECT c_nationkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS value_no FROM customer)
-SELECT c_nationkey, 'name' AS key, CASE WHEN value_no <= 2 THEN value_no + 1 ELSE value_no + 3 END AS row, 2 AS col, value_no, c_name AS value FROM v"""
+    """WITH v AS (SELECT c_custkey // 40 AS sheet, c_name, row_number() OVER (PARTITION BY c_custkey // 40 ORDER BY c_custkey) AS value_no FROM customer)
+SELECT sheet, 'name' AS key, CASE WHEN value_no <= 2 THEN value_no + 1 ELSE value_no + 3 END AS row, 2 AS col, value_no, c_name AS value FROM v"""
 )
 def C13_fill_columns(spark, sf_dir):
     """A merged range covers rows 3 to 5 of the column: its first cell takes the second value, the next two none."""
-    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.lit("name").alias("key"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("value_no"), F.col("c_name").alias("value"))
+    rows = sheets_of_customers(spark, sf_dir).select("sheet", F.lit("name").alias("key"), F.row_number().over(Window.partitionBy("sheet").orderBy("c_custkey")).alias("value_no"), F.col("c_name").alias("value"))
     slots = spark.createDataFrame([("name", 2, 2)], "key string, row int, col int")
     merged = spark.createDataFrame([(3, 2, 5, 3)], "min_row int, min_col int, max_row int, max_col int")
-    return C.fill_down(slots, rows, merged, ["c_nationkey"])
+    return C.fill_down(slots, rows, merged, ["sheet"])
 
 
 @query(
-    """WITH c AS (SELECT c_nationkey, 'name' AS key, c_name AS value, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS value_no FROM customer)
-SELECT c_nationkey, key, 2 AS row, 1 + value_no + CASE WHEN value_no > 2 THEN 1 ELSE 0 END AS col, value_no, value, value_no <> 4 AS written FROM c"""
+    """WITH c AS (SELECT c_custkey // 40 AS sheet, 'name' AS key, c_name AS value, row_number() OVER (PARTITION BY c_custkey // 40 ORDER BY c_custkey) AS value_no FROM customer)
+SELECT sheet, key, 2 AS row, 1 + value_no + CASE WHEN value_no > 2 THEN 1 ELSE 0 END AS col, value_no, value, value_no <> 4 AS written FROM c"""
 )
 def C13_fill_rows(spark, sf_dir):
     """To the right from column 2: a merged range covers columns 3 and 4, and column 6, the fourth value's, is protected."""
-    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.lit("name").alias("key"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("value_no"), F.col("c_name").alias("value"))
+    rows = sheets_of_customers(spark, sf_dir).select("sheet", F.lit("name").alias("key"), F.row_number().over(Window.partitionBy("sheet").orderBy("c_custkey")).alias("value_no"), F.col("c_name").alias("value"))
     slots = spark.createDataFrame([("name", 2, 2)], "key string, row int, col int")
     merged = spark.createDataFrame([(2, 3, 3, 4)], "min_row int, min_col int, max_row int, max_col int")
-    return C.fill_right(slots, rows, merged, ["c_nationkey"], spark.createDataFrame([(2, 6), (9, 9)], "row int, col int"))
+    return C.fill_right(slots, rows, merged, ["sheet"], spark.createDataFrame([(2, 6), (9, 9)], "row int, col int"))
 
 
 @query(

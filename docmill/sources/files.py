@@ -9,12 +9,13 @@ import zipfile
 
 import pandas as pd
 import yaml
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions.text import bound, strip
 from docmill.operators.batches import category_of
+from docmill.operators.ranks import ranked
 
 IGNORED = (".git", ".svn", "node_modules", "__pycache__", ".venv", "venv", ".idea", ".vscode")
 MAGIC = (
@@ -24,12 +25,24 @@ MAGIC = (
 SAME = {"jpg": "jpeg", "tif": "tiff", "heif": "heic", "markdown": "md"}
 
 
-def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, length, modificationTime, content`` of supported files below a folder, ignored folders left out. A caller who needs the order sorts by ``lower(path)``."""
+def read_corpus(spark: SparkSession, folder: str, detected: bool = False) -> DataFrame:
+    """``path, length, modificationTime, content`` of supported files below a folder, ignored folders left out. A caller who needs the order sorts by ``lower(path)``.
+
+    Supported is told by the extension, or with ``detected`` by :func:`detect_format`, whose result is then a column ``detected``:
+    a file of another name than its content counts by its content. No shuffle; a file is one row. The binary source leaves out files of no bytes.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    ignored = "/(" + "|".join(n.replace(".", r"\.") for n in IGNORED) + ")/"
+    # Only folders below the given one count, which may lie anywhere.
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    top = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().getPath().rstrip("/")
+    local = F.regexp_replace("path", r"^[\w+.\-]+:(?://[^/]*)?", "")
+    below = F.when(local.startswith(top + "/"), F.substring(local, len(top) + 1, 1 << 30)).otherwise(local)
+    ignored = "/(?:" + "|".join(n.replace(".", r"\.") for n in IGNORED) + ")/"
+    files = files.filter(~below.rlike(ignored))
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return files.filter(~F.col("path").rlike(ignored) & (category_of(ext) != "unknown"))
+    if not detected:
+        return files.filter(category_of(ext) != "unknown")
+    return files.withColumn("detected", detect_format(F.col("content"), ext)).filter(category_of(F.col("detected")) != "unknown")
 
 
 def magic_format(content: Column) -> Column:
@@ -295,5 +308,4 @@ def output_names(files: DataFrame, keys: list[str], stem: Column, section: Colum
     bare = F.regexp_replace(stem, r"_\d{8}_\d{6}.*$", "")
     filled = lambda x: F.when(F.coalesce(x, F.lit("")) != "", x)
     rows = files.withColumn("name", F.concat_ws("_", bare, filled(section), filled(stamp), filled(description)))
-    n = F.row_number().over(Window.partitionBy("name").orderBy(*keys)) - 1
-    return rows.withColumn("_n", n).withColumn("name", F.when(F.col("_n") > 0, F.concat("name", F.lit("_"), F.lpad(F.col("_n").cast("string"), 3, "0"))).otherwise(F.col("name"))).drop("_n")
+    return ranked(rows, ["name"], keys, "_at").withColumn("_n", F.col("_at") - 1).withColumn("name", F.when(F.col("_n") > 0, F.concat("name", F.lit("_"), F.lpad(F.col("_n").cast("string"), F.greatest(F.lit(3), F.length(F.col("_n").cast("string"))), F.lit("0")))).otherwise(F.col("name"))).drop("_n", "_at")

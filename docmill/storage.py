@@ -20,9 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_dir(spark)}/docmill-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back; survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/docmill-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._docmill_path = path
@@ -32,8 +37,11 @@ def materialise(df: DataFrame) -> DataFrame:
 def release(df: DataFrame) -> None:
     """Delete the files behind a materialised frame that no later plan reads."""
     path = getattr(df, "_docmill_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
+    if path is not None:
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`shared_path` named."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
