@@ -273,21 +273,21 @@ def list_counters(items: DataFrame, keys: list[str], order: str = "seq") -> Data
     return rows.select(*items.columns, F.when(F.col("level").isNotNull(), count).alias("counter"))
 
 
-BLOCKS = "seq int, type string, level int, text string, language string, attached boolean"
+BLOCKS = "seq int, type string, level int, text string, language string, attached boolean, list_level int"
 # Signs at the end of a heading that let the line below join it; after those of ASCII a blank comes between.
 END_MARKS = "。，；：！？、—～….,;:!?–-．؟؛،۔·¿¡։՞՜။၊።፣፧།༎ฯ។៕"
 BLANK_AFTER = ".,;:!?"
 
 
 def _blocks(body: str | None) -> list[tuple]:
-    """``seq, type, level, text, language, attached`` of one body, by a scan over its lines."""
+    """``seq, type, level, text, language, attached, list_level`` of one body, by a scan over its lines."""
     lines = re.sub(r"\r\n?", "\n", body or "").split("\n")
     out: list[tuple] = []
     indents: list[int] = []  # of the open list's levels
     i = 0
 
-    def put(kind: str, level: int | None, text: str, language: str = "") -> None:
-        out.append((len(out), kind, level, text, language, attached))
+    def put(kind: str, level: int | None, text: str, language: str = "", under: int | None = None) -> None:
+        out.append((len(out), kind, level, text, language, attached, under))
 
     while i < len(lines):
         line = lines[i]
@@ -298,10 +298,9 @@ def _blocks(body: str | None) -> list[tuple]:
         fence = re.match(r"^([ \t]*)(`{3,}|~{3,})\s*([^`\s]*)", line)
         item = re.match(r"^([ \t]*)([-*+]|\d+[.)])\s+(.*)$", line)
         rule = re.match(r"^\s{0,3}(?:(?:-\s*){3,}|(?:\*\s*){3,}|(?:_\s*){3,})$", line)
-        if not item or rule:
-            indented = line[:1] in " \t" and indents and not fence
-            if not indented:
-                indents = []
+        # Code doesn't end a list; what else isn't indented does.
+        if (not item or rule) and not fence and line[:1] not in " \t":
+            indents = []
         if fence:
             inside, cut = [], len(fence[1].expandtabs(4))
             while i < len(lines) and not re.match(rf"^[ \t]*{re.escape(fence[2][0])}{{{len(fence[2])},}}\s*$", lines[i]):
@@ -309,7 +308,8 @@ def _blocks(body: str | None) -> list[tuple]:
                 inside.append(text[min(cut, len(text) - len(text.lstrip())) :])
                 i += 1
             i += 1
-            put("code", None, "\n".join(inside), fence[3])
+            around = sum(width <= cut for width in indents) if fence[1] else 0
+            put("code", None, "\n".join(inside), fence[3], around or None)
         elif m := re.match(r"^(#{1,9})\s+(.*)$", line):
             put("heading", len(m[1]), m[2].strip())
         elif rule:
@@ -337,8 +337,8 @@ def _blocks(body: str | None) -> list[tuple]:
                 indents.append(width)
             put("ordered" if item[2][0].isdigit() else "bullet", len(indents), item[3].strip())
         elif indents and out and out[-1][1] in ("ordered", "bullet"):
-            n, kind, level, text, _, under = out.pop()
-            out.append((n, kind, level, f"{text}\n{line.strip()}", "", under))
+            n, kind, level, text, _, above, _ = out.pop()
+            out.append((n, kind, level, f"{text}\n{line.strip()}", "", above, None))
         elif i < len(lines) and re.match(r"^(=+|-+)\s*$", lines[i]):
             put("heading", 1 if lines[i][0] == "=" else 2, line.strip())
             i += 1
@@ -348,9 +348,10 @@ def _blocks(body: str | None) -> list[tuple]:
 
 
 def segment_blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The other columns and ``seq, type, level, text, language, attached`` of every block: headings (both forms), fenced code, rules, formulas, tables, quotes, list items with relative levels and their continuations, paragraphs.
+    """The other columns and ``seq, type, level, text, language, attached, list_level, has_formula, in_list_context`` of every block: headings (both forms), fenced code, rules, formulas, tables, quotes, list items with relative levels and their continuations, paragraphs.
 
-    ``attached`` is whether no blank line is above; an attached rule belongs to the block before.
+    ``attached`` is whether no blank line is above; an attached rule belongs to the block before. Indented code within a list is
+    ``in_list_context`` and has the ``list_level`` of the item whose indent it reaches. ``has_formula`` is told of formulas, paragraphs, quotes and items.
     What a line is depends on the lines before it, so a document is scanned in one go; no shuffle.
     """
     others = [c for c in docs.columns if c != text_col]
@@ -360,10 +361,11 @@ def segment_blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def scan(batches):
         for pdf in batches:
             parts = [(*key, *b) for *key, text in pdf[[*others, "_text"]].itertuples(index=False, name=None) for b in _blocks(text)]
-            out = pd.DataFrame(parts, columns=[*others, "seq", "type", "level", "text", "language", "attached"])
-            yield out.astype({"level": "Int32"})
+            out = pd.DataFrame(parts, columns=[*others, "seq", "type", "level", "text", "language", "attached", "list_level"])
+            yield out.astype({"level": "Int32", "list_level": "Int32"})
 
-    return rows.mapInPandas(scan, schema)
+    formula = (F.col("type") == "formula") | (F.col("type").isin("paragraph", "quote", "bullet", "ordered") & F.col("text").rlike(FORMULA))
+    return rows.mapInPandas(scan, schema).withColumn("has_formula", formula).withColumn("in_list_context", F.col("list_level").isNotNull())
 
 
 def merge_heading_content(blocks: DataFrame, keys: list[str]) -> DataFrame:

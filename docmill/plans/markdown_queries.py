@@ -64,7 +64,7 @@ KINDS = ("heading", "heading", "heading", "code", "hr", "formula", "table", "quo
 SELECT p_brand, (2 * i + j)::INTEGER AS seq, CASE WHEN j = 1 THEN 'paragraph' ELSE {list(KINDS)}[k + 1] END AS type,
   CASE WHEN j = 1 THEN -1 WHEN k = 0 THEN 3 WHEN k = 1 THEN 1 WHEN k = 2 THEN 2 WHEN k = 7 THEN 2 WHEN k IN (8, 9, 11) THEN 1 ELSE -1 END AS level,
   CASE WHEN j = 1 THEN 'end' WHEN k = 3 THEN '# ' || n || chr(10) || '  x' WHEN k = 4 THEN '*' WHEN k = 5 THEN n || chr(10) || '= 1' WHEN k = 6 THEN '| ' || n || ' |' || chr(10) || '|---|' || chr(10) || '| 1 |' WHEN k = 11 THEN n || chr(10) || 'more' ELSE n END AS text,
-  CASE WHEN j = 0 AND k = 3 THEN 'sql' ELSE '' END AS language FROM p, (VALUES (0), (1)) AS t(j)"""
+  CASE WHEN j = 0 AND k = 3 THEN 'sql' ELSE '' END AS language, -1 AS list_level, j = 0 AND k = 5 AS has_formula, false AS in_list_context FROM p, (VALUES (0), (1)) AS t(j)"""
 )
 def M2_segment_blocks(spark, sf_dir):
     """A document for each brand, a block for each part by its number, and a paragraph after each."""
@@ -73,7 +73,22 @@ def M2_segment_blocks(spark, sf_dir):
     line = F.element_at(F.array(*lines), (k + 1).cast("int"))
     docs = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", cat(line, "\n\nend\n").alias("l")))).alias("ls"))
     found = M.segment_blocks(docs.select("p_brand", F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias("text")))
-    return found.withColumn("level", F.coalesce("level", F.lit(-1))).drop("attached")
+    return found.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("level", "list_level")}).drop("attached")
+
+
+@query(
+    """SELECT o_orderkey, seq, type, coalesce(level, -1) AS level, text, list_level, has_formula, list_level > 0 AS in_list_context FROM (SELECT o_orderkey, unnest([0, 1, 2, 3, 4, 5]) AS seq, unnest(['bullet', 'bullet', 'code', 'code', 'bullet', 'quote']) AS type,
+  unnest([1, 2, NULL, NULL, 2, 1]) AS level, unnest([o_orderpriority, CASE WHEN o_orderkey % 2 = 0 THEN '$x$' ELSE 'cost $5' END, o_orderstatus, 'y', 'last', 'q $$z$$ ' || o_orderstatus]) AS text,
+  unnest([-1, -1, CASE o_orderkey % 3 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 2 END, -1, -1, -1]) AS list_level, unnest([false, o_orderkey % 2 = 0, false, false, false, true]) AS has_formula FROM orders)"""
+)
+def M2_list_context(spark, sf_dir):
+    """A document for each order: code without indent, below an item, or below an item of the second level; code doesn't end the list; formulas in items and quotes."""
+    k = F.col("o_orderkey")
+    indent = F.when(k % 3 == 0, "").when(k % 3 == 1, "  ").otherwise("    ")
+    formula = F.when(k % 2 == 0, "$x$").otherwise("cost $5")
+    text = cat("- ", F.col("o_orderpriority"), "\n    - ", formula, "\n", indent, "```\n", indent, F.col("o_orderstatus"), "\n", indent, "```\n\n```\ny\n```\n    - last\n> q $$z$$ ", F.col("o_orderstatus"))
+    found = M.segment_blocks(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")))
+    return found.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("level", "list_level")}).drop("attached", "language")
 
 
 @query(

@@ -123,6 +123,33 @@ def U1_field_registry(spark, sf_dir):
     return registry.apply(rows, "zh_CN")
 
 
+@query(
+    """SELECT o_orderkey, para, n, text FROM (SELECT o_orderkey, 1 AS para, 0 AS n, 'To ' || o_orderpriority AS text FROM orders
+UNION ALL SELECT o_orderkey, 2, l_linenumber - 1, l_linenumber || '. ' || l_quantity::BIGINT FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+UNION ALL SELECT o_orderkey, 3, 0, 'End {{stamp}}' FROM orders)"""
+)
+def U1_special_handlers(spark, sf_dir):
+    """A letter for each order: one handler writes a paragraph for each of its lines; one of another locale does nothing, and one that Spark refuses is left out."""
+    registry = G.FieldRegistry()
+    registry.register("letters", lambda d: d, special=("items", "bad"))
+    registry.register("stamps", lambda d: d, special=("stamp",), locales=("en_US",))
+
+    def items(template, records):
+        rest, own = template.filter("text <> '{{items}}'"), template.filter("text = '{{items}}'").drop("text", "n")
+        lines = records.select("o_orderkey", F.explode("items").alias("i"))
+        return rest.unionByName(own.join(lines, "o_orderkey").select("o_orderkey", "para", (F.col("i.no") - 1).alias("n"), cat(F.col("i.no").cast("string"), ". ", F.col("i.amount").cast("string")).alias("text")))
+
+    registry.register_handler("items", items)
+    registry.register_handler("stamp", lambda t, r: t.withColumn("text", F.replace("text", F.lit("{{stamp}}"), F.lit("!"))))
+    registry.register_handler("bad", lambda t, r: t.select("nothing"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    item = F.struct(F.col("l_linenumber").cast("int").alias("no"), F.col("l_quantity").cast("bigint").alias("amount"))
+    records = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(item).alias("items"))
+    texts = F.array(cat("To ", F.col("o_orderpriority")), F.lit("{{items}}"), F.lit("End {{stamp}}"))
+    letter = orders.select("o_orderkey", F.posexplode(texts).alias("p", "text")).select("o_orderkey", (F.col("p") + 1).alias("para"), F.lit(0).alias("n"), "text")
+    return registry.fill_special(letter, records, "zh_CN")[0]
+
+
 def invoice_texts(spark, sf_dir):
     """An invoice for each order; every 7th has digits read as letters, every 11th a wrong total, every 13th no number."""
     o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))

@@ -97,6 +97,15 @@ def test_blocks_and_numbers_of_odd_documents(spark):
     assert [r["heading"] for r in rows] == [None, "# 一、x", "## （一）y", None]
 
 
+def test_code_within_lists_and_formulas(spark):
+    text = "- a\n  - b $x$\n    ```\n    c\n    ```\n   ~~~\n   d\n   ~~~\n```\ne\n```\n  - f\n\nplain \\$5 and $6\n    ```\n    g\n    ```\n# $h$\n> $$i$$"
+    rows = markdown.segment_blocks(spark.createDataFrame([(1, text)], "k int, text string")).orderBy("seq").collect()
+    assert [(r.type, r.level, r.list_level, r.in_list_context, r.has_formula) for r in rows] == [
+        ("bullet", 1, None, False, False), ("bullet", 2, None, False, True), ("code", None, 2, True, False), ("code", None, 2, True, False), ("code", None, None, False, False),
+        ("bullet", 2, None, False, False), ("paragraph", None, None, False, False), ("code", None, None, False, False), ("heading", 1, None, False, False), ("quote", 1, None, False, True),
+    ]
+
+
 def test_embeds_of_files_and_in_tables(spark):
     docs = [
         ("a/x.md", "![[y#^b]] ![t](../q.md) ![[z.pdf]] ![p](data:image/png;base64,AA) ![[n\nm]] ![[]]\n|---|\n> | ![[y#^b]] | ![[none]] |"),
