@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -338,46 +340,84 @@ def _grid_merge(base: list[list[str]], collect: list[list[str]]) -> list[list[st
     return grid
 
 
+#: Rows that a task of :func:`_by_group` gathers before it passes them on.
+OUT_ROWS = 20_000
+
+
+def _by_group(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[list[tuple]], list[tuple]], made: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """``keys`` and the columns ``made`` (name: SQL and Arrow type) of ``work(rows of a group, in order)``, for many groups in one Python call.
+
+    One exchange by key; a group is in memory as a whole, others aren't. Null keys are a group.
+    """
+    told = [c for c in rows.columns if c not in keys]
+    near = rows.repartition(*keys).withColumn("_key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})).sortWithinPartitions("_key", *order)
+
+    def run(batches):
+        heads, sizes, out = [], [], []
+
+        def passed():
+            table = pa.Table.from_batches(heads).take(np.repeat(np.arange(len(heads)), sizes))
+            for i, (name, (_, kind)) in enumerate(made.items()):
+                table = table.append_column(name, pa.array([r[i] for r in out], kind))
+            yield from table.combine_chunks().to_batches()
+
+        def closed():
+            if held:
+                found = work(held)
+                heads.append(head)
+                sizes.append(len(found))
+                out.extend(found)
+
+        now, head, held = None, None, []
+        for batch in batches:
+            values = [batch.column(c).to_pylist() for c in told]
+            for i, key in enumerate(batch.column("_key").to_pylist()):
+                if key != now:
+                    closed()
+                    if len(out) >= OUT_ROWS:
+                        yield from passed()
+                        heads, sizes, out = [], [], []
+                    now, head, held = key, batch.select(keys).slice(i, 1), []
+                held.append(tuple(v[i] for v in values))
+        closed()
+        if out:
+            yield from passed()
+
+    return near.mapInArrow(run, ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), *(f"{n} {t}" for n, (t, _) in made.items())]))
+
+
 def merge_by_row(base: DataFrame, collect: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, line, cells``: base lines with the collected lines merged in, in their order; a covering line replaces, a covered one is dropped, others go below the most similar line.
 
     Every step depends on the one before, so a merge group is one task's work:
     groups should stay small, :func:`merge_by_cell` has no such bound.
     """
-    kinds = {k: base.schema[k].dataType.simpleString() for k in keys}
     rows = base.select(*keys, F.lit(0).alias("_side"), "line", "cells").unionByName(collect.select(*keys, F.lit(1).alias("_side"), "line", "cells"))
 
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_side", "line"], kind="stable")
-        sides = [[["" if v is None else str(v) for v in r] for r in pdf.loc[pdf["_side"] == s, "cells"]] for s in (0, 1)]
-        grid = _grid_merge(*sides)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(grid) for k in keys}, "line": range(1, len(grid) + 1), "cells": grid})
+    def merged(lines: list[tuple]) -> list[tuple]:
+        sides = [[["" if v is None else str(v) for v in cells or ()] for side, _, cells in lines if side == s] for s in (0, 1)]
+        return list(enumerate(_grid_merge(*sides), 1))
 
-    return rows.groupBy(*keys).applyInPandas(merged, ", ".join([*(f"`{k}` {t}" for k, t in kinds.items()), "line bigint, cells array<string>"]))
+    return _by_group(rows, keys, ["_side", "line"], merged, {"line": ("bigint", pa.int64()), "cells": ("array<string>", pa.list_(pa.string()))})
 
 
 def merge_by_column(base: DataFrame, collect: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, row, col, value`` of the non-blank cells: as :func:`merge_by_row` for columns of cells ``(keys, row, col, value)``, rows and columns from 1.
 
-    A collected column goes to the right of the most similar one, which moves later columns.
+    A collected column goes to the right of the most similar one, which moves later columns. Where a place has two values, the largest counts.
     """
-    kinds = {k: base.schema[k].dataType.simpleString() for k in keys}
     cell = [F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("value").cast("string").alias("value")]
     rows = base.select(*keys, F.lit(0).alias("_side"), *cell).unionByName(collect.select(*keys, F.lit(1).alias("_side"), *cell))
 
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merged(cells: list[tuple]) -> list[tuple]:
         sides: tuple[dict, dict] = ({}, {})
-        for side, row, col, value in zip(*(pdf[c].tolist() for c in ("_side", "row", "col", "value")), strict=True):
+        for side, row, col, value in cells:
             sides[side][col, row] = value or ""
         size = [(max((c for c, _ in s), default=0), max((r for _, r in s), default=0)) for s in sides]
         grid = _grid_merge(*([[s.get((c, r), "") for r in range(1, rows + 1)] for c in range(1, columns + 1)] for s, (columns, rows) in zip(sides, size, strict=True)))
-        found = [(r, c, v) for c, line in enumerate(grid, 1) for r, v in enumerate(line, 1) if v.strip()]
-        # Of no rows the types can't be told.
-        kinds = {"row": "int32", "col": "int32", "value": object}
-        made = {n: pd.Series([x[i] for x in found], dtype=t) for i, (n, t) in enumerate(kinds.items())}
-        return pd.DataFrame({**{k: pd.Series([pdf[k].iloc[0]] * len(found), dtype=pdf[k].dtype if pdf[k].dtype.kind in "iufb" else object) for k in keys}, **made})
+        return [(r, c, v) for c, line in enumerate(grid, 1) for r, v in enumerate(line, 1) if v.strip()]
 
-    return rows.groupBy(*keys).applyInPandas(merged, ", ".join([*(f"`{k}` {t}" for k, t in kinds.items()), "row int, col int, value string"]))
+    return _by_group(rows, keys, ["_side", "row", "col", "value"], merged, {"row": ("int", pa.int32()), "col": ("int", pa.int32()), "value": ("string", pa.string())})
 
 
 PLACEHOLDER = r"\{\{\s*([↓→]?)\s*([^{}]+?)\s*\}\}"

@@ -83,3 +83,24 @@ def test_corpus_by_content(spark, tmp_path):
     assert {r[0] for r in read_corpus(spark, str(root)).select(name).collect()} == {"a.md", "c.txt", "e.pdf"}
     found = dict(read_corpus(spark, str(root), detected=True).select(name, "detected").collect())
     assert found["a.md"] == found["b.bin"] == "md" and found["d.xyz"] == "xlsx" and "f.md" not in found
+
+
+def test_merge_of_many_groups(spark):
+    """Groups of any key and size, more than a task passes on at once, equal the plain merge of each."""
+    from docmill.operators import sheets
+
+    rnd = random.Random(3)
+    keys = [None, 2**60 + 1, *range(700)]
+    line = lambda: [rnd.choice(["", " ", "a", "1", "1.0", "b"]) for _ in range(rnd.randrange(4))]
+    groups = {k: ([line() for _ in range(rnd.randrange(6))], [line() for _ in range(rnd.randrange(6))]) for k in keys}
+    side = lambda s: spark.createDataFrame([(k, n, cells) for k, g in groups.items() for n, cells in enumerate(g[s])], "k long, line long, cells array<string>")
+    before, sheets.OUT_ROWS = sheets.OUT_ROWS, 50
+    try:
+        got = {}
+        for r in sheets.merge_by_row(side(0), side(1), ["k"]).orderBy("line").collect():
+            got.setdefault(r["k"], []).append(r["cells"])
+    finally:
+        sheets.OUT_ROWS = before
+    assert got == {k: merged for k, g in groups.items() if (merged := sheets._grid_merge(*g))}
+    none = spark.createDataFrame([], "k long, line long, cells array<string>")
+    assert sheets.merge_by_row(none, none, ["k"]).collect() == []
