@@ -145,7 +145,7 @@ def fold(node):
 
 
 #: A string literal of a tag.
-_QUOTED = r"""'[^']*'|"[^"]*\""""
+_QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
 
 
 class Parser:

@@ -50,8 +50,8 @@ def by_sampled_splitters(records: DataFrame, key: str, size: str, tie: Column, s
     # Size-weighted: a record is drawn with a chance in proportion to its size.
     drawn = records.crossJoin(F.broadcast(whole)).filter(unit_hash(F.col(key), tie) * F.col("_total") < F.lit(float(max(SAMPLE, SAMPLE_PER_RANGE * ranges))) * F.col(size))
     cuts = [i / ranges for i in range(1, ranges)]
-    # One row of at most ``ranges`` - 1 keys.
-    splitters = drawn.agg(F.percentile_approx(F.col(key), cuts, 10_000).alias("_cuts"))
+    # One row of at most ``ranges`` - 1 keys; the summary tells quantiles apart that are a quarter of a range from each other.
+    splitters = drawn.agg(F.percentile_approx(F.col(key), cuts, max(10_000, 4 * ranges)).alias("_cuts"))
     splitters = splitters.select(F.coalesce(F.array_distinct("_cuts"), F.array().cast(splitters.schema["_cuts"].dataType)).alias("_cuts"))
     ranged = range_of(F.col(key), "_cuts", ranges, records.crossJoin(F.broadcast(splitters))).select(*kept, "_range", F.xxhash64(F.col(key), tie).alias("_tie"))
 
