@@ -162,7 +162,7 @@ def test_chat_round_trip(spark):
 
 
 def test_template_compiler_folds_and_refuses():
-    assert chat.compiled(r"{{ 'a\'}}' }}{{ \"b\\\"}}\" ~ 'c' }}")({}) == ("a'}}b\"}}c", [])
+    assert chat.compiled(r'''{{ 'a\'}}' }}{{ "b\"}}" ~ 'c' }}''')({}) == ("a'}}b\"}}c", [])
     body = chat.Parser("a{{ 'b' ~ 'c' | upper }}{% if 1 == 2 %}x{% elif true %}y{% endif %}{{ role }}", chat.NAMES).parse()
     assert body[0] == chat.Output(chat.Const("abC"))
     assert chat.compiled("{% if not first and index > 1 %}{{ '-' ~ role }}{% else %}{% generation %}{{ text | escape }}{% endgeneration %}{% endif %}")({"role": "r", "text": "<|", "index": 0, "first": True}) == ("<\\|", [(0, 3)])
