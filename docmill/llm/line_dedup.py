@@ -19,11 +19,13 @@ Only built-in expressions are used.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.simhash import components
-from docmill.llm.text import free_name, possibly_in
+from docmill.llm.text import BLANKS, free_name, possibly_in
 from docmill.storage import materialise, release
 
 #: Edits that near-duplicate lines may differ by at most, and the characters of the shorter one that each edit needs.
@@ -46,7 +48,8 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, row_no, line_no, line``: every line with a word, and for every row without one a row with null ``line``."""
     rows = docs.select(docs[id_col].alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     lines = rows.select("doc_id", "row_no", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    worded = F.col("line").rlike(r"[^\x20\x09-\x0D]")
+    # Trimmed as bytes: a pattern would have every line made a string of the JVM first.
+    worded = F.btrim("line", F.lit(BLANKS)) != ""
     return lines.filter(worded | (F.col("line_no") == 0)).withColumn("line", F.when(worded, F.col("line")))
 
 
@@ -237,8 +240,11 @@ def texts_of(found: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame
     return out
 
 
-def candidate_pairs(found: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """``a, b`` (a > b) of lines that share a key and, where many do, have near signatures; written to the shared folder."""
+def candidate_pairs(found: DataFrame, lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``a, b`` (a > b) of lines that share a key and, where many do, have near signatures, and ``no, line`` and ``no, sign`` of all these lines; written to the shared folder.
+
+    Pairs of keys that few lines have need no texts, so that those of all lines are read in one pass, for pairs and signatures.
+    """
     index, probe = _entries(lines, "own"), _entries(lines, "near")
     counts = index.groupBy(_slot(F.col("key")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     mean = F.broadcast(counts.agg((F.sum("n") / SLOTS).alias("mean")))
@@ -256,12 +262,13 @@ def candidate_pairs(found: DataFrame, lines: DataFrame, edits: int) -> DataFrame
         same = meet(i, i, (F.col("no") > F.col("no_b")) & near)
         return same.unionByName(meet(p, i, (F.col("no") != F.col("no_b")) & near))
 
-    plain = both(split(index, "left_anti"), split(probe, "left_anti"), F.lit(True))
+    plain = materialise(both(split(index, "left_anti"), split(probe, "left_anti"), F.lit(True)).distinct())
     hot_index, hot_probe = split(index, "left_semi"), split(probe, "left_semi")
     # A probe matters only where an index entry shares its key, but whoever shares a slot may be signed as well.
-    texts = texts_of(found, lines, hot_index.select("no").unionByName(hot_probe.select("no")))
-    signed = materialise(texts.select(F.col("no").alias("of"), signature(F.col("line")).alias("sign")))
-    release(texts)
+    wanted = [hot_index.select("no"), hot_probe.select("no"), plain.select(F.col("a").alias("no")), plain.select(F.col("b").alias("no"))]
+    texts = texts_of(found, lines, reduce(DataFrame.unionByName, wanted))
+    signs = materialise(texts.select("no", signature(F.col("line")).alias("sign")))
+    signed = signs.withColumnRenamed("no", "of")
 
     def with_sign(entries: DataFrame) -> DataFrame:
         return entries.join(signed, F.col("no") == F.col("of")).select("no", "key", "sign")
@@ -269,15 +276,13 @@ def candidate_pairs(found: DataFrame, lines: DataFrame, edits: int) -> DataFrame
     crowd = both(with_sign(hot_index), with_sign(hot_probe), _near(F.col("sign"), F.col("sign_b"), edits))
     pairs = materialise(plain.unionByName(crowd).distinct())
     release(crowded)
-    release(signed)
-    return pairs
+    release(plain)
+    return pairs, texts, signs
 
 
 def line_links(found: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """``a, b`` (a > b): numbers of distinct lines within the edits that the shorter one allows."""
-    pairs = candidate_pairs(found, lines, edits)
-    texts = texts_of(found, lines, pairs.select(F.col("a").alias("no")).unionByName(pairs.select(F.col("b").alias("no"))))
-    signs = materialise(texts.select("no", signature(F.col("line")).alias("sign")))
+    pairs, texts, signs = candidate_pairs(found, lines, edits)
     met = pairs
     for side in "ab":
         met = met.join(signs.withColumnsRenamed({c: f"{c}_{side}" for c in signs.columns}), F.col(side) == F.col(f"no_{side}"))
