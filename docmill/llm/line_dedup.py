@@ -9,10 +9,14 @@ automaton: one bit for each diagonal of the band, one word for each number of
 edits. Classes are connected components of verified links.
 
 Lines travel as two 64-bit digests and their segment keys; texts are fetched
-only for lines that met another one. Keys that many lines share are joined
-apart: there a signature (the parity of each line's hashed letter pairs, of which an
-edit changes at most four) is part of the join's condition, so that lines of
-one template don't leave the join pair by pair.
+only for lines that met another one. A key that many lines share (lines of one
+template) is refined instead of joined: the equal segment is cut out, what is left
+of the lines is cut into segments again, and the next equal segment becomes
+part of the key, until few lines share a key or a few characters are left. There
+lines meet by what stays after deletions, each linked to one line of a group only.
+So no line meets more than a fixed number of others under one key. A signature
+(the parity of each line's hashed letter pairs, of which an edit changes at most
+four) spares most pairs the comparison of texts.
 
 Only built-in expressions are used.
 """
@@ -32,9 +36,14 @@ from docmill.storage import materialise, release
 EDITS, CHARS_PER_EDIT = 2, 12
 #: Characters compared at once when equal ends of two lines are cut off.
 BLOCK = 16
-#: Slots in which index entries are counted. A slot with more than CROWDED times the mean and FEW is joined with signatures,
-#: so at most SLOTS / CROWDED slots are broadcast.
-SLOTS, CROWDED, FEW = 1 << 20, 4, 8
+#: Index entries are counted in slots first; keys are counted only in slots with more than FEW entries, or all, where these are over a quarter.
+SLOTS = 1 << 20
+#: Index entries of a key up to which lines meet without signatures, and with them; a key with more is refined.
+FEW, CROWD = 32, 64
+#: Characters left of a line from which on the lines of a crowded key meet by what stays after deletions, and edits up to which they do.
+SHORT, STARRED = 8, 2
+#: Stands for a matched segment that was cut out of a line in UTF-32; no character.
+HOLE = b"\xff\xff\xff\xff"
 #: Letter pairs that one edit changes at most.
 PAIRS_PER_EDIT = 4
 
@@ -229,6 +238,133 @@ def _slot(key: Column) -> Column:
     return F.pmod(key, F.lit(SLOTS))
 
 
+def _from(wide: Column, at: Column) -> Column:
+    """What follows ``at`` characters of a string in UTF-32."""
+    return F.substring(wide, 4 * at + 1, F.lit(1 << 30))
+
+
+def _upto(wide: Column, at: Column) -> Column:
+    return F.substring(wide, F.lit(1), 4 * at)
+
+
+def cut_again(rows: DataFrame, edits: int, only: DataFrame | None = None) -> DataFrame:
+    """Entries of what is left of lines, by their segments: ``key, rest`` and ``index`` anew, the other columns as they were.
+
+    ``rows``: ``no, sign``, ``rest`` (what is left, in UTF-32), ``shorter`` (characters that the lines it looks for have less),
+    ``t`` (edits allowed), ``index`` (whether it is looked for, else it only looks) and ``key`` (null for whole lines, whose keys
+    are those of :func:`segment_keys`). With ``only``, entries of its ``key`` alone.
+    """
+    n = F.floor(F.octet_length("rest") / 4).cast("int")
+    sized = rows.withColumn("m", n - F.col("shorter")).filter((F.col("t") >= 1) & (F.col("shorter") <= F.col("t")))
+    m, t, shorter = F.col("m"), F.col("t"), F.col("shorter")
+    spots = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(by).alias("by")) for i in range(edits + 1) for by in range(-edits, edits + 1)))
+
+    def possible(x: Column) -> Column:
+        # Of t edits at most i lie before segment i + 1 and t - i after it.
+        i, by = x["i"], x["by"]
+        return (i <= t) & (by >= F.greatest(-i, shorter - (t - i))) & (by <= F.least(i, shorter + t - i))
+
+    def entry(x: Column) -> Column:
+        i, by = x["i"], x["by"]
+        size, early = F.floor(m / (t + 1)).cast("int"), t + 1 - m % (t + 1)
+        begin = size * i + F.greatest(i - early, F.lit(0)) + by
+        length = size + F.when(i >= early, 1).otherwise(0)
+        piece = F.substring("rest", 4 * begin + 1, 4 * length)
+        key = F.when(F.col("key").isNull(), F.xxhash64(m, i, piece)).otherwise(F.xxhash64("key", m, i, piece))
+        return F.struct(key.alias("key"), begin.alias("begin"), (begin + length).alias("end"), (F.col("index") & (by == 0)).alias("index"))
+
+    others = [c for c in rows.columns if c not in ("key", "index", "rest")]
+    each = sized.select(*others, F.col("rest").alias("whole"), F.explode(F.transform(F.filter(spots, possible), entry)).alias("x"))
+    each = each.select(*others, "whole", "x.*")
+    if only is not None:
+        each = each.join(only, "key", "left_semi")
+    rest = F.concat(_upto(F.col("whole"), F.col("begin")), F.lit(HOLE), _from(F.col("whole"), F.col("end")))
+    return each.select(*others, "key", "index", rest.alias("rest"))
+
+
+def deletion_links(entries: DataFrame) -> DataFrame:
+    """``a, b`` (a > b): links between lines of one key whose rests are within ``t`` (1 or 2) edits; each line to one centre of each of its groups.
+
+    Groups are named by what stays of a rest after deletions and by the places of
+    these, so that each member of a group is within the edits of its centre:
+    two places in common (two substitutions), one deletion each (a deletion and
+    an insertion), one place in common (a substitution and a deletion; a member
+    of the longer kind is no centre), deletions only (the shorter rest is the
+    centre). Holes are never deleted.
+    """
+    rest = F.col("rest")
+    size = F.floor(F.octet_length(rest) / 4).cast("int")
+    places = F.filter(F.transform(F.sequence(F.lit(1), size), lambda k: k - 1), lambda k: F.substring(rest, 4 * k + 1, 4) != F.lit(HOLE))
+
+    def without(x: Column, k: Column) -> Column:
+        return F.concat(_upto(x, k), _from(x, k + 1))
+
+    ones = F.transform(places, lambda k: F.struct(k.alias("g1"), without(rest, k).alias("v")))
+    twos = F.flatten(
+        F.transform(
+            places,
+            lambda j: F.transform(
+                F.filter(places, lambda k: k > j), lambda k: F.struct(j.alias("g1"), (k - 1).alias("g2"), without(without(rest, k), j).alias("v"))
+            ),
+        )
+    )
+
+    def group(kind: str, v: Column, centre: bool, g1=-1, g2=-1) -> Column:
+        place = [(F.lit(g) if isinstance(g, int) else g).alias(name) for g, name in ((g1, "g1"), (g2, "g2"))]
+        return F.struct(F.lit(kind).alias("kind"), v.alias("v"), *place, F.lit(centre).alias("centre"))
+
+    whole = F.array(group("deleted", rest, True))
+    of_one = F.concat(whole, F.transform("ones", lambda x: group("deleted", x["v"], False)), F.transform("ones", lambda x: group("place", x["v"], True, x["g1"])))
+    of_two = F.concat(
+        whole,
+        F.transform("twos", lambda x: group("deleted", x["v"], False)),
+        F.transform("twos", lambda x: group("places", x["v"], True, x["g1"], x["g2"])),
+        F.array(group("each", rest, True)),
+        F.transform("ones", lambda x: group("each", x["v"], True)),
+        F.transform("ones", lambda x: group("place", x["v"], True, x["g1"])),
+        F.transform("twos", lambda x: group("place", x["v"], False, x["g1"])),
+        F.transform("twos", lambda x: group("place", x["v"], False, x["g2"])),
+    )
+    cut = entries.select("no", "key", "t", "rest", ones.alias("ones"), twos.alias("twos"))
+    named = cut.select("no", "key", F.explode(F.when(F.col("t") == 1, of_one).otherwise(of_two)).alias("x")).select("no", "key", "x.*")
+    by = ["key", "kind", "v", "g1", "g2"]
+    centres = named.groupBy(*by).agg(F.min(F.when(F.col("centre"), F.col("no"))).alias("of"), F.min("no").alias("l"), F.max("no").alias("m"))
+    # Groups of one line go before rows are joined back.
+    met = named.join(centres.filter("of IS NOT NULL AND l < m").select(*by, "of"), by).filter(F.col("no") != F.col("of"))
+    return met.select(F.greatest("no", "of").alias("a"), F.least("no", "of").alias("b")).distinct()
+
+
+def refined_pairs(lines: DataFrame, hot: DataFrame, edits: int) -> list[DataFrame]:
+    """``a, b`` of lines under the keys of ``hot``, written tables; they connect all lines that are within the edits and share such a key.
+
+    ``lines``: ``no, sign, line``. Each step cuts an equal segment out of the lines of a crowded
+    key, so that about log(length) steps remain; rows a step grow with the lines, not with pairs of them.
+    """
+    rows = lines.select("no", "sign", F.encode("line", "UTF-32").alias("rest"), F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("shorter"))
+    length = F.floor(F.octet_length("rest") / 4).cast("int")
+    rows = rows.select("*", allowed_edits(length - F.col("shorter"), edits).alias("t"), (F.col("shorter") == 0).alias("index"), F.lit(None).cast("bigint").alias("key"))
+    entries, out = materialise(cut_again(rows, edits, only=hot)), []
+    while True:
+        crowded = materialise(entries.filter("index").groupBy("key").count().filter(F.col("count") > CROWD).select("key"))
+        few = entries.join(crowded, "key", "left_anti").select("no", "key", "sign", "index")
+        out.append(materialise(_meet(few.filter("index"), few.filter(~F.col("index")), lambda: _near(F.col("sign"), F.col("sign_b"), edits)).distinct()))
+        more = None
+        if not crowded.isEmpty():
+            many = entries.join(crowded, "key", "left_semi")
+            # For more edits than deletions are worked out for, rests are cut as long as they have a character for each segment.
+            ended = F.when(F.col("t") <= STARRED, length <= SHORT).otherwise(length - F.col("shorter") <= 2 * F.col("t") + 2)
+            out.append(materialise(deletion_links(many.filter(ended & (F.col("t") <= STARRED)))))
+            if edits > STARRED:
+                left = many.filter(ended & (F.col("t") > STARRED))
+                out.append(materialise(_meet(left.filter("index"), left.filter(~F.col("index")), lambda: _near(F.col("sign"), F.col("sign_b"), edits)).distinct()))
+            more = materialise(cut_again(many.filter(~ended), edits))
+        release(entries)
+        release(crowded)
+        if more is None:
+            return out
+        entries = more
+
+
 def texts_of(found: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """``no, line`` for the ``no`` of ``wanted``, written to the shared folder."""
     wanted = materialise(wanted.distinct().join(lines.select(F.col("no").alias("of"), "h1", "h2"), F.col("no") == F.col("of")).select("no", "h1", "h2"))
@@ -240,48 +376,47 @@ def texts_of(found: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame
     return out
 
 
+def _meet(index: DataFrame, probe: DataFrame, near) -> DataFrame:
+    """``a, b`` (a > b) of index entries of one key, and of those with the probes; ``near()`` is a further condition."""
+
+    def met(left: DataFrame, condition: Column) -> DataFrame:
+        right = index.withColumnsRenamed({c: f"{c}_b" for c in index.columns})
+        pairs = left.join(right, (F.col("key") == F.col("key_b")) & condition & near())
+        return pairs.select(F.greatest("no", "no_b").alias("a"), F.least("no", "no_b").alias("b"))
+
+    return met(index, F.col("no") > F.col("no_b")).unionByName(met(probe, F.col("no") != F.col("no_b")))
+
+
 def candidate_pairs(found: DataFrame, lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``a, b`` (a > b) of lines that share a key and, where many do, have near signatures, and ``no, line`` and ``no, sign`` of all these lines; written to the shared folder.
+    """``a, b`` (a > b) of lines that share a key, and ``no, line`` and ``no, sign`` of all these lines; written to the shared folder.
 
-    Pairs of keys that few lines have need no texts, so that those of all lines are read in one pass, for pairs and signatures.
+    All lines within the edits are connected by such pairs: pair by pair where few lines share a key, over
+    :func:`refined_pairs` elsewhere. Texts are read in one pass, for either way.
     """
     index, probe = _entries(lines, "own"), _entries(lines, "near")
     counts = index.groupBy(_slot(F.col("key")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    mean = F.broadcast(counts.agg((F.sum("n") / SLOTS).alias("mean")))
-    crowded = materialise(counts.crossJoin(mean).filter((F.col("n") > CROWDED * F.col("mean")) & (F.col("n") > FEW)).select("slot"))
+    crowded = materialise(counts.filter(F.col("n") > FEW).select("slot"))
+    some = index if crowded.count() > SLOTS // 4 else index.join(F.broadcast(crowded), _slot(F.col("key")) == F.col("slot"), "left_semi")
+    hot = materialise(some.groupBy("key").count().filter(F.col("count") > FEW).select("key"))
 
     def split(entries: DataFrame, how: str) -> DataFrame:
-        return entries.join(F.broadcast(crowded), _slot(F.col("key")) == F.col("slot"), how)
-
-    def meet(left: DataFrame, right: DataFrame, near) -> DataFrame:
-        right = right.withColumnsRenamed({c: f"{c}_b" for c in right.columns})
-        met = left.join(right, (F.col("key") == F.col("key_b")) & near)
-        return met.select(F.greatest("no", "no_b").alias("a"), F.least("no", "no_b").alias("b"))
-
-    def both(i: DataFrame, p: DataFrame, near) -> DataFrame:
-        same = meet(i, i, (F.col("no") > F.col("no_b")) & near)
-        return same.unionByName(meet(p, i, (F.col("no") != F.col("no_b")) & near))
+        return entries.join(hot, "key", how)
 
-    plain = materialise(both(split(index, "left_anti"), split(probe, "left_anti"), F.lit(True)).distinct())
-    hot_index, hot_probe = split(index, "left_semi"), split(probe, "left_semi")
-    # A probe matters only where an index entry shares its key, but whoever shares a slot may be signed as well.
-    wanted = [hot_index.select("no"), hot_probe.select("no"), plain.select(F.col("a").alias("no")), plain.select(F.col("b").alias("no"))]
+    plain = materialise(_meet(split(index, "left_anti"), split(probe, "left_anti"), lambda: F.lit(True)).distinct())
+    refined = materialise(split(index.unionByName(probe), "left_semi").select("no").distinct())
+    wanted = [refined.select("no"), plain.select(F.col("a").alias("no")), plain.select(F.col("b").alias("no"))]
     texts = texts_of(found, lines, reduce(DataFrame.unionByName, wanted))
     signs = materialise(texts.select("no", signature(F.col("line")).alias("sign")))
-    signed = signs.withColumnRenamed("no", "of")
-
-    def with_sign(entries: DataFrame) -> DataFrame:
-        return entries.join(signed, F.col("no") == F.col("of")).select("no", "key", "sign")
-
-    crowd = both(with_sign(hot_index), with_sign(hot_probe), _near(F.col("sign"), F.col("sign_b"), edits))
-    pairs = materialise(plain.unionByName(crowd).distinct())
-    release(crowded)
-    release(plain)
+    again = texts.join(refined, "no", "left_semi").join(signs, "no")
+    steps = refined_pairs(again, hot, edits)
+    pairs = materialise(reduce(DataFrame.unionByName, [plain, *steps]).distinct())
+    for done in (crowded, hot, plain, refined, *steps):
+        release(done)
     return pairs, texts, signs
 
 
 def line_links(found: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``a, b`` (a > b): numbers of distinct lines within the edits that the shorter one allows."""
+    """``a, b`` (a > b): numbers of distinct lines within the edits that the shorter one allows; all such lines are connected by links, and those without a crowded key linked one by one."""
     pairs, texts, signs = candidate_pairs(found, lines, edits)
     met = pairs
     for side in "ab":
