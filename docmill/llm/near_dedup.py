@@ -1,7 +1,12 @@
-"""Near-dedup by verified Jaccard similarity of five-word shingles.
+"""Near-dedup by SimHash ball hashing, verified by the Jaccard similarity of five-word shingles.
 
-Candidates come from an exact prefix filter: with all shingles in one order,
-rarest first, two texts of similarity s or more share a shingle among the first
+First the ball hashing of :mod:`docmill.llm.simhash` on short words of each set's
+fingerprint: sets whose words meet on a variant are verified, and components are
+formed of the links. Most near copies are together then.
+
+The ball misses pairs, the more the less similar they are. So that none is lost,
+sets of different components go through an exact prefix filter: with all shingles
+in one order, rarest first, two texts of similarity s or more share a shingle among the first
 n - ceil(s n) + 1 of each. At the first shingle they share, the shingles left on
 either side must still suffice, which tells most texts of a common passage
 apart. Any order finds all pairs; a count sketch of fixed size over all
@@ -26,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.simhash import components
+from docmill.llm.simhash import components, set_words, word_bits, word_links
 from docmill.llm.text import free_name, possibly_in
 from docmill.storage import materialise, release
 
@@ -59,6 +64,15 @@ def _counter(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
+def _planes(counts: np.ndarray) -> bytes:
+    """A block of counters with all low bytes first: the others are mostly zero, and a run of them compresses well."""
+    return counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(block: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def marked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """``doc_id, text, node, n`` for every row: the digest and size of its shingle set.
 
@@ -84,7 +98,7 @@ def marked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             used = np.flatnonzero(blocks.any(axis=1))
             m = len(used)
             columns = [pa.nulls(m, kind), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(used, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([blocks[k].astype("<u4").tobytes() for k in used], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([_planes(blocks[k]) for k in used], pa.binary())], names=names)
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, node binary, n bigint, block int, counts binary")
 
@@ -97,7 +111,7 @@ def sketch(parts: DataFrame) -> np.ndarray:
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 held.setdefault(block, np.zeros(COUNTER_BLOCK, np.int64))
-                held[block] += np.frombuffer(counts.as_py(), "<u4")
+                held[block] += _from_planes(counts.as_py())
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in held.values()], pa.binary())], names=["block", "counts"])
 
     out = np.zeros((1 << COUNTER_BITS) // COUNTER_BLOCK * COUNTER_BLOCK, np.int64).reshape(-1, COUNTER_BLOCK)
@@ -121,13 +135,13 @@ def parity_map(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def nodes_of(marked: DataFrame, counts: np.ndarray, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+def nodes_of(marked: DataFrame, counts: np.ndarray, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, bits: int = 0) -> DataFrame:
     """``no, node, n, keys, map``: one row for each distinct non-empty shingle set, written to the shared folder.
 
-    ``no`` is unique and higher for sets of more common shingles.
+    ``no`` is unique and higher for sets of more common shingles. With ``bits`` also ``words``, the fingerprint's short words of so many bits.
     """
     shared = marked.sparkSession.sparkContext.broadcast(counts)
-    names = ["node", "n", "score", "keys", "map"]
+    names = ["node", "n", "score", "keys", "map", *(["words"] if bits else [])]
 
     def run(batches):
         seen: set[bytes] = set()
@@ -141,15 +155,15 @@ def nodes_of(marked: DataFrame, counts: np.ndarray, width: int = WIDTH, similar:
                 seen.add(node)
                 h = shingles(text.as_py(), width)
                 keys, score = prefix(h, shared.value, similar)
-                rows.append((node, len(h), score, keys.view(np.int64), parity_map(h)))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                rows.append((node, len(h), score, keys.view(np.int64), parity_map(h), *([set_words(h, bits)] if bits else [])))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * (len(names) - 3))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
-    found = marked.filter("n > 0").select("node", "text").mapInArrow(run, "node binary, n bigint, score bigint, keys array<bigint>, map array<bigint>")
+    found = marked.filter("n > 0").select("node", "text").mapInArrow(run, "node binary, n bigint, score bigint, " + ", ".join(f"{c} array<bigint>" for c in names[3:]))
     folded = found.groupBy("node").agg(*(F.first(c).alias(c) for c in names[1:]))
     row = F.monotonically_increasing_id()
     fits = F.when(row < F.lit(1 << NUMBER_BITS), row).otherwise(F.raise_error(F.lit("too many partitions to number nodes")).cast("bigint"))
-    return materialise(folded.select((F.call_function("shiftleft", F.col("score"), F.lit(NUMBER_BITS)) + fits).alias("no"), "node", "n", "keys", "map"))
+    return materialise(folded.select((F.call_function("shiftleft", F.col("score"), F.lit(NUMBER_BITS)) + fits).alias("no"), "node", "n", *names[3:]))
 
 
 def _enough(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column, similar: tuple[int, int]) -> Column:
@@ -204,17 +218,54 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame],
     return links
 
 
-def similar_links(marked: DataFrame, nodes: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """``a, b``: verified links whose components are those of all similar pairs."""
+def ball_links(marked: DataFrame, nodes: DataFrame, bits: int, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """``a, b`` with a > b twice: verified links of nodes with a short word in common or within two bits, and all pairs compared; both written to the shared folder.
+
+    ``nodes`` have ``words`` of so many ``bits``. Nodes of one word meet its hub, words meet one word of their variant.
+    """
+    s, t = similar
+    placed = nodes.select("no", "n", F.explode("words").alias("word"))
+    hubs = materialise(placed.groupBy("word").agg(F.max("no").alias("hub"), F.max_by("n", "no").alias("hub_n"), F.count(F.lit(1)).alias("size")).withColumnRenamed("word", "fp"))
+    held = placed.join(hubs.filter("size > 1"), F.col("word") == F.col("fp")).filter("no < hub")
+    pairs = held.select(F.col("hub").alias("a"), F.col("no").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b"))
+    met = word_links(hubs.select("fp"), bits)
+    for side in "ab":
+        met = met.join(hubs.select(F.col("fp").alias(f"fp_{side}"), F.col("hub").alias(f"hub_{side}"), F.col("hub_n").alias(f"n_{side}")), F.col(side) == F.col(f"fp_{side}"))
+    pairs = pairs.unionByName(met.select(F.greatest("hub_a", "hub_b").alias("a"), F.least("hub_a", "hub_b").alias("b"), "n_a", "n_b").filter("a <> b"))
+    compared = materialise(pairs.filter(t * F.least("n_a", "n_b") >= s * F.greatest("n_a", "n_b")).select("a", "b").distinct())
+    release(hubs)
+    return verified(compared, nodes, sets_of_marked(marked, width), similar), compared
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of the ``a, b`` that lie in different components of ``of, root``."""
+    for side in "ab":
+        pairs = pairs.join(roots.select(F.col("of").alias(f"of_{side}"), F.col("root").alias(f"root_{side}")), F.col(side) == F.col(f"of_{side}"), "left")
+    return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def similar_links(marked: DataFrame, nodes: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``a, b``: verified links whose components are those of all similar pairs.
+
+    ``known`` are links found before, which are among the result, and the pairs compared for them, which needn't meet again.
+    """
     sets_of = sets_of_marked(marked, width)
     placed = nodes.select("no", "n", F.posexplode("keys").alias("pos", "key"))
-    shared = placed.groupBy("key").agg(F.max("no").alias("hub"), F.max_by("n", "no").alias("hub_n"), F.max_by("pos", "no").alias("hub_pos"), F.count(F.lit(1)).alias("size"))
-    shared = materialise(shared.filter("size > 1").select(F.col("key").alias("k"), "hub", "hub_n", "hub_pos"))
-    members = possibly_in(placed, F.col("key"), shared, F.col("k")).join(shared, F.col("key") == F.col("k")).select("key", "no", "n", "pos", "hub", "hub_n", "hub_pos")
-    members = materialise(members)
+    # Most shingles are in one set only, so they are counted by themselves first.
+    shared = materialise(placed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("k"))
+    held = materialise(possibly_in(placed, F.col("key"), shared, F.col("k")).join(shared, F.col("key") == F.col("k")).select("key", "no", "n", "pos"))
     release(shared)
+    hubs = held.groupBy(F.col("key").alias("k")).agg(F.max("no").alias("hub"), F.max_by("n", "no").alias("hub_n"), F.max_by("pos", "no").alias("hub_pos"))
+    members = materialise(held.join(hubs, F.col("key") == F.col("k")).select("key", "no", "n", "pos", "hub", "hub_n", "hub_pos"))
+    release(held)
     stars = members.filter((F.col("no") < F.col("hub")) & _enough(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), similar))
-    links = verified(stars.select(F.col("hub").alias("a"), F.col("no").alias("b")), nodes, sets_of, similar)
+    stars = stars.select(F.col("hub").alias("a"), F.col("no").alias("b"))
+    if known is None:
+        links = verified(stars, nodes, sets_of, similar)
+    else:
+        before = materialise(components(known[0]).select(F.col("node").alias("of"), "root"))
+        links = known[0].unionByName(verified(_apart(stars.distinct(), before).join(known[1], ["a", "b"], "left_anti"), nodes, sets_of, similar))
+        release(before)
     roots = materialise(components(links).select(F.col("node").alias("of"), "root"))
     rooted = members.join(roots, F.col("no") == F.col("of"), "left").select("key", "no", "n", "pos", "hub", F.coalesce("root", "no").alias("root"))
     rooted = materialise(rooted)
@@ -235,7 +286,10 @@ def similar_links(marked: DataFrame, nodes: DataFrame, width: int = WIDTH, simil
     # The hub's own pairs have been compared.
     other = (F.col("root") != F.col("root_1")) & (F.col("no") != F.col("hub")) & (F.col("no_1") != F.col("hub"))
     met = left.join(one, (F.col("key") == F.col("key_1")) & larger & other & _enough(F.col("n"), F.col("pos"), F.col("n_1"), F.col("pos_1"), similar))
-    rest = verified(met.select(F.greatest("no", "no_1").alias("a"), F.least("no", "no_1").alias("b")), nodes, sets_of, similar)
+    met = met.select(F.greatest("no", "no_1").alias("a"), F.least("no", "no_1").alias("b"))
+    if known is not None:
+        met = met.distinct().join(known[1], ["a", "b"], "left_anti")
+    rest = verified(met, nodes, sets_of, similar)
     release(left)
     return links.unionByName(rest)
 
@@ -249,10 +303,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component of null ids only has a null ``component_id``. An empty table gives
     no rows.
     """
-    written = materialise(marked_rows(docs, id_col, text_col, width))
+    # The texts lie in the shared folder throughout, so they are packed more tightly.
+    written = materialise(marked_rows(docs, id_col, text_col, width), "zstd")
     marked = written.filter("block IS NULL")
-    nodes = nodes_of(marked, sketch(written.filter("block IS NOT NULL").select("block", "counts")), width)
-    links = similar_links(marked, nodes, width)
+    bits = word_bits(marked.count())
+    nodes = nodes_of(marked, sketch(written.filter("block IS NOT NULL").select("block", "counts")), width, bits=bits)
+    links = similar_links(marked, nodes, width, known=ball_links(marked, nodes, bits, width))
     roots = components(links)
     # Only linked nodes have a root of their own to look up.
     linked = roots.join(nodes.select("no", F.col("node").alias("of")), F.col("node") == F.col("no")).select("of", "root")

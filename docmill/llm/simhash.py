@@ -7,6 +7,10 @@ at most the radius apart from each other, so each is linked to the smallest of
 its variant only (a star), never to all others; every link of the radius has its
 variant, so connected components lose nothing. Components come from alternating
 large-star and small-star steps.
+
+For similarity of shingle sets, where 64 bits would need a ball of a radius
+near 14, the same is done on several shorter words of a set's fingerprint
+(:func:`set_words`, :func:`word_links`); who meets there is to be verified.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.storage import materialise, release
@@ -24,6 +28,12 @@ from docmill.storage import materialise, release
 BITS = 64
 #: Shingle hashes that are turned into bits at once.
 BLOCK = 1 << 16
+#: Short words of a set's fingerprint, bits that a word has beyond log2 of the number of sets, and the most bits.
+WORDS, SPARE_BITS, MOST_WORD_BITS = 6, 9, 40
+#: Bits below a word's variant: the place of the flipped bit.
+PLACE_BITS = 6
+
+_LANES = np.random.default_rng(4).integers(0, 1 << 64, (2, WORDS), np.uint64)
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -76,6 +86,41 @@ def ball_links(points: DataFrame, radius: int = 2) -> DataFrame:
     return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+def word_bits(sets: int) -> int:
+    """Bits of a short word that let few of so many sets meet by chance."""
+    return min(MOST_WORD_BITS, max(16, sets.bit_length() + SPARE_BITS))
+
+
+def set_words(h: np.ndarray, bits: int) -> np.ndarray:
+    """The short words of a set of shingle hashes: bit by bit the majority of the shingles, the word's number above its ``bits``."""
+    counts = np.zeros(BITS * WORDS, np.int64)
+    for k in range(0, len(h), BLOCK):
+        x = (h[k : k + BLOCK, None] ^ _LANES[0]) * (_LANES[1] | np.uint64(1))
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        counts += np.unpackbits((x ^ (x >> np.uint64(29))).astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    words = np.packbits(2 * counts > len(h), bitorder="little").view("<i8") & ((1 << bits) - 1)
+    return words | (np.arange(WORDS) << bits)
+
+
+def word_links(points: DataFrame, bits: int) -> DataFrame:
+    """``a, b``: short words ``fp`` (distinct, as :func:`set_words` gives them) within two bits, each linked to one word of its variant.
+
+    A row carries its variant and the flipped bit's place in one number, from which the word follows.
+    """
+    flips = [k | (1 << (k - 1 + PLACE_BITS) if k else 0) for k in range(bits + 1)]
+    spread = points.select("fp", F.explode(F.array(*(F.lit(x).cast("bigint") for x in flips))).alias("flip")).select(F.shiftleft("fp", PLACE_BITS).bitwiseXOR(F.col("flip")).alias("packed"))
+    met = spread.repartition(F.shiftright("packed", PLACE_BITS)).select("packed", F.shiftright("packed", PLACE_BITS).alias("variant"))
+
+    def word(packed: Column) -> Column:
+        place = packed.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+        flipped = F.when(place > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), place - 1)).otherwise(F.lit(0).cast("bigint"))
+        return F.shiftright(packed, PLACE_BITS).bitwiseXOR(flipped)
+
+    # No variant has more words than a word has bits and one, so its window is bounded.
+    least = F.min("packed").over(Window.partitionBy("variant"))
+    return met.withColumn("least", least).filter("packed > least").select(word(F.col("packed")).alias("a"), word(F.col("least")).alias("b")).distinct()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root``: the smallest node reachable, for every node that has a link.
 

@@ -25,10 +25,10 @@ def shared_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/docmill-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back; survives lost executors."""
     path = shared_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._docmill_path = path
     return back
