@@ -30,7 +30,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts whose five-word shingles are similar by 0.8 or more the smallest id stays."""
+    """Of each component of texts whose five-word shingles are similar by 0.8 or more the smallest id stays.
+
+    Such texts meet by SimHash ball hashing, and those it misses in an exact prefix filter.
+    """
     return near_dedup.drop_near_copies(docs)
 
 
