@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docmill.functions.text import bound, strip
 from docmill.operators.lines import scan, text_lines
 from docmill.operators.markdown import extract_block, extract_section, is_table_rule
-from docmill.storage import materialise
+from docmill.storage import materialise, sorted_side
 
 def _some(but: str, opener: str, least: int = 1) -> str:
     """A run of characters other than ``but``, with at most eight of the ``opener``: unclosed links are given up soon, so that many of them cost linear time."""
@@ -108,8 +108,8 @@ def resolve_links(links: DataFrame, files: DataFrame, keys: list[str], search_di
     named = F.transform(F.filter(F.array(*places), lambda p: p.isNotNull()), folded_path)
     both = F.when(t.rlike(r"\.[^./]+$"), named).otherwise(F.flatten(F.transform(named, lambda p: F.array(F.concat(p, F.lit(".md")), p))))
     tries = links.select(*keys, F.posexplode(both).alias("_n", "path"))
-    found = tries.join(files.select("path").distinct(), "path").groupBy(*keys).agg(F.min_by("path", "_n").alias("resolved"))
-    return links.select(*keys).join(found, keys, "left").select(*keys, "resolved", F.when(F.col("resolved").isNotNull(), file_kind(F.col("resolved"))).alias("file_type"))
+    found = tries.join(sorted_side(files.select("path").distinct()), "path").groupBy(*keys).agg(F.min_by("path", "_n").alias("resolved"))
+    return links.select(*keys).join(sorted_side(found), keys, "left").select(*keys, "resolved", F.when(F.col("resolved").isNotNull(), file_kind(F.col("resolved"))).alias("file_type"))
 
 
 def rewrite_links(text: Column, wiki: str = "extract_text", markdown: str = "extract_text", embeds: str = "keep") -> Column:
@@ -182,7 +182,7 @@ def expand_embeds(
         found = found.select("node", "up", "n", raw.alias("raw"), F.col("e.in_table").alias("in_table"), link.alias("link")).withColumn("t", parse_target(F.col("link")))
         found = materialise(found.withColumn("target", F.when(~F.col("link").rlike(r"^(?:data:|\w+://)"), F.col("t.path"))).withColumn("source_path", F.element_at("up", -1)))
         places_of = resolve_links(found.filter("target <> ''"), known, ["node", "n"], search_dirs).withColumnRenamed("resolved", "file")
-        joined = found.join(places_of, ["node", "n"], "left").join(files, "file", "left")
+        joined = found.join(sorted_side(places_of), ["node", "n"], "left").join(sorted_side(files), "file", "left")
         body = F.regexp_replace("whole", r"\A(?s)---\s*\n.*?\n---[ \t]*(?:\n|\z)", "")
         part = F.when(F.col("t.heading").isNotNull(), extract_section(body, F.col("t.heading"))).when(F.col("t.block_id").isNotNull(), extract_block(body, F.col("t.block_id"))).otherwise(strip(body))
         stays = F.col("target").isNull() | (F.col("file_type") != "markdown")
@@ -200,9 +200,9 @@ def expand_embeds(
         filled = place.select("node", "n", "child", "said", "in_table")
         if done is not None:
             inner = done.select(F.col("node").alias("child"), F.col("text").alias("_t"))
-            filled = filled.join(inner, "child", "left").withColumn("said", F.coalesce(F.when(F.col("in_table"), _in_cell(F.col("_t"))).otherwise(F.col("_t")), "said"))
+            filled = filled.join(sorted_side(inner), "child", "left").withColumn("said", F.coalesce(F.when(F.col("in_table"), _in_cell(F.col("_t"))).otherwise(F.col("_t")), "said"))
         piled = filled.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "said"))), lambda v: v["said"]).alias("_in"))
-        rows = level.join(piled, "node", "left").withColumn("_gap", F.split("text", EMBED, -1))
+        rows = level.join(sorted_side(piled), "node", "left").withColumn("_gap", F.split("text", EMBED, -1))
         text = F.array_join(F.transform("_gap", lambda g, i: F.concat(F.when(i == 0, "").otherwise(F.coalesce(F.get("_in", i - 1), F.lit(""))), g)), "")
         done = materialise(rows.select("node", text.alias("text")))
     return done.select(F.col("node").alias(path_col), F.col("text").alias(text_col))
@@ -212,7 +212,7 @@ def link_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, out_degree, in_degree, broken`` from ``edges(source, target)`` with null targets where a link leads nowhere."""
     out = edges.groupBy(F.col("source").alias("node")).agg(F.count("target").alias("out_degree"), F.count_if(F.col("target").isNull()).alias("broken"))
     into = edges.filter("target IS NOT NULL").groupBy(F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("in_degree"))
-    rows = nodes.select("node").join(out, "node", "left").join(into, "node", "left")
+    rows = nodes.select("node").join(sorted_side(out), "node", "left").join(sorted_side(into), "node", "left")
     return rows.select("node", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("out_degree", "in_degree", "broken")))
 
 
@@ -227,34 +227,34 @@ def link_cycles(edges: DataFrame, max_depth: int = 3) -> DataFrame:
     """
     some = edges.filter("target IS NOT NULL").select("source", "target").distinct()
     ins, outs = some.select(F.col("target").alias("source")).distinct(), some.select(F.col("source").alias("target")).distinct()
-    some = materialise(some.join(ins, "source", "left_semi").join(outs, "target", "left_semi").select("source", "target"))
+    some = materialise(some.join(sorted_side(ins), "source", "left_semi").join(sorted_side(outs), "target", "left_semi").select("source", "target"))
     loops, some = some.filter("source = target"), some.filter("source <> target")
     found = loops.select(F.col("source").alias("node"), F.lit(1).alias("length"))
     back = some.select(F.col("target").alias("source"), F.col("source").alias("target"))
     if max_depth >= 2:
-        found = found.unionByName(some.join(back, ["source", "target"], "left_semi").select(F.col("source").alias("node"), F.lit(2).alias("length")))
+        found = found.unionByName(some.join(sorted_side(back), ["source", "target"], "left_semi").select(F.col("source").alias("node"), F.lit(2).alias("length")))
     if max_depth >= 3:
         links = some.unionByName(back).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
         ranks = [links.select(F.col("source").alias(side), F.struct("n", F.col("source").alias("node")).alias(f"{side}_rank")) for side in ("source", "target")]
-        ranked = materialise(some.join(ranks[0], "source").join(ranks[1], "target"))
+        ranked = materialise(some.join(sorted_side(ranks[0]), "source").join(sorted_side(ranks[1]), "target"))
         below, above = F.col("target_rank") < F.col("source_rank"), F.col("target_rank") > F.col("source_rank")
         top = lambda top, mid, when: ranked.filter(when).select(F.col(top).alias("top"), F.col(f"{top}_rank").alias("top_rank"), F.col(mid).alias("mid"))
         on = lambda mid, end: ranked.select(F.col(mid).alias("mid"), F.col(end).alias("end"), F.col(f"{end}_rank").alias("end_rank"))
-        away = top("source", "target", below).join(on("source", "target"), "mid").filter("end_rank < top_rank").select("top", "mid", "end")
-        home = top("target", "source", above).join(on("target", "source"), "mid").filter("end_rank < top_rank").select("top", "mid", "end")
+        away = top("source", "target", below).join(sorted_side(on("source", "target")), "mid").filter("end_rank < top_rank").select("top", "mid", "end")
+        home = top("target", "source", above).join(sorted_side(on("target", "source")), "mid").filter("end_rank < top_rank").select("top", "mid", "end")
         each = lambda walks, length: walks.select(F.explode(F.array("top", "mid", "end")).alias("node"), F.lit(length).alias("length"))
         closing = some.select(F.col("source").alias("end"), F.col("target").alias("top"))
-        found = found.unionByName(each(away.join(closing, ["top", "end"], "left_semi"), 3))
+        found = found.unionByName(each(away.join(sorted_side(closing), ["top", "end"], "left_semi"), 3))
         if max_depth >= 4:
             for one, other in ((away, home), (home, away)):
-                found = found.unionByName(each(one.join(other.select("top", "end"), ["top", "end"], "left_semi"), 4))
+                found = found.unionByName(each(one.join(sorted_side(other.select("top", "end")), ["top", "end"], "left_semi"), 4))
     found = materialise(found.groupBy("node").agg(F.min("length").alias("length")))
     if max_depth <= 4:
         return found
     step = some.select(F.col("source").alias("end"), F.col("target").alias("next"))
-    walks = some.withColumnsRenamed({"source": "node", "target": "end"}).join(found, "node", "left_anti")
+    walks = some.withColumnsRenamed({"source": "node", "target": "end"}).join(sorted_side(found), "node", "left_anti")
     for length in range(2, max_depth + 1):
-        walks = walks.filter("node <> end").join(step, "end").select("node", F.col("next").alias("end")).distinct()
+        walks = walks.filter("node <> end").join(sorted_side(step), "end").select("node", F.col("next").alias("end")).distinct()
         if length > 4:
             found = found.unionByName(walks.filter("node = end").select("node", F.lit(length).alias("length")))
     return found.groupBy("node").agg(F.min("length").alias("length"))
