@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docmill.operators.filters import free_name, possibly_in  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: U+0020 and U+0009 to U+000D, as SQL text and as a Java character class.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -26,38 +28,3 @@ def words(text: Column) -> Column:
 def unit_hash(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the columns' values only."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) * F.lit(2.0**-53)
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have, in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
-#: Bits of the filter of :func:`possibly_in` for each wanted key, and the least and most bits; it is broadcast as at most MOST_BITS / 64 rows.
-FILTER_ROOM, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
-
-
-def possibly_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
-    """Those of ``rows`` whose ``key`` may be among the ``wanted_key``: all that are, and few others.
-
-    Keys are hashes of 64 bits. The filter has :data:`FILTER_ROOM` bits for each
-    of ``wanted``, which should be a written table since it is counted; more than
-    a filter of :data:`MOST_BITS` can tell apart are not filtered at all.
-    """
-    n = wanted.count()
-    if 2 * n > MOST_BITS:
-        return rows
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (FILTER_ROOM * n).bit_length()))
-    place, held = free_name(rows, "place"), free_name(rows, "held")
-
-    def word(h: Column) -> Column:
-        return F.pmod(F.shiftright(h, 6), F.lit(bits // 64))
-
-    def bit(h: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))
-
-    filled = wanted.groupBy(word(wanted_key).alias(place)).agg(F.bit_or(bit(wanted_key)).alias(held))
-    return rows.join(F.broadcast(filled), word(key) == F.col(place)).filter(F.col(held).bitwiseAND(bit(key)) != 0).select(*rows.columns)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions.text import bound, owned, piece, scan, wide
+from docmill.operators.filters import possibly_in
 from docmill.operators.lines import doc_lines
+from docmill.storage import materialise
 
 # The default symbol pairs and the full-width digits with their corrections.
 PAIRS = [("(", ")"), ("（", "）"), ("[", "]"), ("【", "】"), ("{", "}"), ("「", "」"), ("'", "'"), ('"', '"'), ("‘", "’"), ("“", "”"), ("《", "》")]
@@ -86,17 +88,61 @@ def starts_of(parts: Column, size: Column) -> Column:
     return F.transform(ends, lambda e: e - size)
 
 
-def _find(paras: DataFrame, dictionary: dict[str, list[str]] | DataFrame, para: str, error_type: str, source: str, keys: list[str] | None = None) -> DataFrame:
+def _met_words(paras: DataFrame, words: DataFrame, para: str) -> DataFrame:
+    """All columns but the text, ``_word, start_pos``: non-overlapping occurrences of the ``wrong`` of ``words``, a written table of distinct ones.
+
+    A text's runs of signs meet the words' first signs, which tell the lengths of words that may begin there; the text's
+    own pieces of these lengths pass a filter of the words. No exchange, and hardly a piece is left that is no word. From more
+    than :data:`BROADCAST_WORDS` distinct first signs on they are a filter too, and all lengths are tried.
+    """
+    others = [c for c in paras.columns if c != para]
+    # All in UTF-32, where a slice costs what it holds, wherever it lies.
+    # Only a word that ends as it begins may overlap itself.
+    ends_as_begun = lambda x: x.rlike(r"(?s)\A(.+).*\1\z")
+    known = words.select(wide(F.col("wrong")).alias("_w"), ends_as_begun(F.col("wrong")).alias("_round")).withColumn("_n", (F.octet_length("_w") / 4).cast("int"))
+    gram = lambda w, at, size: F.substring(w, at * 4 + 1, size * 4)
+    sign = known.withColumn("_size", F.least("_n", F.lit(GRAM))).withColumn("_h", F.xxhash64(gram(F.col("_w"), F.lit(0), F.col("_size"))))
+    signs = materialise(sign.groupBy("_h").agg(F.collect_set("_n").alias("_lengths"), F.collect_set("_size").alias("_sizes"), F.max("_round").alias("_round")))
+    told = signs.agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_set("_lengths"))).alias("lengths"), F.array_distinct(F.flatten(F.collect_set("_sizes"))).alias("sizes")).first()
+    sizes, lengths = sorted(told["sizes"]), sorted(told["lengths"])
+    if not sizes:
+        return paras.select(*others, F.lit("").alias("_word"), F.lit(0).alias("start_pos")).filter(F.lit(False))
+    texts = paras.select(*others, para, wide(F.col(para)).alias("_wide")).withColumn("_signs", (F.octet_length("_wide") / 4).cast("int")).filter(F.col("_signs") >= sizes[0])
+    placed = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("_signs") - sizes[0])).alias("_at"))
+    placed = placed.withColumn("_run", F.explode(F.array(*map(F.lit, sizes)))) if sizes[1:] else placed.withColumn("_run", F.lit(sizes[0]))
+    placed = placed.filter(F.col("_at") + F.col("_run") <= F.col("_signs")).withColumn("_gram", F.xxhash64(gram(F.col("_wide"), F.col("_at"), F.col("_run"))))
+    # Words of at least GRAM signs begin with a run of GRAM, shorter ones are their run.
+    if told["n"] <= BROADCAST_WORDS:
+        placed = placed.join(F.broadcast(signs.select("_h", "_lengths", "_round")), F.col("_gram") == F.col("_h"))
+    else:
+        placed = possibly_in(placed, F.col("_gram"), signs, F.col("_h")).withColumns({"_lengths": F.array(*map(F.lit, lengths)), "_round": F.lit(True)})
+    placed = placed.select(*others, para, "_wide", "_signs", "_at", "_run", "_round", F.explode("_lengths").alias("_n"))
+    fits = F.when(F.col("_run") < GRAM, F.col("_n") == F.col("_run")).otherwise(F.col("_n") >= GRAM)
+    pieces = placed.filter(fits & (F.col("_at") + F.col("_n") <= F.col("_signs"))).withColumn("_piece", gram(F.col("_wide"), F.col("_at"), F.col("_n")))
+    pieces = possibly_in(pieces, F.xxhash64("_piece"), known, F.xxhash64("_w"), marks=2)
+    pieces = pieces.select(*others, para, "_at", "_n", "_round", piece(F.col("_piece"), F.lit(0), F.col("_n")).alias("_word"))
+    # Of such a word the first occurrence stands for all; no other hit carries the text.
+    first = F.call_function("instr", F.col(para), F.col("_word")) == F.col("_at") + 1
+    pieces = pieces.withColumn("_own", F.when(F.col("_round") & ends_as_begun(F.col("_word")), F.when(first, F.col(para)).otherwise("")))
+    pieces = pieces.select(*others, "_at", "_n", "_word", "_own")
+    cut = F.split("_own", F.concat(F.lit(r"\Q"), F.col("_word"), F.lit(r"\E")), -1)
+    starts = F.when(F.col("_own").isNull(), F.array("_at")).otherwise(bound(cut, lambda p: starts_of(p, F.col("_n"))))
+    return pieces.select(*others, "_word", F.explode(starts).alias("start_pos"))
+
+
+def _find(paras: DataFrame, dictionary: dict[str, list[str]] | DataFrame, para: str, error_type: str, source: str) -> DataFrame:
     others = [c for c in paras.columns if c != para]
     if isinstance(dictionary, DataFrame):
-        entries = dictionary.filter("wrong IS NOT NULL").select(F.struct("wrong", "correct").alias("_e"))
-        paras, known = _looked_up(paras, entries, F.col("_e.wrong"), lambda x: x, keys or others, para), F.col("_there")
+        entries = materialise(dictionary.filter("wrong <> ''").select("wrong", "correct").distinct())
+        words = materialise(entries.select("wrong").distinct())
+        entries = entries.select(F.col("wrong").alias("_wrong"), F.struct("wrong", "correct").alias("_e"))
+        entries = F.broadcast(entries) if entries.count() <= BROADCAST_WORDS else entries.hint("shuffle_hash")
+        found = _met_words(paras, words, para).join(entries, F.col("_word") == F.col("_wrong")).select(*others, "_e", "start_pos")
     else:
-        known = _entries(dictionary)
-    there = F.filter(known, lambda e: F.contains(F.col(para), e["wrong"]))
-    found = paras.select(*others, para, F.explode(there).alias("_e"))
-    parts = F.split(F.col(para), F.concat(F.lit(r"\Q"), F.col("_e.wrong"), F.lit(r"\E")), -1)
-    found = found.select(*others, "_e", F.explode(bound(parts, lambda p: starts_of(p, F.char_length(F.col("_e.wrong"))))).alias("start_pos"))
+        there = F.filter(_entries(dictionary), lambda e: F.contains(F.col(para), e["wrong"]))
+        found = paras.select(*others, para, F.explode(there).alias("_e"))
+        parts = F.split(F.col(para), F.concat(F.lit(r"\Q"), F.col("_e.wrong"), F.lit(r"\E")), -1)
+        found = found.select(*others, "_e", F.explode(bound(parts, lambda p: starts_of(p, F.char_length(F.col("_e.wrong"))))).alias("start_pos"))
     return found.select(
         *others,
         "start_pos",
@@ -112,14 +158,14 @@ def find_typos(paras: DataFrame, typos: dict[str, list[str]] | DataFrame, para:
     """Every non-overlapping occurrence of each wrong form (``correct -> [wrong, ...]``).
 
     A dictionary of up to some hundred words is part of the expression, map-only. A larger one comes as a table
-    ``wrong, correct`` and is joined by the first signs of its words; ``keys`` name paragraphs then (all columns but the text by default).
+    ``wrong, correct`` and is met by the first signs of its words; each row is found by itself, so ``keys`` may be left out.
     """
-    return _find(paras, typos, para, "typo", "typo", keys)
+    return _find(paras, typos, para, "typo", "typo")
 
 
 def find_wrong_symbols(paras: DataFrame, symbols: dict[str, list[str]] | DataFrame = SYMBOLS, para: str = "para", keys: list[str] | None = None) -> DataFrame:
     """As :func:`find_typos`, for signs."""
-    return _find(paras, symbols, para, "punctuation", "symbol", keys)
+    return _find(paras, symbols, para, "punctuation", "symbol")
 
 
 def find_unpaired_symbols(paras: DataFrame, pairs: list[tuple[str, str]] = PAIRS, para: str = "para") -> DataFrame:
