@@ -158,6 +158,53 @@ def line_similarity(a: Column, b: Column) -> Column:
 RARE = 64
 
 
+#: Places of a group's longest line up to which shapes may meet by their parts.
+NARROW = 12
+
+
+def _met_shapes(c: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, _pc, base_line, similarity`` of shapes ``keys, _pc`` and ``keys, _pb, base_line`` that have a place in common, the best of each ``_pc`` among them.
+
+    A group's shapes meet all with all, or by their parts: every choice of places is a key, and of a key's base shapes the
+    first counts. Which makes fewer rows is told from the numbers of shapes and the longest line.
+    """
+    per_side = lambda df, shape, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_n{name}"), F.collect_set(F.size(shape)).alias(f"_l{name}"))
+    groups = per_side(c, "_pc", "c").join(per_side(b, "_pb", "b"), keys)
+    longest = F.greatest(F.array_max("_lc"), F.array_max("_lb"))
+    parts = (F.col("_nc") * F.size("_lb") + F.col("_nb") * F.size("_lc")) * F.pow(F.lit(2.0), longest)
+    groups = materialise(groups.withColumn("_by_parts", (longest <= NARROW) & (parts < F.col("_nc") * F.col("_nb"))))
+    some = {r["_by_parts"] for r in groups.select("_by_parts").distinct().collect()}
+
+    def by_pairs() -> DataFrame:
+        own = groups.filter("NOT _by_parts").select(*keys)
+        met = c.join(own, keys, "left_semi").join(b, keys)
+        # Where one line is shorter, its places beyond the end are empty.
+        alike = F.size(F.filter(F.zip_with("_pc", "_pb", lambda x, y: F.coalesce(x, F.lit("")) == F.coalesce(y, F.lit(""))), lambda same: same))
+        scored = met.withColumn("similarity", F.when(alike > 0, alike / F.greatest(F.size("_pc"), F.size("_pb"))))
+        return scored.filter("similarity > 0").select(*keys, "_pc", "base_line", "similarity")
+
+    def parts_of(df: DataFrame, shape: str, others: str, rare: str) -> DataFrame:
+        """A row for each choice of places that hold no rare value, for each length of the other side's lines; what isn't chosen is a star."""
+        rows = df.join(groups.filter("_by_parts").select(*keys, F.col(others).alias("_o")), keys).withColumn("_other", F.explode("_o")).drop("_o")
+        rows = rows.withColumn("_n", F.greatest(F.size(shape), F.col("_other"))).filter("_n > 0")
+        rows = rows.withColumn("_all", F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.coalesce(F.get(shape, i), F.lit(""))))
+        chosen = lambda mask, i: F.call_function("getbit", mask, i) == 1
+        bits = F.aggregate(F.transform("_all", lambda v, i: F.when(v == rare, 0).otherwise(F.call_function("shiftleft", F.lit(1), i))), F.lit(0), lambda m, x: m + x)
+        rows = rows.withColumn("_bits", bits).filter("_bits > 0")
+        rows = rows.withColumn("_mask", F.explode(F.sequence(F.lit(1), F.col("_bits")))).filter(F.col("_mask").bitwiseAND(F.col("_bits")) == F.col("_mask"))
+        return rows.withColumn("_part", F.transform("_all", lambda v, i: F.when(chosen(F.col("_mask"), i), v).otherwise("*")))
+
+    def by_parts() -> DataFrame:
+        # A part has the places of both sides' longer line, so its size and the two lengths tell which lines meet.
+        first = parts_of(b, "_pb", "_lc", "b").groupBy(*keys, F.col("_other").alias("_size"), F.size("_pb").alias("_other"), "_part").agg(F.min("base_line").alias("base_line"))
+        asked = parts_of(c, "_pc", "_lb", "c").select(*keys, "_pc", F.size("_pc").alias("_size"), "_other", "_part", (F.bit_count("_mask") / F.col("_n")).alias("similarity"))
+        return asked.join(first, [*keys, "_size", "_other", "_part"]).select(*keys, "_pc", "base_line", "similarity")
+
+    if True not in some:
+        return by_pairs()
+    return by_pairs().unionByName(by_parts()) if False in some else by_parts()
+
+
 def most_similar_line(base: DataFrame, collect: DataFrame, keys: list[str]) -> DataFrame:
     """For each collected ``line`` (array ``cells``) the best ``base_line`` and its ``similarity``.
 
@@ -167,6 +214,7 @@ def most_similar_line(base: DataFrame, collect: DataFrame, keys: list[str]) -> D
     full, which makes a bounded number of pairs a line. What others have in
     common are empty places and frequent values, so of these only the shapes
     meet: a line's empty and frequent places, and of one shape the first base line.
+    Where a group's lines have few places and its shapes are many, they meet by the parts they have in common.
     """
     blank = lambda x: F.coalesce(strip(x), F.lit("")) == ""
     bare = F.transform(F.col("cells"), lambda x: F.coalesce(strip(x), F.lit("")))
@@ -192,11 +240,8 @@ def most_similar_line(base: DataFrame, collect: DataFrame, keys: list[str]) -> D
 
     c_shapes = materialise(shaped(c, "first", "c"))
     b_shapes = shaped(b, "base_line", "b").groupBy(*keys, F.col("shape").alias("_pb")).agg(F.min("base_line").alias("base_line"))
-    met = c_shapes.select(*keys, F.col("shape").alias("_pc")).distinct().join(b_shapes, keys)
-    # Where one line is shorter, its places beyond the end are empty.
-    alike = F.size(F.filter(F.zip_with("_pc", "_pb", lambda x, y: F.coalesce(x, F.lit("")) == F.coalesce(y, F.lit(""))), lambda same: same))
     best_of = lambda: F.max_by(F.struct("base_line", "similarity"), F.struct("similarity", -F.col("base_line")))
-    met = met.withColumn("similarity", F.when(alike > 0, alike / F.greatest(F.size("_pc"), F.size("_pb")))).filter("similarity > 0").groupBy(*keys, "_pc").agg(best_of().alias("_e"))
+    met = _met_shapes(materialise(c_shapes.select(*keys, F.col("shape").alias("_pc")).distinct()), materialise(b_shapes), keys).groupBy(*keys, "_pc").agg(best_of().alias("_e"))
     by_shape = c_shapes.join(met.withColumnRenamed("_pc", "shape"), [*keys, "shape"]).select(*keys, "first", "_e.base_line", "_e.similarity")
     best = scored.unionByName(by_shape).groupBy(*keys, "first").agg(best_of().alias("_b"))
     named = c.join(best, [*keys, "first"], "left").select(*keys, "cells", "_b")
